@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import quality, simhash, urlfilter
 from .common import table
 
 
@@ -16,8 +16,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op8_quality": op8_quality,
+    "op10_urlfilter": op10_urlfilter,
+}
+ORACLE: dict[str, str] = {
+    "op10_urlfilter": """
+with rest as (
+  select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as r from pages
+), parts as (
+  select page_id,
+    translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') as path
+  from rest
+), ruled as (
+  select *, case
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule
+  from parts
+)
+select page_id, host, path, rule,
+  case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' else 'allow' end as verdict
+from ruled
+""",
 }
-ORACLE: dict[str, str] = {}
