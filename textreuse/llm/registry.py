@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, urlfilter
+from . import packing, quality, simhash, urlfilter
 from .common import table
 
 
@@ -20,8 +21,13 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op10_urlfilter": op10_urlfilter,
 }
