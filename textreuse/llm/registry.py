@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, urlfilter
+from . import packing, quality, simhash, urlfilter, warc
 from .common import table
 
 
@@ -25,13 +25,30 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op10_urlfilter": op10_urlfilter,
 }
 ORACLE: dict[str, str] = {
+    "op5_warc": """
+with p as (
+  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as size, sha1(coalesce(html, '')) as digest
+  from pages
+), g as (
+  select *, case when size >= 1000 and page_id is not null then max(page_id) over (partition by digest, size) end as last from p
+)
+select page_id, size as payload_bytes, digest as payload_digest,
+  case when last <> page_id then 'revisit' else 'response' end as record_type,
+  case when last <> page_id then last end as refers_to
+from g
+""",
     "op10_urlfilter": """
 with rest as (
   select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as r from pages
