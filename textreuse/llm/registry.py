@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, urlfilter, warc
+from . import decontam, packing, quality, simhash, urlfilter, warc
 from .common import table
 
 
@@ -29,8 +29,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontam": op2_decontam,
     "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
