@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality, simhash, urlfilter, warc
+from . import decontam, htmltext, packing, quality, simhash, urlfilter, warc
 from .common import table
 
 
@@ -34,12 +34,17 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids")
 
 
+def op9_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,
     "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
+    "op9_htmltext": op9_htmltext,
     "op10_urlfilter": op10_urlfilter,
 }
 ORACLE: dict[str, str] = {
