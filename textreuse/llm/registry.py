@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, packing, quality, simhash, urlfilter, warc
+from . import decontam, htmltext, packing, quality, simhash, substring, urlfilter, warc
 from .common import table
 
 
@@ -38,10 +38,15 @@ def op9_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,
     "op5_warc": op5_warc,
+    "op6_substring": op6_substring,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_htmltext": op9_htmltext,
