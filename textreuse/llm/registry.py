@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, packing, quality, simhash, substring, urlfilter, warc
+from . import ann, decontam, htmltext, packing, quality, simhash, substring, urlfilter, warc
 from .common import table
 
 
@@ -42,9 +42,14 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,
+    "op3_ann": op3_ann,
     "op5_warc": op5_warc,
     "op6_substring": op6_substring,
     "op7_packing": op7_packing,
