@@ -86,7 +86,7 @@ class Cascade:
 
     @staticmethod
     def _passes(words: list[int], level: int, a: Column, b: Column) -> Column:
-        held, size = F.lit(words), F.lit(len(words) * 64)
+        held, size = F.lit(words).cast("array<bigint>"), F.lit(len(words) * 64)
         mixed, step = F.xxhash64(a, b, F.lit(level)), F.xxhash64(b, a, F.lit(level)).bitwiseOR(F.lit(1))
         first, stride = F.shiftrightunsigned(mixed, 1) % size, F.shiftrightunsigned(step, 1) % size
         ok = F.lit(True)
