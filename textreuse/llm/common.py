@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,14 @@ class Scratch:
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
         return self.get(name, df)
 
+    def free(self, name: str) -> None:
+        """Deletes a table that nothing reads any more, and lets Spark clean the shuffle files of what is out of use."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
     def get(self, name: str, like: DataFrame | None = None) -> DataFrame:
         reader = self.spark.read
         return (reader.schema(like.schema) if like is not None else reader).parquet(f"{self.path}/{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, htmltext, packing, quality, simhash, substring, urlfilter, warc
+from . import ann, decontam, htmltext, katz, packing, quality, simhash, substring, urlfilter, warc
 from .common import table
 
 
@@ -46,10 +46,15 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,
     "op3_ann": op3_ann,
+    "op4_katz": op4_katz,
     "op5_warc": op5_warc,
     "op6_substring": op6_substring,
     "op7_packing": op7_packing,
