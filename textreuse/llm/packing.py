@@ -10,8 +10,10 @@ own place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +27,30 @@ from .common import Scratch, pieces, texts
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker keeps; it starts afresh beyond that.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
+
+
+#: A letter before an ASCII sign other than the apostrophe: the vocabulary's words end there as well.
+LETTERS = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+SPLIT = re.compile(rb"(" + LETTERS + rb")([!-&(-/:-@\[-`{-~])")
+SIMPLE = re.compile(rb"(?:" + LETTERS + rb")+")
 
 
 class WordIds:
-    """Ids of white-space separated words, each encoded once; the vocabulary drops white space, so words are independent."""
+    """Ids of words, each encoded once. The vocabulary drops white space and ignores case, so words are independent.
+
+    Words of letters only are one word of the vocabulary, the last id of which is marked as an end: many of them are
+    encoded as one text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -45,28 +60,44 @@ class WordIds:
         self.sizes = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _keep(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.at)
+        for name, need in (("flat", self.used + len(flat)), ("starts", n + len(words)), ("sizes", n + len(words))):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate((held, np.zeros(max(need, len(held)), held.dtype))))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.sizes[n : n + len(words)] = sizes
+        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _encode(self, some: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
     def _learn(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False)]
+        simple = [w for w in new if SIMPLE.fullmatch(w)]
+        for i in range(0, len(simple), 20_000):
+            some = simple[i : i + 20_000]
+            lines = [b" ".join(some[k : k + 200]).decode() for k in range(0, len(some), 200)]
+            flat = np.concatenate([np.array(x, np.uint32) for x in self._encode(lines)])
+            last = np.flatnonzero(self.ends[flat])
+            if len(last) != len(some):
+                raise ValueError("a word of letters has no single end mark")
+            self._keep(some, flat, np.diff(last, prepend=-1))
+        other = [w for w in new if not SIMPLE.fullmatch(w)]
+        for i in range(0, len(other), 20_000):
+            some = other[i : i + 20_000]
+            ids = self._encode([x.decode() for x in some])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((y for x in ids for y in x), np.uint32, int(sizes.sum()))
-            n = len(self.at)
-            for name, need in (("flat", self.used + len(flat)), ("starts", n + len(some)), ("sizes", n + len(some))):
-                held = getattr(self, name)
-                if need > len(held):
-                    setattr(self, name, np.concatenate((held, np.zeros(max(need, len(held)), held.dtype))))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.sizes[n : n + len(some)] = sizes
-            self.starts[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
-            self.at.update(zip(some, range(n, n + len(some)), strict=True))
+            self._keep(some, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
 
     def encode(self, rows: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         if len(self.at) > KEPT_WORDS:
             self.clear()
-        words = [(x or b"").split() for x in rows]
+        # a text with what may be a special token keeps its case, which those heed
+        words = [(x if b"<|" in x else SPLIT.sub(rb"\1 \2", x.lower())).split() if x else [] for x in rows]
         flat = [w for x in words for w in x]
         if new := set(flat).difference(self.at):
             self._learn(list(new))
