@@ -1,0 +1,33 @@
+"""Fine alignment: maximal equal stretches of accepted pairs of texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from textreuse.operators.groups import merge_overlapping_spans
+
+
+def align_spans(pairs: DataFrame, key: str = "pair_id", min_len: int = 20, gram: int = 12) -> DataFrame:
+    """(key, left_start, left_end, right_start, right_end): equal stretches of at least min_len signs, grown to blanks
+    on both sides and merged by the left side.
+
+    Shared grams are joined within a pair and chained on their diagonal, so a stretch is found wherever it stands.
+    """
+    texts = pairs.select(key, "left_text", "right_text")
+    grams = lambda side: texts.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(f"{side}_text") - gram + 1, F.lit(1))), lambda i: F.substr(f"{side}_text", i, F.lit(gram)))).alias(f"{side}_at", "g")).where(F.length("g") == gram)
+    both = grams("left").join(grams("right"), [key, "g"]).withColumn("d", F.col("left_at") - F.col("right_at"))
+    w = Window.partitionBy(key, "d").orderBy("left_at")
+    new = F.when(F.col("left_at") - F.lag("left_at").over(w) == 1, 0).otherwise(1)
+    runs = both.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy(key, "d", "_run").agg(F.min("left_at").alias("left_start"), (F.max("left_at") + gram).alias("left_end"))
+    found = found.where(F.col("left_end") - F.col("left_start") >= min_len).join(texts, key)
+    found = found.withColumns({"right_start": F.col("left_start") - F.col("d"), "right_end": F.col("left_end") - F.col("d")})
+    for side in ("left", "right"):
+        text, a, z = F.col(f"{side}_text"), F.col(f"{side}_start"), F.col(f"{side}_end")
+        head = F.length(F.regexp_extract(F.substr(text, F.lit(1), a), r"(\S*)\z", 1))
+        tail = F.length(F.regexp_extract(F.substr(text, z + 1), r"\A(\S*)", 1))
+        found = found.withColumns({f"{side}_start": a - head, f"{side}_end": z + tail})
+    spans = found.select(key, *(c for c in ("left_start", "left_end", "right_start", "right_end")))
+    return merge_overlapping_spans(spans.distinct(), [key])

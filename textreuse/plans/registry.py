@@ -1,7 +1,580 @@
-"""Queries over the driver's tables and their DuckDB equivalents."""
+"""Queries over the driver's tables and their DuckDB equivalents. A document's source is its project."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textreuse.functions import columns as C
+from textreuse.operators import align, candidates, chunks, groups, jobs, metrics, minhash, report, semantic
+from textreuse.plans import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "pair_metrics"
+FLAGSHIP = "project_comparison"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+# --- documents, pairs, projects
+
+
+@query("select l.source as project_id, l.doc_id as left_document_id, r.doc_id as right_document_id from documents l join documents r on l.source = r.source and l.doc_id < r.doc_id")
+def doc_pairs(spark, d):
+    return jobs.document_pairs(docs_of(spark, d))
+
+
+@query(
+    """select l.source as project_id, l.doc_id as left_document_id, r.doc_id as right_document_id from documents l join documents r
+    on l.source = r.source and l.doc_id < r.doc_id where l.lang <> r.lang"""
+)
+def new_pairs(spark, d):
+    """Pairs of documents of one language were compared already, and are listed the other way round."""
+    docs = docs_of(spark, d)
+    pairs = jobs.document_pairs(docs)
+    left, right = (docs.select(F.col("doc_id").alias(f"{s}_document_id"), F.col("lang").alias(f"{s}_lang")) for s in ("left", "right"))
+    had = pairs.join(left, "left_document_id").join(right, "right_document_id").where("left_lang = right_lang")
+    return jobs.new_pairs(pairs, had.select(F.col("right_document_id").alias("left_document_id"), F.col("left_document_id").alias("right_document_id")))
+
+
+@query(
+    """with p as (select l.doc_id as left_document_id, r.doc_id as right_document_id from documents l join documents r on l.source = r.source and l.doc_id < r.doc_id)
+    select left_document_id, right_document_id, min(right_document_id) over (partition by left_document_id) as first_right,
+      lag(right_document_id) over (partition by left_document_id order by right_document_id) as previous_right,
+      lead(right_document_id) over (partition by left_document_id order by right_document_id) as next_right,
+      'document ' || left_document_id as left_label, 'document ' || right_document_id as right_label from p"""
+)
+def pair_navigation(spark, d):
+    docs = docs_of(spark, d).withColumns({"title": F.lit(None).cast("string"), "filename": F.lit(None).cast("string")})
+    pairs = jobs.document_pairs(docs).drop("project_id")
+    return jobs.with_labels(jobs.pair_navigation(pairs), docs)
+
+
+STATUS = """d as (select doc_id, source, case when quality = 1 and toxic = 0 then 'completed' when quality = 0 then 'failed' else 'pending' end as status
+  from documents left join (select doc_id, min(quality) as quality, max(toxic) as toxic from labels group by doc_id) using (doc_id))"""
+
+
+def with_status(spark, d) -> DataFrame:
+    rated = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    status = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "completed").when(F.col("quality") == 0, "failed").otherwise("pending")
+    return docs_of(spark, d).join(rated, "doc_id", "left").withColumns({"status": status, "project_id": F.col("source")})
+
+
+@query(f"with {STATUS} select source as project_id, count(*) as total, count(*) filter (status = 'completed') as completed, count(*) filter (status = 'pending') as pending from d group by source")
+def project_stats(spark, d):
+    return jobs.project_stats(with_status(spark, d))
+
+
+@query(f"with {STATUS} select doc_id, source as project_id from d where status = 'completed'")
+def completed_documents(spark, d):
+    return jobs.completed(with_status(spark, d)).select("doc_id", "project_id")
+
+
+@query(
+    f"""with {STATUS}, p as (select l.source as job_id, l.status as ls, r.status as rs from d l join d r on l.source = r.source and l.doc_id < r.doc_id)
+    select job_id, max(case when ls = 'pending' or rs = 'pending' then 1 else 0 end) = 1 as active from p group by job_id"""
+)
+def active_pairs(spark, d):
+    docs = with_status(spark, d).select("doc_id", "source", "status")
+    pairs = jobs.document_pairs(docs).withColumnRenamed("project_id", "job_id")
+    for s in ("left", "right"):
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(f"{s}_document_id"), F.col("status").alias(s)), f"{s}_document_id")
+    status = F.when((F.col("left") == "pending") | (F.col("right") == "pending"), "pending").otherwise("completed")
+    return jobs.has_active_pairs(pairs.withColumn("status", status))
+
+
+@query(
+    """with g as (select distinct doc_id from labels where toxic = 1), p as (select l.doc_id as a, r.doc_id as b from documents l join documents r on l.source = r.source and l.doc_id < r.doc_id)
+    select 'documents' as name, count(*) as n from documents where doc_id not in (select doc_id from g)
+    union all select 'pairs', count(*) from p where a not in (select doc_id from g) and b not in (select doc_id from g)"""
+)
+def cascade_delete(spark, d):
+    docs = docs_of(spark, d)
+    pairs = jobs.document_pairs(docs).withColumn("pair_id", jobs.pair_id())
+    gone = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    left = jobs.cascade_delete({"documents": docs, "pairs": pairs}, gone)
+    counts = [left[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k in ("documents", "pairs")]
+    return counts[0].unionByName(counts[1])
+
+
+@query(
+    """with e as (select user_id as job_id, event_type, ts from events), j as (
+      select job_id, count(*) as total, count(*) filter (event_type = 'purchase') as done, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as seconds from e group by job_id)
+    select *, round(100 * done / total, 2) as percent, case when seconds > 0 then round(done / seconds, 6) end as per_second,
+      case when seconds > 0 and done > 0 then round((total - done) / (done / seconds), 3) end as seconds_left from j"""
+)
+def job_progress(spark, d):
+    """Users as jobs, events as items; a purchase ends one."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts")
+    return jobs.job_progress(e, done=("purchase",))
+
+
+@query(
+    """select event_id, user_id, event_type from events
+    where not (event_type = 'purchase' and ts < (select max(ts) from events) - interval 24 hour)"""
+)
+def purge_finished(spark, d):
+    return jobs.purge_finished(table(spark, d, "events"), 24, status="event_type", done=("purchase",)).select("event_id", "user_id", "event_type")
+
+
+@query("select user_id, max(ts)::varchar as ts, arg_max(event_type, (ts, event_type)) as event_type from events group by user_id")
+def latest_state(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    return jobs.latest_state(e, "user_id").withColumn("ts", F.col("ts").cast("string"))
+
+
+@query("select event_id, event_type from events order by ts desc, event_id limit 50")
+def recent_tasks(spark, d):
+    return jobs.recent(table(spark, d, "events"), "ts", 50, "event_id").select("event_id", "event_type")
+
+
+@query("select doc_id, source from documents order by n_chars desc, doc_id limit 20 offset 40")
+def document_page(spark, d):
+    return jobs.page(docs_of(spark, d), [F.desc("n_chars"), "doc_id"], 20, 40).select("doc_id", "source")
+
+
+@query("select source as project_id, arg_min(doc_id, (n_chars, doc_id)) as job_id from documents group by source")
+def project_job(spark, d):
+    """The shortest document stands for the oldest job."""
+    return jobs.project_job(docs_of(spark, d).select(F.col("source").alias("project_id"), F.col("doc_id").alias("job_id"), F.col("n_chars").alias("created_at")))
+
+
+# --- texts and chunks
+
+
+@query("select doc_id, case when lower(lang) = 'en' then 'en' else 'zh' end as language from documents")
+def language_class(spark, d):
+    return docs_of(spark, d).select("doc_id", C.language_class(F.col("lang")).alias("language"))
+
+
+@query(
+    r"""with c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r]+(\n|$)', '\1', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') as t from documents)
+    select doc_id, length(t) as n_chars, sha256(t) as digest from c"""
+)
+def clean_document(spark, d):
+    t = docs_of(spark, d).select("doc_id", C.clean_document(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("digest"))
+
+
+@query(
+    r"""with c as (select doc_id, trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9)) as t from documents)
+    select doc_id, length(t) as n_chars, sha256(t) as digest from c"""
+)
+def clean_text(spark, d):
+    t = docs_of(spark, d).select("doc_id", C.clean_text(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("digest"))
+
+
+@query("select doc_id, sha256(text) as checksum, length(text) as char_count from documents")
+def checksums(spark, d):
+    return docs_of(spark, d).select("doc_id", C.checksum(F.col("text")).alias("checksum"), F.length("text").alias("char_count"))
+
+
+@query(f"with recursive {sql.PARAGRAPHS} select doc_id, chunk_index, start_pos, end_pos, text_hash from paragraphs")
+def paragraph_chunks(spark, d):
+    return chunks.split_paragraphs(docs_of(spark, d)).select("doc_id", "chunk_index", "start_pos", "end_pos", "text_hash")
+
+
+@query(f"with {sql.LINES}, {sql.SENTENCES} select doc_id, chunk_index, start_pos, end_pos, text_hash from sentences")
+def sentence_chunks(spark, d):
+    return chunks.split_sentences(docs_of(spark, d)).select("doc_id", "chunk_index", "start_pos", "end_pos", "text_hash")
+
+
+@query(
+    f"""with recursive {sql.PARAGRAPHS}, {sql.SENTENCES}, a as (select doc_id, 'p' as t, end_pos - start_pos as n from paragraphs union all select doc_id, 's', end_pos - start_pos from sentences)
+    select doc_id, count(*) filter (t = 'p') as paragraph_count, count(*) filter (t = 's') as sentence_count, (sum(n) // count(*))::bigint as avg_length from a group by doc_id"""
+)
+def chunk_counts(spark, d):
+    docs = docs_of(spark, d)
+    return chunks.document_counts(chunks.with_sentence_index(chunks.split_paragraphs(docs), chunks.split_sentences(docs)))
+
+
+@query(f"with recursive {sql.PARAGRAPHS}, {sql.SENTENCES}, {sql.parents()} select doc_id, chunk_index, parent_index from sentences left join best using (doc_id, chunk_index)")
+def parent_assignment(spark, d):
+    docs = docs_of(spark, d)
+    return chunks.assign_parents(chunks.split_paragraphs(docs), chunks.split_sentences(docs)).select("doc_id", "chunk_index", "parent_index")
+
+
+@query(
+    f"""with recursive {sql.PARAGRAPHS}, {sql.SENTENCES}, {sql.parents("centre")}
+    select doc_id, chunk_index, coalesce(parent_index, chunk_index) as parent_index from sentences left join best using (doc_id, chunk_index)"""
+)
+def nearest_parent(spark, d):
+    docs = docs_of(spark, d)
+    return chunks.assign_parents(chunks.split_paragraphs(docs), chunks.split_sentences(docs), "centre").select("doc_id", "chunk_index", "parent_index")
+
+
+@query(
+    f"""with recursive {sql.PARAGRAPHS}, {sql.SENTENCES}, h as (select doc_id, exists(select 1 from paragraphs p where p.doc_id = d.doc_id) as p,
+      exists(select 1 from sentences s where s.doc_id = d.doc_id) as s from documents d)
+    select l.doc_id as left_document_id, r.doc_id as right_document_id, case when l.s then 'sentence' when l.p then 'paragraph' end as left_type,
+      case when r.s then 'sentence' when r.p then 'paragraph' end as right_type
+    from documents a join documents b on a.source = b.source and a.doc_id < b.doc_id join h l on l.doc_id = a.doc_id join h r on r.doc_id = b.doc_id"""
+)
+def granularity(spark, d):
+    docs = docs_of(spark, d)
+    both = chunks.with_sentence_index(chunks.split_paragraphs(docs), chunks.split_sentences(docs))
+    pairs = jobs.document_pairs(docs).withColumn("pair_id", jobs.pair_id())
+    sides = chunks.select_granularity(both, pairs, "sentence").groupBy("pair_id").agg(
+        *(F.max(F.when(F.col("side") == s, F.col("chunk_type"))).alias(f"{s}_type") for s in ("left", "right"))
+    )
+    return pairs.join(sides, "pair_id").select("left_document_id", "right_document_id", "left_type", "right_type")
+
+
+# --- shingles, MinHash
+
+
+def texts_of(spark, d) -> DataFrame:
+    """Distinct paragraph texts with the projects that have them."""
+    p = chunks.split_paragraphs(docs_of(spark, d).select("doc_id", "text", "lang"))
+    return p.join(docs_of(spark, d).select("doc_id", "source"), "doc_id")
+
+
+DISTINCT = "distinct_texts as (select distinct text_hash, text from paragraphs)"
+PROJECT_TEXTS = "project_texts as (select source, text_hash, any_value(text) as text from paragraphs group by source, text_hash)"
+
+
+@query(f"with recursive {sql.PARAGRAPHS}, {DISTINCT}, {sql.shingled('distinct_texts', 'text_hash')} select text_hash, count(*) as n_shingles from grams group by text_hash")
+def shingle_counts(spark, d):
+    t = texts_of(spark, d).select("text_hash", "text").dropDuplicates(["text_hash"])
+    return t.select("text_hash", F.size(C.shingles(F.col("text"))).alias("n_shingles"))
+
+
+@query(
+    f"""with recursive {sql.PARAGRAPHS}, {DISTINCT}, {sql.shingled("distinct_texts", "text_hash")}, {sql.signed("text_hash")}
+    select text_hash, sha256(string_agg(v::varchar, ',' order by i)) as signature, sum(v)::bigint as total from signatures group by text_hash"""
+)
+def minhash_signatures(spark, d):
+    t = texts_of(spark, d).select("text_hash", "text").dropDuplicates(["text_hash"])
+    s = minhash.with_signatures(t)
+    total = F.aggregate("signature", F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select("text_hash", F.sha2(F.array_join("signature", ","), 256).alias("signature"), total.alias("total"))
+
+
+LSH = f"""with recursive {sql.PARAGRAPHS}, {DISTINCT}, {sql.shingled("distinct_texts", "text_hash")}, {sql.signed("text_hash")}, {sql.banded("text_hash")},
+    here as (select distinct source, text_hash from paragraphs), placed_bands as (select source, text_hash, band, band_key from bands join here using (text_hash)),
+    pairs as (select distinct l.source, l.text_hash as "left", r.text_hash as "right" from placed_bands l join placed_bands r
+      on l.source = r.source and l.band = r.band and l.band_key = r.band_key and l.text_hash < r.text_hash),
+    sizes as (select text_hash, count(*) as n from grams group by text_hash),
+    est as (select p.*, (select count(*) from signatures a join signatures b using (i) where a.text_hash = p."left" and b.text_hash = p."right" and a.v = b.v) / 120 as estimate from pairs p),
+    near as (select * from est where estimate >= 0.8),
+    jac as (select n.*, (select count(*) from grams a join grams b using (shingle) where a.text_hash = n."left" and b.text_hash = n."right") as both from near n),
+    reuse as (select j.source, "left", "right", round(estimate, 6) as estimate, round(both / (a.n + b.n - both), 6) as jaccard from jac j
+      join sizes a on a.text_hash = "left" join sizes b on b.text_hash = "right")
+    """
+
+
+def near_texts(spark, d, threshold: float = 0.8) -> DataFrame:
+    t = texts_of(spark, d).select("source", "text_hash", "text").dropDuplicates(["source", "text_hash"])
+    signed = minhash.with_signatures(t.select("text_hash", "text").dropDuplicates(["text_hash"])).drop("text")
+    return minhash.lsh_pairs(t.select("source", "text_hash").join(signed, "text_hash"), "source", "text_hash", threshold)
+
+
+@query(f"""{LSH} select source, "left", "right", estimate, jaccard from reuse""")
+def lsh_candidates(spark, d):
+    n = near_texts(spark, d)
+    return n.select("source", "left", "right", F.round("estimate", 6).alias("estimate"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""{LSH} select estimate, count(*) as n, round(1 - power(1 - power(estimate, 3), 40), 6) as passes from reuse group by estimate""")
+def s_curve(spark, d):
+    n = near_texts(spark, d).groupBy(F.round("estimate", 6).alias("estimate")).agg(F.count("*").alias("n"))
+    return n.withColumn("passes", F.round(C.pass_probability(F.col("estimate")), 6))
+
+
+@query(
+    f"""with {"d0 as (select doc_id as id, text from documents)"}, b0 as (select item_id as id, text from benchmark),
+    u as (select 'left' as side, id, text from d0 union all select 'right', id, text from b0), {sql.shingled("u", "side, id")},
+    sizes as (select side, id, count(*) as n from grams group by side, id),
+    both as (select l.id as doc_id, r.id as item_id, count(*) as k from grams l join grams r on l.shingle = r.shingle and l.side = 'left' and r.side = 'right' group by l.id, r.id)
+    select doc_id, item_id, round(k / (a.n + b.n - k), 6) as jaccard from both join sizes a on a.side = 'left' and a.id = doc_id join sizes b on b.side = 'right' and b.id = item_id
+    where k / (a.n + b.n - k) >= 0.3"""
+)
+def benchmark_overlap(spark, d):
+    """Documents against benchmark items by exact Jaccard of shingles, over a join on shingles."""
+    grams = lambda t, i: table(spark, d, t).select(F.col(i), F.explode(C.shingles(F.col("text"))).alias("g"))
+    sizes = lambda t, i, n: table(spark, d, t).select(i, F.size(C.shingles(F.col("text"))).alias(n))
+    both = grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"))
+    out = both.join(sizes("documents", "doc_id", "a"), "doc_id").join(sizes("benchmark", "item_id", "b"), "item_id")
+    j = F.col("k") / (F.col("a") + F.col("b") - F.col("k"))
+    return out.where(j >= 0.3).select("doc_id", "item_id", F.round(j, 6).alias("jaccard"))
+
+
+@query(
+    """with t as (select conv_id, turn, text, sha256(text) as h from conversations where text is not null and length(text) >= 20)
+    select h as text_hash, count(distinct conv_id) as conversations, count(*) as turns from t group by h having count(distinct conv_id) > 1"""
+)
+def conversation_reuse(spark, d):
+    t = table(spark, d, "conversations").where("length(text) >= 20").withColumn("text_hash", F.sha2("text", 256))
+    return t.groupBy("text_hash").agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("turns")).where("conversations > 1")
+
+
+# --- vectors
+
+
+def sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Vectors of even id against those of odd id, within a label."""
+    e = table(spark, d, "embeddings")
+    return tuple(e.where(F.col("vec_id") % 2 == m).select("label", F.col("vec_id").alias(f"{s}_chunk"), F.col("embedding").alias(f"{s}_vec")) for m, s in ((0, "left"), (1, "right")))
+
+
+@query(f"with {sql.SEMANTIC} select label, left_chunk, right_chunk, semantic_score from sem1 where n <= 5 and semantic_score >= 0.2")
+def semantic_topk(spark, d):
+    return semantic.semantic_candidates(*sides(spark, d), ["label"], 5, 0.2, 6)
+
+
+@query(
+    """with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), n as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from v),
+    s as (select q.vec_id as query_id, x.vec_id as id, round(list_dot_product(list_transform(q.v, lambda t: t / q.n), list_transform(x.v, lambda t: t / x.n)), 9) as similarity
+      from n q, n x where q.vec_id % 50 = 0)
+    select query_id, id, round(similarity, 6) as similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s) where rank <= 10"""
+)
+def vector_search(spark, d):
+    """Queries: every row whose id is divisible by 50, against all rows."""
+    e = table(spark, d, "embeddings")
+    found = semantic.vector_search(e.where("vec_id % 50 = 0"), e, 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("select vec_id, len(embedding) as dimension, round(sqrt(list_dot_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double))), 6) as norm from embeddings")
+def embedding_norms(spark, d):
+    return semantic.embedding_stats(table(spark, d, "embeddings")).select("vec_id", "dimension", F.round("norm", 6).alias("norm"))
+
+
+@query(
+    f"""with {sql.SEMANTIC}, a as (select label, left_chunk, right_chunk, semantic_score from sem1 where n <= 5 and semantic_score >= 0.2),
+    b as (select label, left_chunk, right_chunk, semantic_score as minhash_score from sem1 where n <= 2)
+    select label, left_chunk, right_chunk, semantic_score, minhash_score, case when semantic_score is not null then 'semantic' else 'minhash' end as rough_method,
+      coalesce(semantic_score, minhash_score) as rough_score from a full join b using (label, left_chunk, right_chunk)"""
+)
+def candidate_union(spark, d):
+    a = semantic.semantic_candidates(*sides(spark, d), ["label"], 5, 0.2, 6)
+    b = semantic.semantic_candidates(*sides(spark, d), ["label"], 2, -1.0, 6).withColumnRenamed("semantic_score", "minhash_score")
+    return candidates.merge_candidates(a, b, ["label", "left_chunk", "right_chunk"])
+
+
+def strategy_groups(spark, d) -> DataFrame:
+    c = semantic.semantic_candidates(*sides(spark, d), ["label"], 20, 0.1, 6)
+    l, r = F.col("left_chunk"), F.col("right_chunk")
+    return c.select(F.col("label").alias("pair_id"), l.alias("left_parent"), r.alias("right_parent"), F.round("semantic_score", 4).alias("final_score"), l.alias("left_start"), r.alias("right_start"))
+
+
+_OUT = "select pair_id, left_parent, right_parent, final_score from"
+_COLS = ["pair_id", "left_parent", "right_parent", "final_score"]
+
+
+@query(f"with {sql.STRATEGY} {_OUT} ranked where nl = 1 and nr = 1")
+def bidirectional_stable(spark, d):
+    return groups.match_strategy(strategy_groups(spark, d)).select(*_COLS)
+
+
+@query(f"with {sql.STRATEGY} {_OUT} ranked where (nl = 1 and nr = 1) or (final_score >= bl * 0.95 and final_score >= br * 0.95)")
+def bidirectional_relaxed(spark, d):
+    return groups.match_strategy(strategy_groups(spark, d), "bidirectional_relaxed").select(*_COLS)
+
+
+@query(f"with {sql.STRATEGY} {_OUT} matches")
+def strategy_all(spark, d):
+    return groups.match_strategy(strategy_groups(spark, d), "all").select(*_COLS)
+
+
+@query(f"with {sql.STRATEGY} {_OUT} ranked where nl = 1")
+def best_per_source(spark, d):
+    return groups.best_per_source(strategy_groups(spark, d).withColumn("semantic_score", F.col("final_score"))).select(*_COLS)
+
+
+@query(
+    f"""with {sql.STRATEGY} select pair_id, count(*) as total, count(distinct left_parent) as left_chunks, count(distinct right_parent) as right_chunks,
+    count(*) filter (nl = 1 and nr = 1) as stable, count(*) filter (not (nl = 1 and nr = 1)) as filtered_out from ranked group by pair_id"""
+)
+def filter_stats(spark, d):
+    return groups.filter_stats(strategy_groups(spark, d))
+
+
+@query(
+    f"""with {sql.STRATEGY} select case when final_score > 0.9 then '>.9' when final_score >= 0.85 then '>=.85' when final_score >= 0.8 then '>=.8' when final_score >= 0.7 then '>=.7' else 'else' end as level,
+    count(*) as n from matches group by level"""
+)
+def score_levels(spark, d):
+    return groups.score_levels(strategy_groups(spark, d))
+
+
+# --- reuse of sentences within a project
+
+
+def reused(spark, d) -> DataFrame:
+    docs = docs_of(spark, d)
+    p = chunks.split_paragraphs(docs)
+    s = chunks.assign_parents(p, chunks.split_sentences(docs)).join(docs.select("doc_id", "source"), "doc_id")
+    p = p.select("doc_id", F.col("chunk_index").alias("parent_index"), F.col("start_pos").alias("parent_start"), (F.col("end_pos") - F.col("start_pos")).alias("parent_length"))
+    s = s.join(p, ["doc_id", "parent_index"])
+    side = lambda x: s.select(
+        "source", "text_hash", F.col("doc_id").alias(f"{x}_document_id"), F.col("parent_index").alias(f"{x}_parent"), F.col("chunk_index").alias(f"{x}_chunk"),
+        F.col("parent_start").alias(f"{x}_start"), F.col("parent_length").alias(f"{x}_length"), F.col("text").alias(f"{x}_text"),
+    )
+    m = side("left").join(side("right"), ["source", "text_hash"]).where("left_document_id < right_document_id")
+    m = m.withColumn("pair_id", F.concat_ws("-", "left_document_id", "right_document_id"))
+    score = F.lit(1.0)
+    return m.withColumns({"final_score": score, "semantic_score": F.lit(None).cast("double"), "cross_score": score, "spans": F.array(C.full_span(F.col("left_text"), F.col("right_text")))})
+
+
+def reuse_groups(spark, d) -> DataFrame:
+    return groups.aggregate_groups(reused(spark, d))
+
+
+@query(f"with recursive {sql.REUSE} select pair_id, left_parent, right_parent, final_score, match_count, span_count, left_start, right_start, alignment_ratio from groups")
+def group_aggregate(spark, d):
+    return reuse_groups(spark, d).select(*groups.GROUP, "final_score", "match_count", "span_count", "left_start", "right_start", "alignment_ratio")
+
+
+REUSE_METRICS = f"""with recursive {sql.REUSE}, m as (select pair_id, count(*) as group_count, max(final_score) as top_score, sum(alignment_ratio) as total from groups group by pair_id)
+    select l.doc_id || '-' || r.doc_id as pair_id, coalesce(group_count, 0) as group_count, coalesce(top_score, 0.0) as top_score, round(coalesce(total, 0.0), 4) as aggregate_alignment
+    from documents l join documents r on l.source = r.source and l.doc_id < r.doc_id left join m on m.pair_id = l.doc_id || '-' || r.doc_id"""
+
+
+@query(REUSE_METRICS)
+def pair_metrics(spark, d):
+    pairs = jobs.document_pairs(docs_of(spark, d)).select(F.concat_ws("-", "left_document_id", "right_document_id").alias("pair_id"))
+    return groups.pair_metrics(pairs, reuse_groups(spark, d))
+
+
+@query(
+    f"""with recursive {sql.REUSE} select g.pair_id, g.left_parent, g.right_parent, l.lang as left_lang, r.lang as right_lang, count(*) as n_details, max(h.size) as longest
+    from groups g join hits h using (pair_id, left_parent, right_parent) join documents l on l.doc_id = g.left_document_id join documents r on r.doc_id = g.right_document_id group by all"""
+)
+def pair_report(spark, d):
+    m = reused(spark, d)
+    ids = m.select("pair_id", "left_document_id", "right_document_id").distinct()
+    g = groups.aggregate_groups(m).drop("details").withColumn("group_id", F.concat_ws("/", *groups.GROUP))
+    linked = groups.link_details(g, m.select(*groups.GROUP, "left_chunk", "right_chunk", "spans"))
+    out = report.match_report(ids, docs_of(spark, d), g, linked.drop("left_parent", "right_parent"))
+    longest = F.aggregate("details", F.lit(0), lambda a, x: F.greatest(a, x["spans"][0]["left_end"]))
+    return out.select(*groups.GROUP, F.col("left_document.lang").alias("left_lang"), F.col("right_document.lang").alias("right_lang"), F.size("details").alias("n_details"), longest.alias("longest"))
+
+
+INTERVALS = f"""{sql.REUSE}, sp as (select distinct pair_id, left_document_id, left_parent, right_parent, left_start as s, left_start + size as e from hits),
+    iv as (select pair_id, left_document_id, left_parent, right_parent, 'block' as mode, min(s) as s, max(e) as e, 0 as ordinal from sp group by all
+      union all select sp.pair_id, sp.left_document_id, sp.left_parent, sp.right_parent, 'fragment', s, e, row_number() over (partition by sp.pair_id, sp.left_parent, sp.right_parent order by s, e)
+      from sp join groups using (pair_id, left_parent, right_parent) where alignment_ratio < 0.75)"""
+
+
+@query(f"""with recursive {INTERVALS} select pair_id, left_parent, right_parent, mode, s as "start", e as "end", ordinal from iv""")
+def highlight_intervals(spark, d):
+    g = reuse_groups(spark, d).withColumn("spans", F.col("document_spans"))
+    return report.highlight_intervals(g, "left", groups.GROUP)
+
+
+@query(
+    f"""with recursive {INTERVALS}, k as (select distinct left_document_id as doc_id, pair_id || '/' || left_parent || '/' || right_parent as m, s, e from iv),
+    cuts as (select doc_id, s as at from k union select doc_id, e from k union select doc_id, 0 from documents union select doc_id, length(text) from documents),
+    seg as (select doc_id, at as s, lead(at) over (partition by doc_id order by at) as e from cuts)
+    select seg.doc_id, seg.s as "start", seg.e as "end", sha256(substr(any_value(d.text), seg.s + 1, (seg.e - seg.s)::bigint)) as digest, count(m) as active, coalesce(arg_min(m, (k.s, k.e, m)), '-') as main
+    from seg join documents d using (doc_id) left join k on k.doc_id = seg.doc_id and k.s <= seg.s and k.e >= seg.e where seg.e is not null group by all"""
+)
+def highlight_segments(spark, d):
+    m = reused(spark, d)
+    ids = m.select("pair_id", F.col("left_document_id").alias("doc_id")).distinct()
+    g = groups.aggregate_groups(m).withColumn("spans", F.col("document_spans"))
+    iv = report.highlight_intervals(g, "left", groups.GROUP).join(ids, "pair_id")
+    iv = iv.select("doc_id", F.concat_ws("/", *groups.GROUP).alias("match_key"), "start", "end").distinct()
+    s = report.highlight_segments(docs_of(spark, d), iv)
+    return s.select("doc_id", "start", "end", F.sha2("text", 256).alias("digest"), F.size("matches").cast("long").alias("active"), F.coalesce(F.get("matches", F.lit(0)), F.lit("-")).alias("main"))
+
+
+@query(
+    f"""with recursive {sql.REUSE}, o as (select distinct left_document_id as k, left_start as a, left_start + size as b, right_start as c, right_start + size as e, pair_id as p from hits),
+    w as (select *, max(b) over (partition by p order by a, b, c, e rows between unbounded preceding and 1 preceding) as before from o),
+    f as (select *, sum(case when before is null or a > before then 1 else 0 end) over (partition by p order by a, b, c, e) as island from w)
+    select p as pair_id, min(a) as left_start, max(b) as left_end, arg_min(c, (a, b, c, e)) as right_start, max(e) as right_end from f group by p, island"""
+)
+def merge_overlapping_spans(spark, d):
+    s = reused(spark, d).select("pair_id", F.explode("spans").alias("s"), "left_start", "right_start")
+    s = s.select("pair_id", C.moved(F.col("s"), F.col("left_start"), F.col("right_start")).alias("s")).select("pair_id", "s.*").distinct()
+    return groups.merge_overlapping_spans(s, ["pair_id"])
+
+
+@query(f"with recursive {sql.REUSE} select count(*) - count(distinct (left_text, right_text)) as hits, count(distinct (left_text, right_text)) as misses, (count(*) - count(distinct (left_text, right_text))) / count(*) as hit_rate, count(distinct (left_text, right_text)) as size from (select l.text_hash as left_text, r.text_hash as right_text from placed l join placed r on l.source = r.source and l.text_hash = r.text_hash and l.doc_id < r.doc_id)")
+def score_dedup_stats(spark, d):
+    m = reused(spark, d)
+    return candidates.score_cache_stats(m.withColumns({"left_hash": F.col("text_hash"), "right_hash": F.col("text_hash")}))
+
+
+STAGES = """r as (select source as run_id, lang as stage, doc_id, n_chars from documents),
+    s as (select run_id, stage, sum(n_chars) / 1000 as seconds, count(*) as before, count(*) filter (n_chars > 1000) as after, count(distinct n_chars) as api_calls,
+      count(*) filter (n_chars > 3000) as cache_hits, count(*) filter (n_chars <= 3000) as cache_misses from r group by all)"""
+
+
+def stages(spark, d) -> DataFrame:
+    """Projects as runs and languages as stages: long texts stand for what a stage keeps and for cache hits."""
+    n = F.col("n_chars")
+    return docs_of(spark, d).groupBy(F.col("source").alias("run_id"), F.col("lang").alias("stage")).agg(
+        (F.sum(n) / 1000).alias("seconds"), F.count("*").alias("before"), F.count_if(n > 1000).alias("after"), F.count_distinct(n).alias("api_calls"),
+        F.count_if(n > 3000).alias("cache_hits"), F.count_if(n <= 3000).alias("cache_misses"),
+    )
+
+
+@query(
+    f"""with {STAGES} select *, case when before = 0 then 0.0 else 1 - after / before end as reduction_rate,
+    case when cache_hits + cache_misses = 0 then 0.0 else cache_hits / (cache_hits + cache_misses) end as cache_hit_rate from s"""
+)
+def stage_metrics(spark, d):
+    return metrics.stage_metrics(stages(spark, d))
+
+
+@query(
+    f"""with {STAGES} select stage, count(*) as runs, round(avg(seconds), 3) as avg_seconds, round(avg(1 - after / before), 3) as avg_reduction, round(avg(api_calls), 1) as avg_api_calls,
+    round(sum(cache_hits) / (sum(cache_hits) + sum(cache_misses)), 3) as hit_rate from s group by stage"""
+)
+def aggregate_metrics(spark, d):
+    return metrics.aggregate_metrics(stages(spark, d))
+
+
+# --- whole comparison; not expressed in SQL
+
+
+@query()
+def project_comparison(spark, d):
+    """Stable near-duplicate paragraphs of every pair of documents of a project: count, best score, aligned share."""
+    from textreuse.plans.compare import compare_projects
+
+    return compare_projects(docs_of(spark, d)).select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")
+
+
+@query()
+def align_spans(spark, d):
+    """Fine alignment of the near-equal paragraphs of each project."""
+    t = texts_of(spark, d).select("source", "text_hash", "text").dropDuplicates(["source", "text_hash"])
+    n = near_texts(spark, d).select("source", "left", "right")
+    for s in ("left", "right"):
+        n = n.join(t.select("source", F.col("text_hash").alias(s), F.col("text").alias(f"{s}_text")), ["source", s])
+    return align.align_spans(n.withColumn("pair_id", F.concat_ws("-", "source", "left", "right")))
+
+
+@query()
+def drop_overlaps(spark, d):
+    """Non-overlapping highlights of each document, first come."""
+    m = reused(spark, d).select(F.col("left_document_id").alias("doc_id"), F.col("left_start").alias("start"), (F.col("left_start") + F.length("left_text")).alias("end")).distinct()
+    return report.drop_overlaps(m)
+
+
+@query()
+def greedy_one_to_one(spark, d):
+    return groups.greedy_one_to_one(strategy_groups(spark, d)).select(*_COLS)
