@@ -121,7 +121,9 @@ def _balls(fps: DataFrame, segments: list, bits: int) -> DataFrame:
     held = held.groupBy(*by).agg(F.count("*").alias("n"), F.min("fp").alias("one"))
     around = F.array(*(wide(s, x) for s, v in enumerate(segments) for x in _ball(v, bits)))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("one")))
-    return fps.select(*keep, F.explode(around).alias("at")).join(held, by).where((F.col("n") > 1) | far.between(1, RADIUS))
+    # Spark takes an exploded table for as small as what it came from, and would broadcast it
+    near = fps.select(*keep, F.explode(around).alias("at"))
+    return near.join(held.hint("merge"), by).where((F.col("n") > 1) | far.between(1, RADIUS))
 
 
 def links(fps: DataFrame, scratch: Scratch, hot: int = 4096) -> DataFrame:
