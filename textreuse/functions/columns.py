@@ -42,7 +42,10 @@ def shingles(text: Column, k: int = 3) -> Column:
     """Distinct lower-case k-grams of the text with white space collapsed, all-blank ones left out; a text of fewer
     than k signs is its own shingle."""
     t = F.lower(F.regexp_replace(text, rf"{SPACE}+", " "))
-    grams = F.when(F.length(t) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(k))))
+    # a lookahead steps through the text once; it would cut pairs of surrogates, so such texts take the other way
+    fast = F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    slow = F.when(F.length(t) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(k))))
+    grams = F.when(F.rlike(t, F.lit(r"[\x{10000}-\x{10FFFF}]")), slow).otherwise(fast)
     grams = F.array_distinct(F.filter(F.coalesce(grams, F.array().cast("array<string>")), lambda g: F.trim(g) != ""))
     return F.when(F.length(text) < k, F.array(text)).otherwise(grams)
 

@@ -94,7 +94,8 @@ def has_active_pairs(pairs: DataFrame, job: str = "job_id") -> DataFrame:
 def job_progress(events: DataFrame, job: str = "job_id", status: str = "status", at: str = "ts", done: tuple = ("completed", "failed", "skipped")) -> DataFrame:
     """Percent done, items per second and seconds left of each job, from its items' latest state."""
     finished = F.col(status).isin(*done)
-    seconds = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6
+    micros = lambda f: F.unix_micros(f(F.col(at).cast("timestamp")))
+    seconds = (micros(F.max) - micros(F.min)) / 1e6
     out = events.groupBy(job).agg(F.count("*").alias("total"), F.count_if(finished).alias("done"), seconds.alias("seconds"))
     rate = F.when(F.col("seconds") > 0, F.col("done") / F.col("seconds"))
     return out.withColumns({"percent": F.round(100 * F.col("done") / F.col("total"), 2), "per_second": F.round(rate, 6), "seconds_left": F.when(rate > 0, F.round((F.col("total") - F.col("done")) / rate, 3))})

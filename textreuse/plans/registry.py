@@ -276,8 +276,8 @@ LSH = f"""with recursive {sql.PARAGRAPHS}, {DISTINCT}, {sql.shingled("distinct_t
     sizes as (select text_hash, count(*) as n from grams group by text_hash),
     est as (select p.*, (select count(*) from signatures a join signatures b using (i) where a.text_hash = p."left" and b.text_hash = p."right" and a.v = b.v) / 120 as estimate from pairs p),
     near as (select * from est where estimate >= 0.8),
-    jac as (select n.*, (select count(*) from grams a join grams b using (shingle) where a.text_hash = n."left" and b.text_hash = n."right") as both from near n),
-    reuse as (select j.source, "left", "right", round(estimate, 6) as estimate, round(both / (a.n + b.n - both), 6) as jaccard from jac j
+    jac as (select n.*, (select count(*) from grams a join grams b using (shingle) where a.text_hash = n."left" and b.text_hash = n."right") as shared from near n),
+    reuse as (select j.source, "left", "right", round(estimate, 6) as estimate, round(shared / (a.n + b.n - shared), 6) as jaccard from jac j
       join sizes a on a.text_hash = "left" join sizes b on b.text_hash = "right")
     """
 
@@ -304,8 +304,8 @@ def s_curve(spark, d):
     f"""with {"d0 as (select doc_id as id, text from documents)"}, b0 as (select item_id as id, text from benchmark),
     u as (select 'left' as side, id, text from d0 union all select 'right', id, text from b0), {sql.shingled("u", "side, id")},
     sizes as (select side, id, count(*) as n from grams group by side, id),
-    both as (select l.id as doc_id, r.id as item_id, count(*) as k from grams l join grams r on l.shingle = r.shingle and l.side = 'left' and r.side = 'right' group by l.id, r.id)
-    select doc_id, item_id, round(k / (a.n + b.n - k), 6) as jaccard from both join sizes a on a.side = 'left' and a.id = doc_id join sizes b on b.side = 'right' and b.id = item_id
+    shared as (select l.id as doc_id, r.id as item_id, count(*) as k from grams l join grams r on l.shingle = r.shingle and l.side = 'left' and r.side = 'right' group by l.id, r.id)
+    select doc_id, item_id, round(k / (a.n + b.n - k), 6) as jaccard from shared join sizes a on a.side = 'left' and a.id = doc_id join sizes b on b.side = 'right' and b.id = item_id
     where k / (a.n + b.n - k) >= 0.3"""
 )
 def benchmark_overlap(spark, d):
@@ -374,7 +374,7 @@ def candidate_union(spark, d):
 def strategy_groups(spark, d) -> DataFrame:
     c = semantic.semantic_candidates(*sides(spark, d), ["label"], 20, 0.1, 6)
     l, r = F.col("left_chunk"), F.col("right_chunk")
-    return c.select(F.col("label").alias("pair_id"), l.alias("left_parent"), r.alias("right_parent"), F.round("semantic_score", 4).alias("final_score"), l.alias("left_start"), r.alias("right_start"))
+    return c.select(F.col("label").alias("pair_id"), l.alias("left_parent"), r.alias("right_parent"), F.col("semantic_score").alias("final_score"), l.alias("left_start"), r.alias("right_start"))
 
 
 _OUT = "select pair_id, left_parent, right_parent, final_score from"
@@ -484,8 +484,8 @@ def highlight_intervals(spark, d):
 
 @query(
     f"""with recursive {INTERVALS}, k as (select distinct left_document_id as doc_id, pair_id || '/' || left_parent || '/' || right_parent as m, s, e from iv),
-    cuts as (select doc_id, s as at from k union select doc_id, e from k union select doc_id, 0 from documents union select doc_id, length(text) from documents),
-    seg as (select doc_id, at as s, lead(at) over (partition by doc_id order by at) as e from cuts)
+    cuts as (select doc_id, s as pos from k union select doc_id, e from k union select doc_id, 0 from documents union select doc_id, length(text) from documents),
+    seg as (select doc_id, pos as s, lead(pos) over (partition by doc_id order by pos) as e from cuts)
     select seg.doc_id, seg.s as "start", seg.e as "end", sha256(substr(any_value(d.text), seg.s + 1, (seg.e - seg.s)::bigint)) as digest, count(m) as active, coalesce(arg_min(m, (k.s, k.e, m)), '-') as main
     from seg join documents d using (doc_id) left join k on k.doc_id = seg.doc_id and k.s <= seg.s and k.e >= seg.e where seg.e is not null group by all"""
 )

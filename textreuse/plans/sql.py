@@ -8,8 +8,8 @@ from textreuse.operators.minhash import coefficient_pairs
 LINES = """
 l0 as (select doc_id, source, lang = 'en' as english, string_split(text, chr(10)) as l from documents),
 l1 as (select doc_id, source, english, unnest(l) as line, unnest(generate_series(1, len(l))) as i from l0),
-l2 as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as at from l1),
-lines as (select doc_id, source, english, i, trim(line, ' ' || chr(9)) as line, at + length(line) - length(ltrim(line, ' ' || chr(9))) as at from l2)
+l2 as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as pos from l1),
+lines as (select doc_id, source, english, i, trim(line, ' ' || chr(9)) as line, pos + length(line) - length(ltrim(line, ' ' || chr(9))) as pos from l2)
 """
 
 
@@ -28,26 +28,26 @@ _BLANK = """case when strpos(reverse(substr(rest, 1, length(rest) // 2)), ' ') >
 PARAGRAPHS = (
     LINES
     + f""",
-c0(doc_id, source, english, i, k, rest, at, cut) as (
-  select doc_id, source, english, i, 0, line, at, null::bigint from lines where length(line) >= 20
+c0(doc_id, source, english, i, k, rest, pos, cut) as (
+  select doc_id, source, english, i, 0, line, pos, null::bigint from lines where length(line) >= 20
   union all
-  select doc_id, source, english, i, k + 1, ltrim(substr(rest, cut + 1), ' '), at + cut + length(substr(rest, cut + 1)) - length(ltrim(substr(rest, cut + 1), ' ')), null
-  from (select doc_id, source, english, i, k, rest, at,
+  select doc_id, source, english, i, k + 1, ltrim(substr(rest, cut + 1), ' '), pos + cut + length(substr(rest, cut + 1)) - length(ltrim(substr(rest, cut + 1), ' ')), null
+  from (select doc_id, source, english, i, k, rest, pos,
     case when english then coalesce({_near(". ")}, {_near("; ")}, {_BLANK}, length(rest) // 2)
     else coalesce({_near("。")}, {_near("；")}, length(rest) // 2) end as cut from c0 where length(rest) > 600)
 ),
-c1 as (select *, lead(at) over (partition by doc_id, i order by k) as next_at from c0),
-c2 as (select doc_id, source, i, k, at as start_pos,
-  rtrim(case when next_at is null then rest else substr(rest, 1, (next_at - at)::bigint) end, ' ') as text from c1),
+c1 as (select *, lead(pos) over (partition by doc_id, i order by k) as next_pos from c0),
+c2 as (select doc_id, source, i, k, pos as start_pos,
+  rtrim(case when next_pos is null then rest else substr(rest, 1, (next_pos - pos)::bigint) end, ' ') as text from c1),
 paragraphs as (select doc_id, source, row_number() over (partition by doc_id order by start_pos) - 1 as chunk_index,
   start_pos, start_pos + length(text) as end_pos, text, sha256(text) as text_hash from c2 where length(text) >= 20)
 """
 )
 
 SENTENCES = """
-s0 as (select doc_id, source, english, i, at, regexp_extract_all(line, '[^.!?。！？；]*[.!?。！？；]|[^.!?。！？；]+') as l from lines where length(line) > 0),
-s1 as (select doc_id, source, english, i, at, unnest(l) as part, unnest(generate_series(1, len(l))) as k from s0),
-s2 as (select *, at + coalesce(sum(length(part)) over (partition by doc_id, i order by k rows between unbounded preceding and 1 preceding), 0)::bigint as p from s1),
+s0 as (select doc_id, source, english, i, pos, regexp_extract_all(line, '[^.!?。！？；]*[.!?。！？；]|[^.!?。！？；]+') as l from lines where length(line) > 0),
+s1 as (select doc_id, source, english, i, pos, unnest(l) as part, unnest(generate_series(1, len(l))) as k from s0),
+s2 as (select *, pos + coalesce(sum(length(part)) over (partition by doc_id, i order by k rows between unbounded preceding and 1 preceding), 0)::bigint as p from s1),
 s3 as (select doc_id, source, english, trim(part) as text, p + length(part) - length(ltrim(part)) as start_pos from s2),
 sentences as (select doc_id, source, row_number() over (partition by doc_id order by start_pos) - 1 as chunk_index,
   start_pos, start_pos + length(text) as end_pos, text, sha256(text) as text_hash from s3 where length(text) >= case when english then 40 else 20 end)
@@ -103,7 +103,7 @@ sem1 as (select *, row_number() over (partition by label, left_chunk order by se
 STRATEGY = (
     SEMANTIC
     + """,
-matches as (select label as pair_id, left_chunk as left_parent, right_chunk as right_parent, round(semantic_score, 4) as final_score,
+matches as (select label as pair_id, left_chunk as left_parent, right_chunk as right_parent, semantic_score as final_score,
   left_chunk as left_start, right_chunk as right_start from sem1 where n <= 20 and semantic_score >= 0.1),
 ranked as (select *, row_number() over (partition by pair_id, left_parent order by final_score desc, left_start, right_start) as nl,
   row_number() over (partition by pair_id, right_parent order by final_score desc, left_start, right_start) as nr,
