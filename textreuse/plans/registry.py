@@ -274,9 +274,12 @@ LSH = f"""with recursive {sql.PARAGRAPHS}, {DISTINCT}, {sql.shingled("distinct_t
     pairs as (select distinct l.source, l.text_hash as "left", r.text_hash as "right" from placed_bands l join placed_bands r
       on l.source = r.source and l.band = r.band and l.band_key = r.band_key and l.text_hash < r.text_hash),
     sizes as (select text_hash, count(*) as n from grams group by text_hash),
-    est as (select p.*, (select count(*) from signatures a join signatures b using (i) where a.text_hash = p."left" and b.text_hash = p."right" and a.v = b.v) / 120 as estimate from pairs p),
+    sigs as (select text_hash, list(v order by i) as s from signatures group by text_hash),
+    est as (select p.*, list_sum(list_transform(generate_series(1, 120), lambda k: case when a.s[k] = b.s[k] then 1 else 0 end)) / 120 as estimate
+      from pairs p join sigs a on a.text_hash = p."left" join sigs b on b.text_hash = p."right"),
     near as (select * from est where estimate >= 0.8),
-    jac as (select n.*, (select count(*) from grams a join grams b using (shingle) where a.text_hash = n."left" and b.text_hash = n."right") as shared from near n),
+    sets as (select text_hash, list(shingle) as g from grams group by text_hash),
+    jac as (select n.*, len(list_intersect(a.g, b.g)) as shared from near n join sets a on a.text_hash = n."left" join sets b on b.text_hash = n."right"),
     reuse as (select j.source, "left", "right", round(estimate, 6) as estimate, round(shared / (a.n + b.n - shared), 6) as jaccard from jac j
       join sizes a on a.text_hash = "left" join sizes b on b.text_hash = "right")
     """
@@ -487,7 +490,7 @@ def highlight_intervals(spark, d):
     cuts as (select doc_id, s as pos from k union select doc_id, e from k union select doc_id, 0 from documents union select doc_id, length(text) from documents),
     seg as (select doc_id, pos as s, lead(pos) over (partition by doc_id order by pos) as e from cuts)
     select seg.doc_id, seg.s as "start", seg.e as "end", sha256(substr(any_value(d.text), seg.s + 1, (seg.e - seg.s)::bigint)) as digest, count(m) as active, coalesce(arg_min(m, (k.s, k.e, m)), '-') as main
-    from seg join documents d using (doc_id) left join k on k.doc_id = seg.doc_id and k.s <= seg.s and k.e >= seg.e where seg.e is not null group by all"""
+    from seg join documents d using (doc_id) left join k on k.doc_id = seg.doc_id and k.s <= seg.s and k.e >= seg.e where seg.e is not null group by seg.doc_id, seg.s, seg.e"""
 )
 def highlight_segments(spark, d):
     m = reused(spark, d)

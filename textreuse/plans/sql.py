@@ -69,7 +69,8 @@ def shingled(table: str, key: str) -> str:
     """(key, shingle) distinct, of (key, text) rows."""
     return f"""
 t0 as (select {key}, text as raw, lower(regexp_replace(text, '\\s+', ' ', 'g')) as t from {table}),
-t1 as (select {key}, unnest(case when length(raw) < 3 then [raw] else list_transform(generate_series(1, greatest(length(t) - 2, 1)), lambda i: substr(t, i, 3)) end) as shingle, length(raw) < 3 as short from t0),
+t1 as (select {key}, unnest(case when length(raw) < 3 then [raw] else list_transform(generate_series(1, greatest(len(c) - 2, 1)), lambda i: c[i] || coalesce(c[i + 1], '') || coalesce(c[i + 2], '')) end) as shingle, length(raw) < 3 as short
+  from (select *, string_split(t, '') as c from t0)),
 grams as (select distinct {key}, shingle from t1 where short or trim(shingle) <> '')
 """
 
