@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, terms: list[str] | None = None, segment_bytes:
                 order = order[np.searchsorted(which[order], 0) :]
                 which, pos, names = which[order], pos[order], list(ids)
                 cuts = np.flatnonzero(np.diff(which, prepend=-1))
-                ends = np.append(cuts[1:], len(which))
+                ends = np.append(cuts[1:], len(which))[: len(cuts)]
                 rows = len(cuts) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
