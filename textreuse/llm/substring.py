@@ -201,10 +201,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     found, parts = repeats(docs, Scratch(docs.sparkSession, "substring"), length, gram)
     lost = found.where("copy").select("doc_id", "sha", F.lit(True).alias("gone"), F.lit(None).cast("string").alias("kept"))
     parts = parts.select("doc_id", "sha", (F.length("kept") == 0).alias("gone"), "kept")
-    changes = lost.unionByName(parts).dropDuplicates(["doc_id", "sha"]).withColumnRenamed("doc_id", "_id")
-    by_words = F.sha2(F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " "), 256)
-    out = docs.withColumn("_sha", by_words)
-    out = out.join(changes, (out["doc_id"] == F.col("_id")) & (F.col("_sha") == F.col("sha")), "left").where(~F.coalesce("gone", F.lit(False)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    changes = lost.unionByName(parts).dropDuplicates(["doc_id", "sha"])
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # the row travels as one column, so no column of docs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.array_join(words, " "), 256).alias("sha"))
+    rows = rows.join(changes, ["doc_id", "sha"], "left").where(~F.coalesce("gone", F.lit(False)))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return rows.select(*((F.coalesce(new[c].cast(kinds[c]), f"row.{c}") if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
