@@ -39,13 +39,17 @@ class Scratch:
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
         return self.get(name, df)
 
+    def clean(self) -> None:
+        """Lets Spark remove the shuffle files of what is out of use now, not when the driver next collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def free(self, name: str) -> None:
-        """Deletes a table that nothing reads any more, and lets Spark clean the shuffle files of what is out of use."""
+        """Deletes a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        self.clean()
 
     def get(self, name: str, like: DataFrame | None = None) -> DataFrame:
         reader = self.spark.read

@@ -29,14 +29,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, pieces, texts
 
 K = 5
 HOT = 500_000
 END = b""  # no word is empty
-CHUNK_TOKENS = 2_500_000
-BUCKET_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
+BUCKET_TOKENS = 2_000_000
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -50,16 +51,20 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
-def listed(x: np.ndarray) -> bytes:
-    """Repeated values as numbers into the list of distinct ones."""
-    values, at = np.unique(x, return_inverse=True)
-    first, second = packed(values), packed(at)
-    return len(first).to_bytes(8, "little") + first + second
+def listed(x: np.ndarray, *along: np.ndarray) -> bytes:
+    """Repeated values as numbers into the list of distinct ones; along: what depends on the value, listed once as well."""
+    values, first, at = np.unique(x, return_index=True, return_inverse=True)
+    parts = [packed(at), packed(values), *(packed(y[first]) for y in along)]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
-def unlisted(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    return unpacked(raw[8 : 8 + n])[unpacked(raw[8 + n :])]
+def unlisted(raw: bytes) -> list[np.ndarray]:
+    parts, i = [], 0
+    while i < len(raw):
+        n = int.from_bytes(raw[i : i + 8], "little")
+        parts.append(unpacked(raw[i + 8 : i + 8 + n]))
+        i += 8 + n
+    return [x[parts[0]] for x in parts[1:]]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -178,7 +183,7 @@ def deal(chunks: DataFrame, one: Unigrams, buckets: int, hot: int) -> DataFrame:
     def split(got: dict) -> Iterator[dict]:
         key, held = got["chunk"].as_py(), np.array(got["held"].as_py(), bool)
         sizes, t, words = (unpacked(got[c].as_py()) for c in ("sizes", "tokens", "vocabulary"))
-        total = np.zeros(len(words), np.int64)
+        total = unpacked(got["counts"].as_py()).copy()
         counts = got["word_counts"].values
         total[counts.field("at").to_numpy(zero_copy_only=False)] = counts.field("total").to_numpy(zero_copy_only=False)
         end = int(np.flatnonzero(words == END_HASH)[0])
@@ -216,8 +221,7 @@ def deal(chunks: DataFrame, one: Unigrams, buckets: int, hot: int) -> DataFrame:
             o = order[a:z]
             mine = np.repeat(begin[o] - np.cumsum(entries[o]) + entries[o], entries[o]) + np.arange(entries[o].sum())
             yield {
-                "kind": "pairs", "bucket": int(where[o[0]]), "chunk": key, "a": listed(words[h[o]]), "b": listed(words[w[o]]), "c": listed(total[h[o]]),
-                "d": listed(total[w[o]]), "e": packed(learnt[o]), "f": packed(entries[o]), "g": packed(doc[mine]), "x": packed(n[mine]),
+                "kind": "pairs", "bucket": int(where[o[0]]), "chunk": key, "a": listed(words[h[o]], total[h[o]]), "b": listed(words[w[o]], total[w[o]]), "e": packed(learnt[o]), "f": packed(entries[o]), "g": packed(doc[mine]), "x": packed(n[mine]),
             }
 
     return chunks.mapInArrow(run, PARTS)
@@ -235,9 +239,11 @@ def gather(parts: DataFrame, one: Unigrams, hot: int) -> DataFrame:
         rows = table.to_pylist()
         rows.sort(key=lambda r: r["chunk"])
         bucket = rows[0]["bucket"]
-        columns = {c: [(unlisted if c in "abcd" else unpacked)(r[c]) for r in rows] for c in "abcdefgx"}
-        sizes = [len(x) for x in columns["a"]]
-        h, w, ch, cw, learnt, entries = (np.concatenate(columns[c]) for c in "abcdef")
+        history, word = ([unlisted(r[c]) for r in rows] for c in "ab")
+        sizes = [len(x) for x, _ in history]
+        h, ch, w, cw = (np.concatenate([x[i] for x in side]) for side in (history, word) for i in (0, 1))
+        learnt, entries = (np.concatenate([unpacked(r[c]) for r in rows]) for c in "ef")
+        del history, word
         order = np.lexsort((w, h))
         new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])))
         of = np.empty(len(h), np.int64)
@@ -262,7 +268,8 @@ def gather(parts: DataFrame, one: Unigrams, hot: int) -> DataFrame:
         log = np.where(seen, np.log10(np.maximum(c, 1) / below[group]), 0.0)
         kind = np.where(seen & (c <= K), c, 0)
         a = 0
-        for r, m, doc, n in zip(rows, sizes, columns["g"], columns["x"], strict=True):
+        for r, m in zip(rows, sizes, strict=True):
+            doc, n = unpacked(r["g"]), unpacked(r["x"])
             mine = np.repeat(of[a : a + m], entries[a : a + m])
             a += m
             docs, at = np.unique(doc, return_inverse=True)
@@ -320,16 +327,21 @@ def score(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, buc
     """
     scratch = Scratch(docs.sparkSession, "katz")
     chunks = scratch.put(encode(docs, chunk_tokens), "chunks")
-    words = vocabularies(chunks).groupBy("word").agg(F.sum("n").alias("total")).where("total > 0")
-    words = scratch.put(words, "unigrams")
+    # one exchange: the total of each word, its first row (which stands for the word), back to its chunks
+    mine = Window.partitionBy("word")
+    given = vocabularies(chunks).withColumns({"total": F.sum("n").over(mine), "first": F.row_number().over(mine.orderBy("chunk")) == 1})
+    given = scratch.put(given.where("first or total <> n").drop("word"), "unigrams")
+    words = given.where("first and total > 0")
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     counts = {r["total"]: r["n"] for r in words.where(F.col("total") <= K + 1).groupBy("total").agg(F.count("*").alias("n")).collect()}
     one = Unigrams(sums["total"], sums["distinct"], counts)
-    given = vocabularies(chunks).select("chunk", "at", "word").join(words, "word").groupBy("chunk")
-    given = given.agg(F.collect_list(F.struct("at", "total")).alias("word_counts"))
-    none = F.array().cast("array<struct<at:long,total:long>>")
-    counted = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "vocabulary").join(given, "chunk", "left")
-    counted = scratch.put(counted.withColumn("word_counts", F.coalesce("word_counts", none)), "counted")
+    scratch.clean()
+    # a chunk's own count is the total where no row says otherwise
+    back = given.where("total <> n").select("chunk", F.struct(F.col("at").cast("int").alias("at"), "total").alias("x"))
+    back = back.groupBy("chunk").agg(F.collect_list("x").alias("word_counts"))
+    none = F.array().cast("array<struct<at:int,total:long>>")
+    counted = chunks.join(back, "chunk", "left").withColumn("word_counts", F.coalesce("word_counts", none))
+    counted = scratch.put(counted, "counted")
     scratch.free("chunks")
     buckets = max(1, -(-one.total // bucket_tokens))
     parts = scratch.put(gather(deal(counted, one, buckets, hot), one, hot), "ngrams", by="kind")
