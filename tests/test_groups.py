@@ -20,6 +20,7 @@ def test_strategies(spark):
     assert keys(groups.best_per_source(m)) == [(1, 1), (2, 1), (3, 2)]
     assert keys(groups.match_strategy(m)) == [(2, 1)]
     assert keys(groups.match_strategy(m, "bidirectional_relaxed")) == [(1, 2), (2, 1), (3, 2)]
+    assert keys(groups.greedy_one_to_one(m)) == [(1, 2), (2, 1), (3, 3)]
     s = groups.filter_stats(m).first()
     assert (s.total, s.left_chunks, s.right_chunks, s.stable, s.filtered_out) == (5, 3, 3, 1, 4)
 

@@ -322,12 +322,14 @@ def benchmark_overlap(spark, d):
 
 
 @query(
-    """with t as (select conv_id, turn, text, sha256(text) as h from conversations where text is not null and length(text) >= 20)
-    select h as text_hash, count(distinct conv_id) as conversations, count(*) as turns from t group by h having count(distinct conv_id) > 1"""
+    """with t as (select conv_id, unnest(string_split(text, chr(10))) as line from conversations)
+    select sha256(line) as line_hash, count(distinct conv_id) as conversations, count(*) as places from t where length(line) >= 10 group by line having count(distinct conv_id) > 1"""
 )
 def conversation_reuse(spark, d):
-    t = table(spark, d, "conversations").where("length(text) >= 20").withColumn("text_hash", F.sha2("text", 256))
-    return t.groupBy("text_hash").agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("turns")).where("conversations > 1")
+    """Lines that stand in several conversations."""
+    t = table(spark, d, "conversations").select("conv_id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 10")
+    t = t.groupBy(F.sha2("line", 256).alias("line_hash")).agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("places"))
+    return t.where("conversations > 1")
 
 
 # --- vectors
