@@ -32,15 +32,20 @@ def highlight_intervals(groups: DataFrame, side: str, key: list[str], threshold:
 
 def highlight_segments(docs: DataFrame, intervals: DataFrame, id_col: str = "doc_id", match: str = "match_key") -> DataFrame:
     """(id, start, end, text, matches): the text cut at every boundary, with the matches active there, in the order of
-    their intervals (the first is primary). Intervals: id, match, start, end. Segments join to the text's whole."""
-    clean = intervals.where("end > start")
+    their intervals (the first is primary). Intervals: id, match, start, end; what lies beyond the text is cut off."""
     size = docs.select(id_col, F.length("text").alias("_n"))
-    cuts = clean.select(id_col, F.explode(F.array("start", "end")).alias("at")).unionByName(docs.select(id_col, F.explode(F.array(F.lit(0), F.length("text"))).alias("at")))
-    cuts = cuts.join(size, id_col).select(id_col, F.least("at", "_n").alias("start")).distinct()
-    segments = cuts.withColumn("end", F.lead("start").over(Window.partitionBy(id_col).orderBy("start"))).where("end is not null")
-    active = clean.select(id_col, F.col("start").alias("_s"), F.col("end").alias("_e"), match)
-    held = segments.join(active, [id_col]).where("_s <= start and _e >= end").groupBy(id_col, "start", "end").agg(F.array_sort(F.collect_list(F.struct("_s", "_e", match))).alias("_m"))
-    out = segments.join(held, [id_col, "start", "end"], "left").join(docs.select(id_col, "text"), id_col)
+    clean = intervals.where("end > start").join(size, id_col)
+    clean = clean.select(id_col, match, F.col("start").alias("_s"), F.col("end").alias("_e"), F.least("start", "_n").alias("_a"), F.least("end", "_n").alias("_z")).where("_a < _z")
+    ends = clean.select(id_col, F.explode(F.array("_a", "_z")).alias("start"))
+    cuts = ends.unionByName(size.select(id_col, F.explode(F.array(F.lit(0), "_n")).alias("start"))).distinct()
+    order = Window.partitionBy(id_col).orderBy("start")
+    cuts = cuts.withColumns({"_i": F.row_number().over(order), "end": F.lead("start").over(order)})
+    # the numbers of the cuts say which segments an interval covers, so each is met once
+    for at, number in (("_a", "_from"), ("_z", "_to")):
+        clean = clean.join(cuts.select(id_col, F.col("start").alias(at), F.col("_i").alias(number)), [id_col, at])
+    active = clean.select(id_col, "_s", "_e", match, F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_i"))
+    active = active.groupBy(id_col, "_i").agg(F.array_sort(F.collect_list(F.struct("_s", "_e", match))).alias("_m"))
+    out = cuts.where("end is not null").join(active, [id_col, "_i"], "left").join(docs.select(id_col, "text"), id_col)
     found = F.coalesce(F.transform("_m", lambda m: m[match]), F.array().cast(f"array<{intervals.schema[match].dataType.simpleString()}>"))
     return out.select(id_col, "start", "end", F.expr("substring(text, start + 1, end - start)").alias("text"), found.alias("matches"))
 
