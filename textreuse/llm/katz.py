@@ -36,18 +36,23 @@ from .common import Scratch, pieces, texts
 K = 5
 HOT = 500_000
 END = b""  # no word is empty
-CHUNK_TOKENS = 1_500_000
-BUCKET_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_200_000
+BUCKET_TOKENS = 1_000_000
+#: The buckets are filled in so many rounds, so that only a share of the bigrams is in shuffle files at a time.
+ROUNDS = 2
+
+
+_SHRINK, _GROW = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
 def packed(x: np.ndarray) -> bytes:
     """Integers as the bytes of their planes, compressed."""
     x = np.ascontiguousarray(x, "<i8")
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _SHRINK.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_GROW.decompress(raw), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
@@ -81,7 +86,7 @@ def encode(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth, fresh = TaskContext.get().partitionId(), 0, True
         for big in batches:
-            for b in pieces(big, "text"):
+            for b in pieces(big, "text", 2_000_000):
                 if fresh:
                     seen: defaultdict[bytes, int] = defaultdict(count().__next__)
                     ids, held, sizes, tokens, fresh = [], [], [], [], False
@@ -91,7 +96,7 @@ def encode(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
                     sizes.append(len(mine) + 1)
                     words += mine
                     words.append(END)
-                tokens.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+                tokens.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 ids += b.column("doc_id").to_pylist()
                 held += b.column("held").to_pylist()
                 if sum(map(len, tokens)) >= chunk_tokens:
@@ -170,8 +175,8 @@ def rows_of(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist([{c: r.get(c) for c in NAMES} for r in rows], schema=SCHEMA)
 
 
-def deal(chunks: DataFrame, one: Unigrams, buckets: int, hot: int) -> DataFrame:
-    """chunks with word_counts array<struct<at, total>> -> local and pairs rows."""
+def deal(chunks: DataFrame, one: Unigrams, buckets: int, hot: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """chunks with word_counts array<struct<at, total>> -> pairs rows of the round's buckets; local rows in the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,27 +199,25 @@ def deal(chunks: DataFrame, one: Unigrams, buckets: int, hot: int) -> DataFrame:
         by_doc = lambda v: np.add.reduceat(v, starts)
         alone = total[before] == 0  # an unknown history leaves the word to itself
         local = np.where(alone, np.log10(one.p(total[t])), 0.0)
-        yield {
-            "kind": "local", "bucket": -1 - key % buckets, "chunk": key, "doc_ids": got["doc_ids"].as_py(), "held": got["held"].as_py(),
-            "a": packed(sizes), "b": packed(by_doc((total[t] > 0).astype(np.int64))), "x": by_doc(one.base(total[t])).tobytes(), "y": by_doc(local).tobytes(),
-        }
+        if turn == 0:
+            yield {
+                "kind": "local", "bucket": -1 - key % buckets, "chunk": key, "doc_ids": got["doc_ids"].as_py(), "held": got["held"].as_py(),
+                "a": packed(sizes), "b": packed(by_doc((total[t] > 0).astype(np.int64))), "x": by_doc(one.base(total[t])).tobytes(), "y": by_doc(local).tobytes(),
+            }
         h, w, doc = before[~alone], t[~alone], doc[~alone]
         if not len(h):
             return
         # entries: a bigram in a document, and how often
-        pair = h * len(words) + w
-        order = np.lexsort((doc, pair))
-        pair, doc = pair[order], doc[order]
-        first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1]))))
-        n = np.diff(np.append(first, len(pair)))
-        pair, doc = pair[first], doc[first]
+        pair, doc, n = entries_of(h * len(words) + w, doc, len(words) ** 2, len(sizes))
         at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         entries = np.diff(np.append(at, len(pair)))
         learnt = np.add.reduceat(np.where(held[doc], 0, n), at)
         h, w = np.divmod(pair[at], len(words))
+        del pair, t, before, alone
         spread = np.where(total[h] >= hot, mix(words[w]) % np.maximum(1, (total[h] // hot + 1)).astype(np.uint64) + np.uint64(1), np.uint64(0))
         where = (mix(words[h] ^ mix(spread).view(np.int64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
+        order = order[where[order] % rounds == turn]
         edges = np.flatnonzero(np.diff(where[order], prepend=-1, append=-1))
         begin = at
         for a, z in zip(edges[:-1], edges[1:], strict=True):
@@ -227,6 +230,17 @@ def deal(chunks: DataFrame, one: Unigrams, buckets: int, hot: int) -> DataFrame:
     return chunks.mapInArrow(run, PARTS)
 
 
+def entries_of(pair: np.ndarray, doc: np.ndarray, pairs: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, doc) in order, and how often each stands."""
+    if pairs * docs < 1 << 62:
+        both, n = np.unique(pair * docs + doc, return_counts=True)
+        return both // docs, both % docs, n
+    order = np.lexsort((doc, pair))
+    pair, doc = pair[order], doc[order]
+    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1]))))
+    return pair[first], doc[first], np.diff(np.append(first, len(pair)))
+
+
 END_HASH = int(np.frombuffer(xxhash.xxh64_digest(END), ">i8")[0])
 
 
@@ -344,7 +358,12 @@ def score(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, buc
     counted = scratch.put(counted, "counted")
     scratch.free("chunks")
     buckets = max(1, -(-one.total // bucket_tokens))
-    parts = scratch.put(gather(deal(counted, one, buckets, hot), one, hot), "ngrams", by="kind")
+    rounds, parts = min(ROUNDS, buckets), None
+    for turn in range(rounds):
+        some = scratch.put(gather(deal(counted, one, buckets, hot, turn, rounds), one, hot), f"ngrams-{turn}", by="kind")
+        parts = some if parts is None else parts.unionByName(some)
+        scratch.clean()
+    scratch.free("counted")
     by_count = np.zeros(K + 2, np.int64)
     for r in parts.where("kind = 'model'").select("d").toLocalIterator():  # a row per bucket
         by_count += unpacked(r["d"])
