@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textreuse.functions import columns as C
 from textreuse.operators import align, candidates, chunks, groups, jobs, metrics, minhash, report, semantic
+from textreuse.operators.lineage import checkpointed
 from textreuse.plans import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,12 +496,10 @@ def highlight_intervals(spark, d):
     from seg join documents d using (doc_id) left join k on k.doc_id = seg.doc_id and k.s <= seg.s and k.e >= seg.e where seg.e is not null group by seg.doc_id, seg.s, seg.e"""
 )
 def highlight_segments(spark, d):
-    m = reused(spark, d)
-    ids = m.select("pair_id", F.col("left_document_id").alias("doc_id")).distinct()
-    g = groups.aggregate_groups(m).withColumn("spans", F.col("document_spans"))
-    iv = report.highlight_intervals(g, "left", groups.GROUP).join(ids, "pair_id")
-    iv = iv.select("doc_id", F.concat_ws("/", *groups.GROUP).alias("match_key"), "start", "end").distinct()
-    s = report.highlight_segments(docs_of(spark, d), iv)
+    g = reuse_groups(spark, d).withColumn("spans", F.col("document_spans"))
+    iv = report.highlight_intervals(g, "left", groups.GROUP)
+    iv = iv.select(F.split_part("pair_id", F.lit("-"), F.lit(1)).cast("long").alias("doc_id"), F.concat_ws("/", *groups.GROUP).alias("match_key"), "start", "end").distinct()
+    s = report.highlight_segments(docs_of(spark, d), checkpointed(iv))  # it is read several times
     return s.select("doc_id", "start", "end", F.sha2("text", 256).alias("digest"), F.size("matches").cast("long").alias("active"), F.coalesce(F.get("matches", F.lit(0)), F.lit("-")).alias("main"))
 
 
