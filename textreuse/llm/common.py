@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that str.split() of bytes takes as white space: \x20 and \x09-\x0D.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,21 +35,21 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+        """Writes the table. Its shuffle files are of no use afterwards, so they go with the job."""
+        writer, conf = df.write.option("compression", "zstd"), self.spark.conf
+        before = conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+        finally:
+            conf.set(CLEAN_UP, before)
         return self.get(name, df)
 
-    def clean(self) -> None:
-        """Lets Spark remove the shuffle files of what is out of use now, not when the driver next collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def free(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        self.clean()
 
     def get(self, name: str, like: DataFrame | None = None) -> DataFrame:
         reader = self.spark.read

@@ -349,7 +349,6 @@ def score(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, buc
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     counts = {r["total"]: r["n"] for r in words.where(F.col("total") <= K + 1).groupBy("total").agg(F.count("*").alias("n")).collect()}
     one = Unigrams(sums["total"], sums["distinct"], counts)
-    scratch.clean()
     # a chunk's own count is the total where no row says otherwise
     back = given.where("total <> n").select("chunk", F.struct(F.col("at").cast("int").alias("at"), "total").alias("x"))
     back = back.groupBy("chunk").agg(F.collect_list("x").alias("word_counts"))
@@ -362,7 +361,6 @@ def score(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, buc
     for turn in range(rounds):
         some = scratch.put(gather(deal(counted, one, buckets, hot, turn, rounds), one, hot), f"ngrams-{turn}", by="kind")
         parts = some if parts is None else parts.unionByName(some)
-        scratch.clean()
     scratch.free("counted")
     by_count = np.zeros(K + 2, np.int64)
     for r in parts.where("kind = 'model'").select("d").toLocalIterator():  # a row per bucket
