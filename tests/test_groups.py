@@ -25,6 +25,16 @@ def test_strategies(spark):
     assert (s.total, s.left_chunks, s.right_chunks, s.stable, s.filtered_out) == (5, 3, 3, 1, 4)
 
 
+def test_greedy_follows_a_chain_to_its_end(spark):
+    """l1-r1 > r1-l2 > l2-r2 > ...: one match a round, 50 of them."""
+    rows = [(1, k, k, 1 - 0.01 * k) for k in range(50)] + [(1, k + 1, k, 0.995 - 0.01 * k) for k in range(49)]
+    df = spark.createDataFrame(rows, "pair_id int, left_parent int, right_parent int, final_score double")
+    df = df.withColumns({"left_start": F.lit(0), "right_start": F.lit(0)})
+    got = groups.greedy_one_to_one(df)
+    assert got.columns == df.columns and keys(got) == [(k, k) for k in range(50)]
+    assert groups.greedy_one_to_one(df.limit(0)).count() == 0
+
+
 def test_coverage_and_metrics(spark):
     spans = lambda *x: F.array(*(F.struct(F.lit(a).alias("start"), F.lit(z).alias("end")) for a, z in x))
     got = spark.range(1).select(C.coverage(spans((0, 10), (10, 20), (30, 40))), C.coverage(spans((0, 5), (3, 8), (20, 30)))).first()
