@@ -1,8 +1,9 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textreuse.llm import packing
+from textreuse.llm import neardup, packing
 
 
 def make(spark, folder):
@@ -48,3 +49,30 @@ def test_stages(spark, tmp_path):
     assert ids["packing"].keys() == ids["decontam"].keys()
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).drop("sequence_id", "offset").collect()), key=str) == sorted(map(tuple, docs.drop("sequence_id", "offset").collect()), key=str)
     assert packing.CAPACITY == 4096
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("small", [16, 1])
+def test_near_copies_of_08_or_more_go(spark, tmp_path, small):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts, links = {}, {}
+    for i in range(200):
+        t = rng.choice(words, 300)
+        texts[i] = " ".join(t)
+        for k in rng.choice(300, 1 + i % 8, replace=False):
+            t[k] = "changed"
+        texts[1000 + i] = " ".join(t)
+        links[1000 + i] = jaccard(texts[i], texts[1000 + i])
+    near = {k for k, j in links.items() if j >= 0.8}
+    assert len(near) > 120 and sum(links[k] < 0.9 for k in near) > 40 and len(near) < 200
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    if small == 16:
+        kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, df, str(tmp_path)).collect()}
+    else:
+        kept = {r.doc_id for r in neardup.near_duplicates(df, small=small).collect() if r.doc_id == r.component_id}
+    assert kept == texts.keys() - near

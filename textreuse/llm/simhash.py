@@ -26,22 +26,28 @@ SHINGLE = 3
 RADIUS = 3
 
 
-def fingerprint(text: bytes | None, block: int = 1 << 16) -> int:
-    """Signed 64-bit SimHash of the 3-word shingles of a UTF-8 text; zero without words."""
+def hashes(text: bytes | None, shingle: int = SHINGLE, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """64-bit hashes of the word shingles of a UTF-8 text, as rows of 8 bytes, a block at a time; none without words."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - shingle + 1)
     last = ends[-n:]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
     for i in range(0, n, block):
         spans = zip(starts[i : min(i + block, n)].tolist(), last[i : i + block].tolist(), strict=True)
-        raw = np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in spans]), np.uint8)
-        ones += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in spans]), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: bytes | None, block: int = 1 << 16, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of the word shingles of a UTF-8 text; zero without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for raw in hashes(text, shingle, block):
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(raw)
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
 
