@@ -50,6 +50,7 @@ LONG = "words of the story that go on for a while, " * 4
         (f'<nav><a href="/">m</a><main><p>{LONG}</main>', LONG.strip()),
         ("plain a < b", "plain a < b"),
         ("<article><header><h1>h</h1></header><p>x</p></article><article class='comment'><p>no</p></article>", "h x"),
+        ("<p>" + "İ" * 40 + " bir</p><SCRIPT>x()</Script><p>iki üç dört beş altı yedi</p><script>y()</script><p>son</p>", "İ" * 40 + " bir iki üç dört beş altı yedi son"),
         (None, ""),
         ("", ""),
         ("<script>never closed", ""),

@@ -41,6 +41,8 @@ WORDS = frozenset(
     "sponsor sponsored sponsors subscribe subscription tagcloud teaser toc toolbar topbar widget widgets warning feedback".split()
 )
 STEMS = ("advert", "comment", "sidebar", "cookie", "navbar", "sponsor")
+#: lower() of other letters can change the length.
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 MAIN = frozenset(("article", "main"))
 #: A start tag of the second kind ends an open element of the first.
 ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -70,6 +72,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
     low = page.lower()
+    if len(low) != len(page):  # offsets in it are used in the page
+        low = page.translate(LOWER)
     parts: list[str] = []
     links, depth, at, once = 0, 0, 0, False
 
