@@ -51,6 +51,8 @@ LONG = "words of the story that go on for a while, " * 4
         ("plain a < b", "plain a < b"),
         ("<article><header><h1>h</h1></header><p>x</p></article><article class='comment'><p>no</p></article>", "h x"),
         ("<p>" + "İ" * 40 + " bir</p><SCRIPT>x()</Script><p>iki üç dört beş altı yedi</p><script>y()</script><p>son</p>", "İ" * 40 + " bir iki üç dört beş altı yedi son"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p><a href=x>another story</a></p></article>", f"{LONG.strip()} {LONG.strip()}"),
+        (f"<article><p>{LONG}</p>" + "<p><a href=x>more of this</a></p>" * 4 + "<p>tail</p></article>", LONG.strip()),
         (None, ""),
         ("", ""),
         ("<script>never closed", ""),

@@ -3,8 +3,8 @@
 Markup is stripped to lines, one per block of the page. Lines of menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments (told by element, role, class or id) and lines that are mostly links count as length zero.
 The lengths are summed over sliding windows of `window` lines; text begins where a window surges over `surge` signs and
-ends where the windows dive to zero. Where a page marks its article, the lines outside it have length zero, and any
-text in it is a surge.
+ends where the windows dive to zero. Where a page marks its article and the mark holds most of the largest window, the lines
+outside it have length zero and those inside weigh more; a mark elsewhere (a card, a teaser) decides nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+#: Weight of a line of the marked article, as titles and short first lines are text there.
+MARKED = 4
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+>",
@@ -155,16 +157,17 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surges and dives, blocks joined by one space; empty for a null or empty page."""
     rows = lines(page) if page else []
-    marked = any(inside and not drop for _, _, drop, inside in rows)
-    if marked:
-        sizes, least = [len(t) if inside and not drop else 0 for t, _, drop, inside in rows], 0
-    else:
-        sizes, least = [0 if drop or (2 * linked > len(t)) else len(t) for t, linked, drop, _ in rows], surge
+    sizes = [0 if drop or (2 * linked > len(t)) else len(t) for t, linked, drop, _ in rows]
     sums = [sum(sizes[i : i + window]) for i in range(len(rows))]
+    if any(sizes):
+        within = [n if inside else 0 for n, (_, _, _, inside) in zip(sizes, rows, strict=True)]
+        best = max(range(len(rows)), key=lambda k: sums[k])
+        if 2 * sum(within[best : best + window]) > sums[best]:
+            sizes, sums = within, [MARKED * sum(within[i : i + window]) for i in range(len(rows))]
     kept, i = [], 0
     stretches = []
     while i < len(rows):
-        if sizes[i] and sums[i] > least:
+        if sizes[i] and sums[i] > surge:
             j = i
             while j < len(rows) and sums[j]:
                 j += 1
@@ -177,7 +180,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         a = best
         while a and sums[a - 1]:
             a -= 1
-        stretches = [(a, min(len(rows), best + window))]
+        z = best
+        while z < len(rows) and sums[z]:
+            z += 1
+        stretches = [(a, z)]
     for a, z in stretches:
         kept += [rows[k][0] for k in range(a, z) if sizes[k]]
     return " ".join(kept)
