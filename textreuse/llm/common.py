@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark removes the shuffle files of a job at its end.
@@ -18,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests on one machine."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is set on a single machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,3 +72,29 @@ def pieces(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[
     step = max(1, int(batch.num_rows * most / max(size, 1)))
     for i in range(0, batch.num_rows, step):
         yield batch.slice(i, step)
+
+
+def stored(uri: str, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of a written table, read within a task; for tables that every task passes over in blocks."""
+    store, place = fs.FileSystem.from_uri(uri)
+    yield from ds.dataset(place, filesystem=store, format="parquet").to_batches(batch_size=rows, batch_readahead=0, fragment_readahead=0, use_threads=False)
+
+
+def give_back() -> None:
+    """Memory that Python and Arrow hold but do not use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass that gives its memory back at the end of the task, as a worker lives for many tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole

@@ -1,19 +1,20 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is partitioned by documents: each segment (the documents of a few megabytes of text) has, for every term, the
-list of its positions. It is stored as a table with a row per segment and term. A phrase is looked up by its rarest
-terms first: only their lists are fetched, moved back by the terms' offsets and intersected within each segment. For the
-few segments and phrases that are left the lists of the other terms are fetched and intersected as well, which makes the
-matches exact. Positions run through a segment with `GAP` empty ones between documents, so no phrase spans two of them.
-
-The test set is looked up in blocks of `block` phrases; what is sent to the executors is bounded by that.
+The index is partitioned by documents: a row holds a segment (the documents of a few megabytes of text) and, for every
+term, the list of its positions there. It is a written table. A phrase of the test set is looked up in each segment from
+its rarest term on: that term's list, moved back by the term's offset, gives the places where the phrase can begin, and
+the offset-adjusted lists of the next terms, in order of their frequency in the whole corpus, leave fewer and fewer of
+them. What all terms leave is an exact match. Positions run through a segment with `GAP` empty ones between documents,
+so no phrase spans two of them.
+
+The test set's phrases are a written table too, which every task passes over in blocks: neither the driver nor a task
+ever holds them all. A segment's row meets all phrases in one task, so its documents are reported without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, texts
+from .common import Scratch, pieces, stored, texts, tidy
 
 WINDOW = 10
 #: Longest phrase or proximity span.
 GAP = 64
-#: Terms of the test set that may be sent to executors to restrict the index to them; with more, every term is indexed.
+#: With more terms than this in the test set, every term of the corpus is indexed, not those alone.
 MOST_TERMS = 500_000
-BLOCK = 50_000
+#: Phrases that a task looks up at a time.
+BLOCK = 20_000
+#: Places of rarest terms that a task holds at a time.
+MOST_PLACES = 1 << 20
 #: A-Z become a-z; every ASCII sign but digits and letters separates words.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -58,18 +62,19 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-LISTS = "segment long, term string, n long, positions binary, doc_ids array<long>, doc_words array<long>"
-
-
-def build_index(docs: DataFrame, terms: list[str] | None = None, segment_bytes: int = 2_000_000) -> DataFrame:
-    """Rows (segment, term, n, positions); for each segment one row with a null term has its documents and their words.
+def build_index(docs: DataFrame, vocabulary: str | None = None, segment_bytes: int = 2_000_000, id_col: str = "doc_id") -> DataFrame:
+    """A row per segment: doc_ids and their doc_words; terms, how often each stands (counts), and all their positions.
 
-    terms: index those alone; None: every term.
+    vocabulary: folder of a written table (term) to index those terms alone; None: every term.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(None if terms is None else {t.encode(): i for i, t in enumerate(terms)})
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, nth = shared.value, TaskContext.get().partitionId(), 0
+        known = None
+        if vocabulary is not None:
+            known = {t: i for i, t in enumerate(t for b in stored(vocabulary) for t in texts(b, "term"))}
+        part, nth = TaskContext.get().partitionId(), 0
         for big in batches:
             for b in pieces(big, "text", segment_bytes):
                 segment, nth = part << 32 | nth, nth + 1
@@ -78,187 +83,202 @@ def build_index(docs: DataFrame, terms: list[str] | None = None, segment_bytes:
                 flat = [x for w in split for x in w]
                 ids = known if known is not None else {w: i for i, w in enumerate(dict.fromkeys(flat))}
                 which = np.fromiter((ids.get(x, -1) for x in flat), np.int32, len(flat))
-                starts = np.cumsum(n + GAP) - n - GAP
-                pos = (np.arange(len(flat)) + np.repeat(starts - np.cumsum(n) + n, n)).astype("<i4")
+                pos = (np.arange(len(flat)) + np.repeat(beginnings(n) - np.cumsum(n) + n, n)).astype("<i4")
+                which, pos = which[which >= 0], pos[which >= 0]
                 order = np.argsort(which, kind="stable")
-                order = order[np.searchsorted(which[order], 0) :]
-                which, pos, names = which[order], pos[order], list(ids)
-                cuts = np.flatnonzero(np.diff(which, prepend=-1))
-                ends = np.append(cuts[1:], len(which))[: len(cuts)]
-                rows = len(cuts) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(rows, segment)),
-                        pa.array([names[i].decode() for i in which[cuts].tolist()] + [None], pa.string()),
-                        pa.array(np.append(ends - cuts, b.num_rows)),
-                        pa.array([pos[a:z].tobytes() for a, z in zip(cuts.tolist(), ends.tolist(), strict=True)] + [None], pa.binary()),
-                        pa.array([None] * (rows - 1) + [b.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([None] * (rows - 1) + [n.tolist()], pa.list_(pa.int64())),
-                    ],
-                    names=["segment", "term", "n", "positions", "doc_ids", "doc_words"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LISTS)
-
-
-def _positions(held: dict[str, bytes], term: str) -> np.ndarray:
-    return np.frombuffer(held[term], "<i4").astype(np.int64)
-
-
-def starts_of(held: dict[str, bytes], phrase: list[tuple[str, int]]) -> np.ndarray:
-    """Where a phrase [(term, offset)] stands: its lists, moved back by the offsets, intersected from the shortest."""
-    got = None
-    for term, offset in sorted(phrase, key=lambda x: len(held[x[0]])):
-        here = _positions(held, term) - offset
-        got = here if got is None else got[np.isin(got, here, assume_unique=True)]
-        if not len(got):
-            break
-    return got
-
-
-def spans_of(held: dict[str, bytes], phrase: list[tuple[str, int]], span: int) -> np.ndarray:
-    """First positions of the shortest runs of words, at most `span` long, that hold every term of a phrase."""
-    terms = sorted({t for t, _ in phrase}, key=lambda t: len(held[t]))
-    rare = _positions(held, terms[0])
-    near = [rare]
-    for t in terms[1:]:
-        pos = _positions(held, t)
-        at = np.searchsorted(rare, pos)
-        gap = np.minimum(np.abs(pos - rare[np.minimum(at, len(rare) - 1)]), np.abs(pos - rare[np.maximum(at - 1, 0)]))
-        near.append(pos[gap < span])
-    pos, kind = np.concatenate(near), np.repeat(np.arange(len(near)), [len(x) for x in near])
-    order = np.argsort(pos, kind="stable")
-    last, out = {}, []
-    for p, k in zip(pos[order].tolist(), kind[order].tolist(), strict=True):
-        last[k] = p
-        if len(last) == len(terms) and p - (first := min(last.values())) < span and (not out or out[-1] != first):
-            out.append(first)
-    return np.array(out, np.int64)
-
-
-def _fetch(index: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
-    lists = index.where("term is not null").select("segment", "term", "positions")
-    return lists.join(F.broadcast(terms) if by == ["term"] else terms, by, "left_semi")
-
-
-def _intersected(asked: DataFrame, phrases: dict[int, list[tuple[str, int]]], span: int | None) -> DataFrame:
-    """asked: lists of a segment, and rows with a null term that name phrases; without such rows, all phrases are meant."""
-    shared = asked.sparkSession.sparkContext.broadcast(phrases)
-
-    def run(table: pa.Table) -> pa.Table:
-        held, meant = {}, []
-        for term, positions, phrase in zip(*(table.column(c).to_pylist() for c in ("term", "positions", "phrase")), strict=True):
-            if term is None:
-                meant.append(phrase)
-            else:
-                held[term] = positions
-        who, where = [], []
-        for i in meant or shared.value:
-            if all(t in held for t, _ in shared.value[i]):
-                starts = starts_of(held, shared.value[i]) if span is None else spans_of(held, shared.value[i], span)
-                who.append(np.full(len(starts), i, np.int64))
-                where.append(starts)
-        who, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, where))
-        return pa.table({"segment": np.full(len(who), table.column("segment")[0].as_py(), np.int64), "phrase": who, "start": where})
-
-    if "phrase" not in asked.columns:
-        asked = asked.withColumn("phrase", F.lit(None).cast("long"))
-    return asked.groupBy("segment").applyInArrow(run, "segment long, phrase long, start long")
-
-
-def phrase_matches(
-    index: DataFrame, phrases: list[tuple[int, list[str]]], scratch: Scratch, rarest: int = 3, span: int | None = None
-) -> DataFrame:
-    """(segment, phrase, start): every place where a phrase of a block of the test set stands.
-
-    span: instead, runs of at most so many words that hold all terms of a phrase in any order.
-    """
-    spark, name = index.sparkSession, f"matches-{phrases[0][0]}"
-    terms = spark.createDataFrame([(t,) for t in sorted({t for _, p in phrases for t in p})], "term string")
-    lists = index.where("term is not null").select("term", "n")
-    total = {r["term"]: r["total"] for r in lists.join(F.broadcast(terms), "term").groupBy("term").agg(F.sum("n").alias("total")).collect()}
-    # a phrase with a term that no document has stands nowhere
-    whole = {i: [(t, k) for k, t in enumerate(p)] for i, p in phrases if all(t in total for t in p)}
-    rare = {i: sorted(p, key=lambda x: (total[x[0]], x[1]))[:rarest] for i, p in whole.items()}
-    wanted = spark.createDataFrame([(t,) for t in sorted({t for p in rare.values() for t, _ in p})], "term string")
-    first = _intersected(_fetch(index, wanted, ["term"]), rare, span)
-    left = scratch.put(first.select("segment", "phrase").distinct(), f"{name}-first")
-    spread = spark.createDataFrame([(i, t) for i, p in whole.items() for t in {t for t, _ in p}], "phrase long, term string")
-    lists = _fetch(index, left.join(F.broadcast(spread), "phrase").select("segment", "term").distinct(), ["segment", "term"])
-    named = left.select("segment", F.lit(None).cast("string").alias("term"), F.lit(None).cast("binary").alias("positions"), "phrase")
-    return _intersected(lists.withColumn("phrase", F.lit(None).cast("long")).unionByName(named), whole, span)
-
-
-REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
-
-
-def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_terms: int = MOST_TERMS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids), one row per document.
-
-    Null texts have no words; documents with a repeated or null doc_id are reported row by row; an empty table gives an
-    empty table, an empty test set hits nothing.
+                names, counts = np.unique(which, return_counts=True)
+                spelt = list(ids)
+                columns = [[segment], [b.column("_i").to_pylist()], [n], [[spelt[i].decode() for i in names.tolist()]], [counts], [pos[order].tobytes()]]
+                kinds = [pa.int64(), pa.list_(b.column("_i").type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["segment", "doc_ids", "doc_words", "terms", "counts", "positions"])
+
+    row = f"segment long, doc_ids array<{kind}>, doc_words array<long>, terms array<string>, counts array<int>, positions binary"
+    return docs.select(F.col(id_col).alias("_i"), "text").mapInArrow(run, row)
+
+
+def beginnings(doc_words: np.ndarray) -> np.ndarray:
+    """The position of each document's first word in its segment."""
+    return np.cumsum(doc_words + GAP) - doc_words - GAP
+
+
+class Segment:
+    """The lists of one row of the index."""
+
+    def __init__(self, terms: list[str], counts: np.ndarray, positions: bytes, size: int):
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        self.positions = np.frombuffer(positions, "<i4").astype(np.int64)
+        self.at = np.full(size, -1, np.int32)  # whose list a position is in
+        self.at[self.positions] = np.repeat(np.arange(len(terms), dtype=np.int32), counts)
+
+    def begin(self, terms: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrase, start) by the list of each phrase's first term, so many places at a time."""
+        sizes = self.ends[terms + 1] - self.ends[terms]
+        total, a = np.cumsum(sizes), 0
+        while a < len(terms):
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + MOST_PLACES, side="right")))
+            n = sizes[a:z]
+            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.ends[terms[a:z]], n)
+            yield np.repeat(np.arange(a, z), n), self.positions[places] - np.repeat(offsets[a:z], n)
+            a = z
+
+    def has(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Whether each position is in the list of its term."""
+        inside = (positions >= 0) & (positions < len(self.at))
+        return inside & (self.at[np.where(inside, positions, 0)] == terms)
+
+    def near(self, terms: np.ndarray, positions: np.ndarray, span: int) -> np.ndarray:
+        """Whether each position has one of its term's list less than `span` away."""
+        wide = np.int64(len(self.at) + 2 * GAP)
+        keys = self.at[self.positions] * wide + self.positions
+        want = terms * wide + positions
+        after = np.searchsorted(keys, want - span, side="right")
+        return (after < len(keys)) & (keys[np.minimum(after, len(keys) - 1)] < want + span)
+
+
+class Phrases:
+    """A block of the written phrases: terms (rarest first), offsets and items."""
+
+    def __init__(self, block: pa.RecordBatch):
+        lists = block.column("terms")
+        self.sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        spelt = lists.flatten().dictionary_encode()
+        self.vocabulary = spelt.dictionary.to_pylist()
+        most = int(self.sizes.max()) if len(self.sizes) else 0
+        self.filled = np.arange(most)[None, :] < self.sizes[:, None]
+        self.terms = np.zeros((len(self.sizes), most), np.int64)
+        self.terms[self.filled] = spelt.indices.to_numpy(zero_copy_only=False)
+        self.offsets = np.zeros((len(self.sizes), most), np.int64)
+        self.offsets[self.filled] = block.column("offsets").flatten().to_numpy(zero_copy_only=False)
+        self.items = block.column("items")
+
+    def within(self, segment: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases all of whose terms the segment has, and their terms by its numbers."""
+        number = np.fromiter((segment.number.get(t, -1) for t in self.vocabulary), np.int64, len(self.vocabulary))
+        if not len(number):
+            return np.zeros(0, np.int64), self.terms
+        terms = number[self.terms]
+        which = np.flatnonzero(((terms >= 0) | ~self.filled).all(axis=1))
+        return which, terms[which]
+
+    def exact(self, segment: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of every place where a phrase stands."""
+        which, terms = self.within(segment)
+        offsets, filled, out = self.offsets[which], self.filled[which], []
+        if len(which):
+            for p, start in segment.begin(terms[:, 0], offsets[:, 0]):
+                for r in range(1, terms.shape[1]):
+                    keep = ~filled[p, r] | segment.has(terms[p, r], start + offsets[p, r])
+                    p, start = p[keep], start[keep]
+                out.append((which[p], start))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+    def close(self, segment: Segment, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of the shortest runs of words, at most `span` long, that hold every term of a phrase."""
+        which, terms = self.within(segment)
+        filled, found = self.filled[which], set()
+        if len(which):
+            for p, at in segment.begin(terms[:, 0], np.zeros(len(which), np.int64)):
+                for r in range(1, terms.shape[1]):
+                    keep = ~filled[p, r] | segment.near(terms[p, r], at, span)
+                    p, at = p[keep], at[keep]
+                for i, x in zip(p.tolist(), at.tolist(), strict=True):
+                    wanted = set(terms[i][filled[i]].tolist())
+                    low = max(0, x - span + 1)
+                    found.update((which[i], low + k) for k in runs(segment.at[low : x + span].tolist(), wanted, span) if low + k <= x)
+        both = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+
+def runs(words: list[int], wanted: set[int], span: int) -> Iterator[int]:
+    """Starts of the runs of at most `span` words that hold all that is wanted and that no shorter one at their end ends."""
+    last: dict[int, int] = {}
+    for k, w in enumerate(words):
+        if w in wanted:
+            last[w] = k
+            if len(last) == len(wanted) and k - (first := min(last.values())) < span:
+                yield first
+
+
+def ranked(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(terms, offsets, items): the phrases all of whose terms the index has, the terms in order of their frequency."""
+    totals = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("total"))
+    each = windows.withColumn("phrase", F.array_join("terms", " ")).select("phrase", "items", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    order = F.array_sort(F.collect_list(F.struct("total", "offset", "term")))
+    whole = each.join(totals, "term").groupBy("phrase").agg(order.alias("x"), F.first("size").alias("size"), F.first("items").alias("items"))
+    return whole.where(F.size("x") == F.col("size")).select(F.col("x.term").alias("terms"), F.col("x.offset").alias("offsets"), "items")
+
+
+def looked_up(docs: DataFrame, items: DataFrame, tell: Callable, row: str, name: str, window: int = WINDOW, most_terms: int = MOST_TERMS, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:
+    """tell(index row, its segment, blocks of phrases) for each segment."""
+    scratch = Scratch(docs.sparkSession, name)
+    found = scratch.put(item_windows(items, window), "windows")
+    vocabulary = scratch.put(found.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
+    few = vocabulary.limit(most_terms + 1).count() <= most_terms
+    index = scratch.put(build_index(docs, f"{scratch.path}/vocabulary" if few else None, id_col=id_col), "index")
+    scratch.put(ranked(index, found), "phrases")
+    at = f"{scratch.path}/phrases"
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, n, terms, counts, positions = (b.column(c)[i] for c in ("doc_ids", "doc_words", "terms", "counts", "positions"))
+                n, counts = (x.values.to_numpy(zero_copy_only=False) for x in (n, counts))
+                segment = Segment(terms.as_py(), counts, positions.as_py(), int((n + GAP).sum()))
+                yield tell(ids.values, n, segment, map(Phrases, stored(at, block)))
+
+    return index.select("doc_ids", "doc_words", "terms", "counts", "positions").mapInArrow(run, row)
+
+
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", **sizes) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids), one row per document.
+
+    Null texts have no words; documents with a repeated or null id are reported row by row; an empty table gives an
+    empty table, an empty test set hits nothing. Items with a null id or text are left out.
     """
     if window > GAP:
         raise ValueError(f"windows of more than {GAP} words")
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
-    runs = scratch.put(item_windows(items, window), "windows")
-    vocabulary = runs.select(F.explode("terms").alias("term")).distinct()
-    terms = sorted(r["term"] for r in vocabulary.collect()) if vocabulary.count() <= most_terms else None
-    index = scratch.put(build_index(docs, terms), "index")
-    numbered = scratch.put(runs.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
-    found, rows = [], []
-    for r in numbered.orderBy("phrase").toLocalIterator():
-        rows.append((r["phrase"], r["terms"]))
-        if len(rows) == block:
-            found, rows = [*found, phrase_matches(index, rows, scratch)], []
-    if rows:
-        found.append(phrase_matches(index, rows, scratch))
-    directory = index.where("term is null").select("segment", "doc_ids", "doc_words")
-    for c, kind in (("start", "long"), ("length", "long"), ("items", "array<string>")):
-        directory = directory.withColumn(c, F.lit(None).cast(kind))
-    if found:
-        hits = reduce(DataFrame.unionByName, found).join(numbered.select("phrase", F.size("terms").cast("long").alias("length"), "items"), "phrase")
-        empty = F.lit(None).cast("array<long>")
-        directory = directory.unionByName(hits.select("segment", empty.alias("doc_ids"), empty.alias("doc_words"), "start", "length", "items"))
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, n, hits = [], [], []
-        for doc_ids, doc_words, start, length, names in zip(*(table.column(c).to_pylist() for c in ("doc_ids", "doc_words", "start", "length", "items")), strict=True):
-            if start is None:
-                ids, n = doc_ids, np.array(doc_words, np.int64)
-            else:
-                hits.append((start, length, names))
-        starts = np.cumsum(n + GAP) - n - GAP
-        edges = np.zeros(int((n + GAP).sum()) + 1, np.int64)
-        there: list[set] = [set() for _ in ids]
-        for start, length, names in hits:
-            edges[start] += 1
-            edges[start + length] -= 1
-            there[int(np.searchsorted(starts, start, side="right")) - 1].update(names)
+
+    def tell(ids: pa.Array, n: np.ndarray, segment: Segment, blocks: Iterator[Phrases]) -> pa.RecordBatch:
+        starts = beginnings(n)
+        edges, there = np.zeros(len(segment.at) + 1, np.int64), [set() for _ in range(len(n))]
+        for block in blocks:
+            p, at = block.exact(segment)
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + block.sizes[p], -1)
+            both = np.unique(np.stack((np.searchsorted(starts, at, side="right") - 1, p), axis=1), axis=0)
+            for d, i in both.tolist():
+                there[d].update(block.items[i].as_py())
         covered = np.concatenate(([0], np.cumsum(np.cumsum(edges) > 0)))
         n_hit = covered[starts + n] - covered[starts]
         listed = [sorted(x) for x in there]
         sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
-        return pa.table(
-            [pa.array(ids, pa.int64()), pa.array(n), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0), pa.array(listed, pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(n, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0), pa.array(listed, pa.list_(pa.string()))],
+            names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
         )
 
-    return directory.groupBy("segment").applyInArrow(run, REPORT)
+    kind = docs.schema[id_col].dataType.simpleString()
+    row = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
+    return looked_up(docs, items, tell, row, "decontam", window, id_col=id_col, **sizes)
 
 
-def proximity(docs: DataFrame, items: DataFrame, span: int = 20, window: int = WINDOW) -> DataFrame:
-    """(segment, phrase, start, terms, items): runs of at most `span` words with all terms of an item's window, in any order."""
-    if span > GAP:
+def proximity(docs: DataFrame, items: DataFrame, span: int = 20, window: int = WINDOW, id_col: str = "doc_id", **sizes) -> DataFrame:
+    """(id, start, item_ids): where in a document a run of at most `span` words begins that has all terms of a window of
+    those items, in any order; the last such beginning for each end. Terms that a window repeats need to stand once."""
+    if max(span, window) > GAP:
         raise ValueError(f"spans of more than {GAP} words")
-    scratch = Scratch(docs.sparkSession, "proximity")
-    runs = scratch.put(item_windows(items, window).withColumn("phrase", F.monotonically_increasing_id()), "phrases")
-    index = scratch.put(build_index(docs), "index")
-    found, rows = [], []
-    for r in runs.orderBy("phrase").toLocalIterator():
-        rows.append((r["phrase"], r["terms"]))
-        if len(rows) == BLOCK:
-            found, rows = [*found, phrase_matches(index, rows, scratch, span=span)], []
-    if rows or not found:
-        found.append(phrase_matches(index, rows or [(-1, [""])], scratch, span=span))
-    return reduce(DataFrame.unionByName, found).join(runs, "phrase")
+
+    def tell(ids: pa.Array, n: np.ndarray, segment: Segment, blocks: Iterator[Phrases]) -> pa.RecordBatch:
+        starts, found = beginnings(n), {}
+        for block in blocks:
+            for i, at in zip(*(x.tolist() for x in block.close(segment, span)), strict=True):
+                found.setdefault(at, set()).update(block.items[i].as_py())
+        at = np.array(sorted(found), np.int64)
+        which = np.searchsorted(starts, at, side="right") - 1
+        listed = pa.array([sorted(found[x]) for x in at.tolist()], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(at - starts[which]), listed], names=[id_col, "start", "item_ids"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return looked_up(docs, items, tell, f"`{id_col}` {kind}, start long, item_ids array<string>", "proximity", window, id_col=id_col, **sizes)
