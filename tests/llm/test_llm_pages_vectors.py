@@ -1,5 +1,9 @@
 import hashlib
+import os
+import time
+from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +67,56 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+class Article(HTMLParser):
+    """Text blocks of the first article, told by nothing but its tags."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        self.blocks.append("") if tag in ("p", "h1", "div") else self.handle_data(" " if tag == "br" else "")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("p", "h1", "div"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def given_pages():
+    return duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="given tables are absent")
+def test_given_pages_against_a_plain_parser():
+    for (page,) in given_pages():
+        blocks = (" ".join(x.split()) for x in Article(page).blocks)
+        assert htmltext.main_text(page) == " ".join(x for x in blocks if x)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="given tables are absent")
+def test_the_distribution_decides_on_given_pages():
+    pages = [p for (p,) in given_pages()]
+    usual = [htmltext.main_text(p) for p in pages]
+    for window, surge in ((1, 80), (1, 1e12), (3, 1e12)):
+        assert sum(a != htmltext.main_text(p, window, surge) for a, p in zip(usual, pages, strict=True)) > 0
+
+
+def test_long_pages_take_time_in_proportion():
+    for part in ("<nav>", "<div class=ad>", "<span class=ad>x", "<textarea>", "<div></span>", "<p class=ad>a"):
+        began = time.process_time()
+        htmltext.main_text(part * 60_000)
+        assert time.process_time() - began < 8, part
+    assert htmltext.main_text(f"<article><p>{'word ' * 1_000_000}</p></article>") == "word " * 999_999 + "word"
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>é</p>"), (1, "u", "<p>é</p>"), (None, None, None)], PAGES).withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, htmltext.extract(df).collect()), key=str) == [(1, "u", "é", 1), (1, "u", "é", 1), (None, None, "", 0)]

@@ -2,8 +2,8 @@
 
 Markup is stripped to lines, one per block of the page. Lines of menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments (told by element, role, class or id) and lines that are mostly links count as length zero.
-The lengths are summed over sliding windows of `window` lines; text begins where a window surges over `surge` signs and
-ends where the windows dive to zero. Where a page marks its article and the mark holds most of the largest window, the lines
+The lengths are summed over sliding windows of `window` lines; text begins where a window surges over `surge` signs (over
+half the largest window, on pages of short lines) and ends where the windows dive to zero. Where a page marks its article and the mark holds most of the largest window, the lines
 outside it have length zero and those inside weigh more; a mark elsewhere (a card, a teaser) decides nothing.
 """
 
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import tidy
 
 WINDOW = 3
 SURGE = 80
@@ -26,6 +28,7 @@ TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+>",
     re.S,
 )
+END = re.compile(r"</([a-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split()
@@ -76,6 +79,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     low = page.lower()
     if len(low) != len(page):  # offsets in it are used in the page
         low = page.translate(LOWER)
+    last = {m[1]: m.start() for m in END.finditer(low)}  # where each name is closed for the last time
+    held: Counter[str] = Counter()  # open elements by name
     parts: list[str] = []
     links, depth, at, once = 0, 0, 0, False
 
@@ -88,6 +93,15 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             parts.clear()
         links, once = 0, False
 
+    def enter(name: str, drop: bool, inside: bool) -> None:
+        stack.append((name, drop, inside))
+        held[name] += 1
+
+    def leave() -> str:
+        name = stack.pop()[0]
+        held[name] -= 1
+        return name
+
     def say(text: str) -> None:
         nonlocal links
         if text:
@@ -111,17 +125,15 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if m["end"] or m["end2"]:
             if name == "a":
                 depth = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    flush()
-                    del stack[k:]
-                    break
-            else:
-                if name not in INLINE:
-                    flush()
+            if held[name]:
+                flush()
+                while leave() != name:
+                    pass
+            elif name not in INLINE:
+                flush()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>?").search(low, at)
+            end = re.compile(rf"</{re.escape(name)}\s*>?").search(low, at) if last.get(name, -1) >= at else None
             if not rest.rstrip().endswith("/"):
                 at = end.end() if end else (len(page) if name in ("script", "style") else at)
             if name not in INLINE and name != "script":
@@ -134,22 +146,22 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             depth = 1
         inline, inside = name in INLINE, stack[-1][2]
         if inline:
-            if rest and not stack[-1][1] and name not in VOID and boilerplate(name, rest, inside) and f"</{name}" in low[at:]:
+            if rest and not stack[-1][1] and name not in VOID and boilerplate(name, rest, inside) and last.get(name, -1) >= at:
                 flush()
-                stack.append((name, True, inside))
+                enter(name, True, inside)
             continue
         flush()
         while len(stack) > 1 and stack[-1][0] in ENDS and (ENDS[stack[-1][0]] is None or name in ENDS[stack[-1][0]]):
-            stack.pop()
+            leave()
         inside = stack[-1][2]
         if name in VOID or rest.endswith("/"):
             continue
         drop = boilerplate(name, rest, inside)
-        if drop and name not in ENDS and low.find(f"</{name}", at) < 0:
+        if drop and name not in ENDS and last.get(name, -1) < at:
             once = True  # never closed: only what follows at once belongs to it
             continue
         main = name in MAIN or (name not in ("html", "body") and 'role="main"' in rest) or 'itemprop="articleBody"' in rest
-        stack.append((name, stack[-1][1] or drop, inside or (main and not drop)))
+        enter(name, stack[-1][1] or drop, inside or (main and not drop))
     flush()
     return out
 
@@ -164,35 +176,25 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         best = max(range(len(rows)), key=lambda k: sums[k])
         if 2 * sum(within[best : best + window]) > sums[best]:
             sizes, sums = within, [MARKED * sum(within[i : i + window]) for i in range(len(rows))]
+    least = min(surge, max(sums, default=0) / 2)
     kept, i = [], 0
-    stretches = []
     while i < len(rows):
-        if sizes[i] and sums[i] > surge:
-            j = i
-            while j < len(rows) and sums[j]:
-                j += 1
-            stretches.append((i, j))
-            i = j
+        if sizes[i] and sums[i] > least:
+            while i < len(rows) and sums[i]:
+                if sizes[i]:
+                    kept.append(rows[i][0])
+                i += 1
         else:
             i += 1
-    if not stretches and any(sizes):
-        best = max(range(len(rows)), key=lambda k: sums[k])
-        a = best
-        while a and sums[a - 1]:
-            a -= 1
-        z = best
-        while z < len(rows) and sums[z]:
-            z += 1
-        stretches = [(a, z)]
-    for a, z in stretches:
-        kept += [rows[k][0] for k in range(a, z) if sizes[k]]
     return " ".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page. Null and empty html give an empty text; repeated rows and null
-    ids or urls are carried along; an empty table gives an empty table."""
+    ids or urls are carried along; an empty table gives an empty table. A page of any length is read whole, in time that
+    grows with its length."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [main_text(x.as_py()) for x in b.column("html")]
