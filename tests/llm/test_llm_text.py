@@ -35,22 +35,56 @@ def corpus(seed=5, n=60):
 
 
 def brute_substring(rows, length=20):
+    """Places in the order of doc_id, hash of the words, start; rows equal in both are one."""
     seen, out = {}, []
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    tie = lambda t: int.from_bytes(hashlib.sha256(b" ".join((t or "").encode().split())).digest()[:8], "big", signed=True)
+    for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda r: (r[0], tie(r[1]))):
         w = (t or "").encode().split()
         gone = [False] * len(w)
         for k in range(len(w) - length + 1):
             key = tuple(w[k : k + length])
-            if seen.setdefault(key, (i, k)) != (i, k):
+            if seen.setdefault(key, (i, tie(t), k)) != (i, tie(t), k):
                 gone[k : k + length] = [True] * length
         out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
     return sorted(out)
 
 
-def test_substring(spark):
-    rows = corpus()
+def edited(seed=31, n=60):
+    """Near copies, prefixes and suffixes of a few texts, periodic texts, and repeated ids."""
+    rng = np.random.default_rng(seed)
+    words = [f"v{i}" for i in range(60)]
+    bases = [list(rng.choice(words, 120)) for _ in range(4)] + [["p", "q", "r"] * 30, ["z"] * 50]
+    rows = []
+    for i in range(n):
+        w = list(bases[int(rng.integers(len(bases)))])
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = str(rng.choice(words))
+        a, z = sorted(rng.integers(0, len(w) + 1, 2).tolist())
+        rows.append((int(rng.integers(0, 40)), " ".join(w[a:z] if i % 2 else w)))
+    return rows
+
+
+@pytest.mark.parametrize("make", [corpus, edited])
+@pytest.mark.parametrize("share", [substring.HOT_SHARE, 1e-9])
+def test_substring(spark, make, share, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_SHARE", share)
+    rows = make()
     df = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({"sha": F.lit(1), "kept": F.lit("k"), "n_chars": F.lit(7), "row": F.lit(0)})
     assert sorted(map(tuple, substring.dedup(df).collect())) == brute_substring(rows)
+
+
+def test_substring_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(33)
+    a, b, tail = (" ".join(rng.choice([f"u{i}" for i in range(500)], n)) for n in (40, 40, 25))
+    rows = [(1, a), (7, b), (7, f"{a} {tail}"), (9, f"{b} z"), (None, a), (9, f"{b} z")]
+    got = sorted(map(tuple, substring.dedup(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    want = brute_substring(rows) + [(None, 40, 0, hashlib.sha256(a.encode()).hexdigest())]
+    assert got == sorted(want, key=str) and {r[2] for r in got if r[0] == 7} == {0, 40} and [r[2] for r in got if r[0] == 9] == [40, 40]
+
+
+def test_texts_without_repeats(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({"sha": F.lit(1), "kept": F.lit("k"), "n_chars": F.lit(7), "row": F.lit(0)})
     kept = substring.without_repeats(df)
     assert kept.columns == df.columns
     left = {r.doc_id: r for r in kept.collect()}
@@ -64,6 +98,7 @@ def test_substring(spark):
     assert substring.dedup(spark.createDataFrame([], DOCS)).count() == 0
     one = substring.dedup(spark.createDataFrame([(None, "a " * 50), (1, "a " * 50)], DOCS)).collect()
     assert {r.doc_id: r.n_removed for r in one} == {None: 0, 1: 49}
+    assert kept.dtypes == df.dtypes
 
 
 def brute_decontam(rows, items, window=10):
