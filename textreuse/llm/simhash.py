@@ -4,9 +4,9 @@ Fingerprints are made in one pass over the texts, without a shuffle. Equal ones
 meet. A fingerprint is cut into two segments of 32 bits: two that differ in at most 3 bits differ in at most one bit
 in one of the segments. The table holds each segment as it is; each fingerprint enumerates the ball of radius 1 around
 its own segments and fetches the table's matches. Complete distances are verified within a bucket, which gives up a
-spanning forest of its links instead of all pairs. A bucket with more than `hot` entries is cut again by the 16-bit
-parts of the other segment (the same argument holds there), after which 48 bits are fixed but for one flip each, so
-no bucket can outgrow a task.
+spanning forest of its links instead of all pairs. A bucket to which more than `hot` rows come is cut again by the 16-bit
+parts of the other segment (the same argument holds there), after which 48 bits are fixed but for one flip each: a bucket
+then has at most 33 * 17 * 65,536 rows whatever the table's size.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts
+from .common import Scratch, pieces, texts, tidy
 from .components import connected_components
 
 SHINGLE = 3
@@ -54,10 +54,12 @@ def fingerprint(text: bytes | None, block: int = 1 << 16, shingle: int = SHINGLE
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per document; null and empty texts have 0."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = pa.array([fingerprint(x) for x in texts(b, "_t")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("_i"), fp], names=[id_col, "fp"])
+        for whole in batches:
+            for b in pieces(whole, "_t"):
+                fp = pa.array([fingerprint(x) for x in texts(b, "_t")], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("_i"), fp], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
@@ -133,18 +135,31 @@ def _balls(fps: DataFrame, segments: list, bits: int) -> DataFrame:
 
 
 def links(fps: DataFrame, scratch: Scratch, hot: int = 4096) -> DataFrame:
-    """(u, v) between distinct fingerprints of column fp; enough of them to connect all that link."""
+    """(u, v) between distinct fingerprints of column fp; enough of them to connect all that link.
+
+    A bucket is hot by the rows that come to it, its own entries and those one flip away.
+    """
     low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
     fp, n = F.col("fp"), F.col("n")
     found = scratch.put(_balls(fps.select("fp"), [low(fp), F.shiftrightunsigned(fp, 32)], 32), "buckets")
-    other = F.when(F.shiftrightunsigned("key", 32) == 0, F.shiftrightunsigned(fp, 32)).otherwise(low(fp))
-    again = found.where(n > hot).select(F.col("at").alias("key"), "fp")
-    again = scratch.put(_balls(again, [other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16)], 16), "hot-buckets")
-    groups = found.where(n.between(2, hot)).select(F.col("at").alias("key"), F.lit(-1).cast("long").alias("sub"), "fp")
-    groups = groups.unionByName(again.where(n > 1).select("key", F.col("at").alias("sub"), "fp"))
-    groups = groups.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_link, "u long, v long")
-    pair = [fp.alias("u"), F.col("one").alias("v")]
-    return groups.unionByName(found.where(n == 1).select(*pair)).unionByName(again.where(n == 1).select(*pair))
+    several = found.where(n > 1).select(F.col("at").alias("key"), "fp")
+    crowded = several.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot)
+    # no more of them than there are rows over `hot`, and mostly none
+    crowded = scratch.put(crowded.select("key", F.lit(True).alias("crowded")), "hot")
+    if crowded.isEmpty():
+        groups, pairs = several.withColumn("sub", F.lit(-1).cast("long")), []
+    else:
+        several = several.join(crowded.hint("merge"), "key", "left")
+        other = F.when(F.shiftrightunsigned("key", 32) == 0, F.shiftrightunsigned(fp, 32)).otherwise(low(fp))
+        again = _balls(several.where("crowded").drop("crowded"), [other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16)], 16)
+        again = scratch.put(again, "hot-buckets")
+        groups = several.where("crowded is null").select("key", "fp", F.lit(-1).cast("long").alias("sub"))
+        groups = groups.unionByName(again.where(n > 1).select("key", F.col("at").alias("sub"), "fp"))
+        pairs = [again.where(n == 1)]
+    groups = groups.select("key", "sub", "fp").repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(tidy(_link), "u long, v long")
+    for one in (found.where(n == 1), *pairs):
+        groups = groups.unionByName(one.select(fp.alias("u"), F.col("one").alias("v")))
+    return groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 4096) -> DataFrame:
@@ -152,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have fingerprint zero and link like any other. Repeated ids keep their rows.
     A null id is carried along: its component is the smallest id that its fingerprint reaches, or null.
-    An empty table gives an empty table.
+    A text of any length is hashed whole, in slices of bounded memory. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.put(fingerprints(docs, id_col, text_col), "fingerprints")
