@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, pieces, texts
+from .common import Scratch, pieces, texts, tidy
 
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker keeps; it starts afresh beyond that.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 250_000
 
 
 #: A letter before an ASCII sign other than the apostrophe: the vocabulary's words end there as well.
@@ -127,6 +127,7 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most `capacity` ids, with `part` and `nth`: the task, and the rank in it among pieces of that length."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = tokenizer(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for big in batches:
@@ -230,6 +231,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     ranked = cuts.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
         wide = np.int64(1) << 45
