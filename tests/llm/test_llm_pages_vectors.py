@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import time
 from html.parser import HTMLParser
@@ -231,3 +232,42 @@ def test_quality(spark):
     assert kept.columns == ["doc_id", "text", "p_tail"] and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.p_tail >= 0.5}
     none = quality.classify(df.limit(5), rates.limit(0)).collect()
     assert len(none) == 5 and quality.classify(df.limit(0), rates).count() == 0
+
+
+def test_quality_against_a_plain_fit(spark):
+    """The same penalised likelihood, minimised by another way over every single token; tails by the definition."""
+    rng = np.random.default_rng(17)
+    x = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(150)]
+    truth = rng.normal(size=12) * 2
+    z = np.array([truth[r].sum() for r in x])
+    grades = (z + rng.logistic(size=150) > -1).astype(int) + (z + rng.logistic(size=150) > 1.5)
+    model = quality.fit(x, grades, 3, 20, l1=1e-3, turns=4000)
+
+    def loss(w, theta):
+        total = 0.0
+        for r, g in zip(x, grades, strict=True):
+            s = sum(w[k] for k in r)
+            edges = [1.0, *(1 / (1 + math.exp(-(s - t))) for t in theta), 0.0]  # P(grade >= j)
+            total -= math.log(edges[g] - edges[g + 1])
+        often = [sum(k in r for r in x) for k in range(12)]
+        # the penalty is that of columns scaled to one length
+        return total / len(x) + 1e-3 * sum(abs(w[k]) * math.sqrt(often[k] / len(x)) * math.sqrt(len(x) / often[k]) for k in range(12))
+
+    w, theta = np.zeros(12), np.array(model.thresholds)
+    w[model.buckets] = model.weights
+    best = loss(w, theta)
+    for _ in range(300):  # no small step in any direction is better
+        assert loss(w + rng.normal(size=12) * 0.02, np.sort(theta + rng.normal(size=2) * 0.02)) > best - 1e-6
+    for r, tails in zip(x[:20], model.tails(x[:20]), strict=True):
+        s = sum(w[k] for k in r)
+        assert tails == pytest.approx([1 / (1 + math.exp(-(s - t))) for t in theta], abs=1e-12)
+
+
+def test_quality_of_repeated_ids_and_clashing_names(spark):
+    docs, labels = rated(200)
+    df = spark.createDataFrame([*docs, (3, "another text of id three"), (3, None), (4, "w1 " * 300_000)], "doc_id long, text string")
+    rates = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    clash = df.withColumns({"grade": F.lit("g"), "x": F.lit(1), "p_tail": F.lit(2), "expected_grade": F.lit("e"), "keep": F.lit(0)})
+    one = quality.classify(df, rates).collect()
+    two = quality.classify(clash.repartition(5).orderBy(F.desc("text")), rates).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 203

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, tidy
 
 #: Runs of letters (ASCII or not), and runs of other printable signs: junk shows in the second kind.
 TOKEN = re.compile(rb"[a-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int =
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [features(x, bits) for x in texts(b, "text")]
@@ -135,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int =
             )
 
     some = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(rated), "doc_id")
-    some = some.mapInArrow(run, "doc_id long, grade int, x binary").dropDuplicates(["doc_id"])
+    # of several texts of an id the one of least features, so that the fit does not depend on the order of rows
+    some = some.mapInArrow(run, "doc_id long, grade int, x binary").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("x").alias("x"))
     got = some.toArrow().sort_by("doc_id")
     rows = [np.frombuffer(x, "<i4").astype(np.int64) for x in got.column("x").to_pylist()]
     return fit(rows, np.array(got.column("grade").to_pylist(), np.int64), levels, bits)
@@ -143,9 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int =
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, expected_grade, p_tail): p_tail is the probability of the best grade. Null and empty texts have no tokens
-    and get what the thresholds alone say."""
+    and get what the thresholds alone say; a text of any length is read whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
@@ -164,6 +167,7 @@ def select(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents, all columns as they are, whose p_tail is at least `least`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
