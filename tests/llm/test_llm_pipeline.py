@@ -76,3 +76,43 @@ def test_near_copies_of_08_or_more_go(spark, tmp_path, small):
     else:
         kept = {r.doc_id for r in neardup.near_duplicates(df, small=small).collect() if r.doc_id == r.component_id}
     assert kept == texts.keys() - near
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    """Rows are judged by themselves: a null id or one that another row has spares nothing and condemns nothing."""
+    rng = np.random.default_rng(15)
+    words = [f"w{i}" for i in range(2000)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    item, a, b = say(30), say(60), say(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, a), (5, a), (5, b), (None, f"{b} {item}"), (None, say(50)), (-3, f"{say(9)} {item}"), (7, None), (8, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_row": F.lit("x"), "row": F.lit(1), "component_id": F.lit("c")})
+    kept = corpus_pipeline.one_of_each_group(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    assert sorted(map(str, (tuple(r)[:2] for r in kept.collect()))) == sorted(map(str, [(5, a), (5, b), *rows[3:7]]))
+    clean = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path))
+    assert clean.columns == df.columns
+    assert sorted(map(str, (tuple(r)[:2] for r in clean.collect()))) == sorted(map(str, [r for r in rows if item not in (r[1] or "")]))
+    for stage in (corpus_pipeline.one_of_each_group, corpus_pipeline.cut_repeats, corpus_pipeline.drop_contaminated, corpus_pipeline.pack):
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Two groups of near copies of texts that are alike themselves: their buckets are shared, the groups are not."""
+    rng = np.random.default_rng(16)
+    base = rng.choice([f"w{i}" for i in range(3000)], 400)
+    other = base.copy()
+    other[:70] = [f"x{i}" for i in range(70)]
+    rows = []
+    for i in range(120):
+        t = (base if i % 2 else other).copy()
+        for k in rng.choice(400, 6, replace=False):
+            t[k] = f"y{i}"
+        rows.append((i, " ".join(t)))
+    near = [(i, j) for i in range(120) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    label = list(range(120))
+    for _ in range(120):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) > 1
