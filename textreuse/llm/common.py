@@ -37,7 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path, self.names = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def put(self, df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
         """Writes the table. Its shuffle files are of no use afterwards, so they go with the job."""
@@ -48,13 +48,20 @@ class Scratch:
             (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
         finally:
             conf.set(CLEAN_UP, before)
+        self.names.add(name)
         return self.get(name, df)
 
-    def free(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
+    def free(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def only(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.free(*(self.names - set(names)))
 
     def get(self, name: str, like: DataFrame | None = None) -> DataFrame:
         reader = self.spark.read

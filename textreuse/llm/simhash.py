@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.join(label, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     found = scratch.put(nodes.join(least, "label").select("fp", "component_id"), "components")
+    scratch.only("fingerprints", "components")
     return fps.join(found, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
