@@ -160,23 +160,38 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """
     scratch = Scratch(docs.sparkSession, "substring")
     seen = scratch.put(survey(docs, length, gram), "survey")
-    # copies: of rows with equal words those of the smallest id stay
-    same = seen.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = scratch.put(seen.select("doc_id", "sha", "tie").where("doc_id is not null").join(same, "sha").where("doc_id > first").select("doc_id", "tie").distinct(), "copies")
-
     key, place = ["doc_id", "tie"], F.struct("doc_id", "tie", "start")
-    whole = seen.where("doc_id is not null and size(starts) > 0").join(copies, key, "left_anti")
-    sources = whole.select(*key, F.inline(F.arrays_zip("anchors", "arounds", "starts"))).toDF(*key, "anchor", "around", "start")
+    # copies: of rows with equal words those of the smallest id stay
+    ids = seen.where("doc_id is not null").select(*key, "sha", "n_words")
+    same = ids.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = scratch.put(ids.join(same, "sha").where("doc_id > first").select(*key).distinct(), "copies")
+    # a tie says something only where an id has several texts; elsewhere it is left out of what is shuffled
+    several = ids.groupBy("doc_id").agg(F.min("tie").alias("a"), F.max("tie").alias("z")).where("a <> z").select("doc_id", F.lit(True).alias("several"))
+    several = scratch.put(several, "several")
+    alone = several.isEmpty()
+
+    def short(rows: DataFrame) -> DataFrame:
+        if alone:
+            return rows.withColumn("tie", F.lit(0).cast("long"))
+        return rows.join(several, "doc_id", "left").withColumn("tie", F.when(F.col("several"), F.col("tie")).otherwise(0)).drop("several")
+
+    def long(rows: DataFrame) -> DataFrame:
+        ties = ids.select(*key).distinct()
+        return rows.join(short(ties.withColumn("_tie", F.col("tie"))), key).withColumn("tie", F.col("_tie")).drop("_tie")
+
+    whole = seen.where("doc_id is not null and size(starts) > 0").select(*key, "anchors", "arounds", "starts").join(copies, key, "left_anti")
+    sources = short(whole).select(*key, F.inline(F.arrays_zip("anchors", "arounds", "starts"))).toDF(*key, "anchor", "around", "start")
     shapes = scratch.put(sources.groupBy("anchor", "around").agg(F.min(place).alias("first")).select("anchor", "first.*"), "shapes")
     firsts = contested(shapes).groupBy(*key).agg(F.collect_list("start").alias("firsts"), F.collect_list(F.when(F.col("contested"), F.col("start"))).alias("contested"))
-    firsts = scratch.put(firsts, "firsts")
+    firsts = scratch.put(long(firsts), "firsts")
+    scratch.free("shapes")
 
     open_ = firsts.where("size(contested) > 0").select(*key, "contested")
     windows = extended(seen.select(*key, "text", "starts", "counts", "anchors").join(open_, key), length)
     windows = windows.groupBy("anchor", "window").agg(F.min(place).alias("first")).select("first.*")
     windows = scratch.put(windows.groupBy(*key).agg(F.collect_list("start").alias("windows")), "windows")
     marked = copies.withColumn("copy", F.lit(True))
-    found = seen.join(firsts, key, "left").join(windows, key, "left").join(marked, key, "left").drop("anchors", "arounds")
+    found = seen.drop("anchors", "arounds").join(firsts, key, "left").join(windows, key, "left").join(marked, key, "left")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
