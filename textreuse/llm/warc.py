@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LEAST_REVISIT = 1000
+#: A payload that more than this share of all pages have is joined by broadcast.
+HOT_SHARE = 1 / 5000
 #: A new archive begins beyond this; reads cover at most a stretch of it.
 ARCHIVE_BYTES = 64 << 20
 STRETCH_BYTES = 8 << 20
@@ -39,12 +41,15 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=(page_id or 0) & (1 << 64) - 1)}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """Of the page and its payload, so that a revisit can name its response; records without a page have one of their own."""
+    if page_id is None:
+        return uuid.uuid4().urn.join("<>")
+    return f"<urn:uuid:{uuid.UUID(int=int(digest[:16], 16) << 64 | page_id & (1 << 64) - 1)}>"
 
 
 def page_of(record: str) -> int:
-    n = uuid.UUID(record.strip("<>").rpartition(":")[2]).int
+    n = uuid.UUID(record.strip("<>").rpartition(":")[2]).int & (1 << 64) - 1
     return n - (1 << 64) if n >> 63 else n
 
 
@@ -57,14 +62,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One WARC record as a gzip member: a response with its payload, or a revisit without it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {STAMP}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {STAMP}"]
     if page_id is None:
         lines.append("X-Page-Id: null")
     if url is not None:
         lines.append(f"WARC-Target-URI: {header_value(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {record_id(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -90,10 +95,16 @@ def with_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         .groupBy(F.col("digest").alias("same"), F.col("size").alias("as_long"))
         .agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
     )
     on = (F.col("digest") == F.col("same")) & (F.col("size") == F.col("as_long"))
-    return pages.join(groups, on, "left").select(
+    # payloads of many rows would bring their pages to one task: there are at most 1 / HOT_SHARE of them
+    most = max(2.0, pages.count() * HOT_SHARE)
+    hot = groups.where(F.col("n") > most).drop("n").withColumn("hot", F.lit(True))
+    groups = groups.where(F.col("n") <= most).drop("n")
+    pages = pages.join(F.broadcast(hot), on, "left").drop("same", "as_long")
+    crowd = pages.where("hot").drop("hot")
+    pages = pages.where("hot is null").drop("hot", "last").join(groups, on, "left").drop("same", "as_long").unionByName(crowd)
+    return pages.select(
         "page_id", "url", "html", "digest", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to")
     )
 
@@ -136,11 +147,11 @@ def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = STRETCH_BYTE
         i = j
 
 
-def read(index: DataFrame, stretch: int = STRETCH_BYTES) -> DataFrame:
+def read(index: DataFrame, stretch: int = STRETCH_BYTES, most: int = 20_000) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records that the index rows select.
 
     A response's bytes and digest are those of the payload that was read; a digest that differs from the header's is an
-    error. A revisit has no payload of its own: both stand in its headers.
+    error. A revisit has no payload of its own: both stand in its headers. Stretches are dealt to at most `most` tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +188,10 @@ def read(index: DataFrame, stretch: int = STRETCH_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     by = F.floor(F.col("offset") / stretch).alias("stretch")
-    asked = index.select("archive", "offset", "length", by).repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+    asked = index.select("archive", "offset", "length", by)
+    # as many tasks as there are stretches to read; Spark would size them by the index rows
+    size = asked.agg(F.count_distinct("archive", "stretch")).first()[0]
+    asked = asked.repartition(max(1, min(size, most)), "archive", "stretch").sortWithinPartitions("archive", "offset")
     return asked.mapInArrow(run, RECORD)
 
 
@@ -185,8 +199,8 @@ def archive(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Writes a record per page and reads all of them back: one row per page.
 
     Null html is an empty payload, a null url has no target header; a page with a null page_id is a response of its own
-    (nothing refers to it) and comes back with a null page_id. Repeated rows have a record each. An empty table gives an
-    empty table.
+    (nothing refers to it) and comes back with a null page_id. Repeated rows have a record each, with one record id if
+    their payloads are equal too. Payloads of any length are written and read whole. An empty table gives an empty table.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     index = scratch.put(write(with_types(pages, least), f"{scratch.path}/archives"), "index")
