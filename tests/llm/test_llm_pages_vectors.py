@@ -15,9 +15,11 @@ from textreuse.llm.common import Scratch
 PAGES = "page_id long, url string, html string"
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("share", [warc.HOT_SHARE, 1.0])
+def test_warc_round_trip(spark, share, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_SHARE", share)
     big, other = "é" * 600, "y" * 1000
-    rows = [(1, "http://a/x y\r\n", big), (5, None, big), (3, "http://b", big), (9, "c", "z" * 999), (8, "d", "z" * 999), (2, "e", None), (4, "f", ""), (6, "g", other), (6, "g", other), (7, "h", other), (None, "i", other), (-3, "j", "neg")]
+    rows = [(1, "http://a/x y\r\n", big), (5, None, big), (3, "http://b", big), (9, "c", "z" * 999), (8, "d", "z" * 999), (2, "e", None), (4, "f", ""), (6, "g", other), (6, "g", other), (7, "h", other), (None, "i", other), (-3, "j", "neg"), (12, "u" * 100_000, "long " * 2_000_000)]
     df = spark.createDataFrame(rows, PAGES).repartition(3).withColumns({"digest": F.lit(1), "size": F.lit(2)})
     got = sorted(map(tuple, warc.archive(df).collect()), key=str)
     want = []
@@ -176,11 +178,12 @@ def vectors(n, dim=16, seed=6):
     return x
 
 
-def test_ann(spark):
-    x = vectors(900)
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_ann(spark, kind):
+    x = vectors(900) if kind == "float" else vectors(900).astype(float) + np.random.default_rng(8).normal(size=(900, 16)) * 1e-9
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0] * 15 + [None]), (2080, [float("inf")] * 16), (None, x[3].tolist()), (7, x[7].tolist())]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns({"list": F.lit(1), "id": F.lit(2), "v": F.lit(3)})
+    odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0] * 15 + [None]), (2080, [float("inf")] * 16), (None, x[3].tolist())]
+    df = spark.createDataFrame(rows + odd, f"vec_id long, embedding array<{kind}>").withColumns({"list": F.lit(1), "id": F.lit(2), "v": F.lit(3), "row": F.lit("r")})
     got = ann.search(df, lists=8, probes=6, block=100).collect()
     y = x.astype(float)
     hits = 0
@@ -191,16 +194,26 @@ def test_ann(spark):
     for q, found in by.items():
         s = y @ y[q]
         found.sort()
-        assert [r for r, _, _ in found] == list(range(1, 21)) and all(v != q and abs(s[v] - c) < 1e-9 for _, v, c in found)
+        assert [r for r, _, _ in found] == list(range(1, 21)) and all(v != q and abs(s[v] - c) < 1e-13 for _, v, c in found)
         assert found == sorted(found, key=lambda t: (-t[2], t[1]))
         s[q] = -np.inf
         hits += len({v for _, v, _ in found} & set(np.lexsort((np.arange(900), -s))[:20].tolist()))
     assert hits / (20 * len(by)) >= 0.9
+    # what is scored exactly is less than a block, so coarse codes lose some
+    few = ann.search(df, lists=8, probes=8, block=100, parts=1, rerank=0.0).collect()
+    assert {(r.query_id, r.vec_id) for r in few} != {(r.query_id, r.vec_id) for r in ann.search(df, lists=8, probes=8, block=100, parts=1, rerank=1.0).collect()}
     few = ann.search(df.where("vec_id in (0, 1, 2, 2000)"))
     assert sorted((r.query_id, r.vec_id) for r in few.collect()) == [(0, 1), (0, 2)]
     assert ann.search(df.where("vec_id >= 2000")).count() == 0 and ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_of_repeated_ids_and_other_lengths(spark):
+    rows = [(0, [0.1, 0.2]), (1, [1.7, 0.0]), (1, [0.3, 0.4]), (2, [1.0, 2.0, 3.0]), (20, [1.0, 1.0, 1.0]), (0, [1.0, 0.0]), (40, [2.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(0, 1, 1, 0.1 * 1.7), (0, 2, 1, 0.1 * 0.3 + 0.2 * 0.4), (0, 3, 0, 0.1), (0, 1, 1, 1.7), (0, 2, 1, 0.3), (0, 3, 0, 0.1), (20, 1, 2, 6.0)]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in got) == sorted((q, r, v, round(s, 12)) for q, r, v, s in want)
+
+
 def rated(n=600, seed=7):
     rng = np.random.default_rng(seed)
     words = [f"w{i}" for i in range(300)]

@@ -3,8 +3,8 @@
 Coarse centroids and residual codebooks are fitted on a bounded sample (`sample` rows of least id hash). Every vector
 is indexed under its nearest centroid with the codes of its residual, in blocks of at most about `block` rows, so a
 list that holds a third of all vectors is many blocks. A query visits the blocks of its `probes` best lists; in each
-block asymmetric distance tables rank the rows, and the best `rerank` of them are scored exactly, in double precision,
-on the original vectors. The best of all blocks are merged by a window that keeps k rows per query.
+block asymmetric distance tables rank the rows, and the best `rerank` share of them are scored exactly, in double
+precision, on the original vectors. The best of all blocks are merged by a window that keeps k rows per query.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 K = 20
 
@@ -82,14 +82,12 @@ def matrix(column: pa.Array, dim: int, kind=np.float32) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, dim)
 
 
-INDEX = "list int, id long, v array<float>, codes binary"
-
-
 def index(vectors: DataFrame, model: Codebooks) -> DataFrame:
-    """Every vector under its nearest centroid, with the codes of its residual."""
+    """(list, row, id, v, codes): every vector as it is, under its nearest centroid, with the codes of its residual."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
     dim = model.centroids.shape[1]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
@@ -97,35 +95,44 @@ def index(vectors: DataFrame, model: Codebooks) -> DataFrame:
             lists = nearest(x, m.centroids)
             codes = m.codes(x, lists)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.astype(np.int32)), b.column("id"), b.column("v").cast(pa.list_(pa.float32())), pa.array([c.tobytes() for c in codes], pa.binary())],
-                names=["list", "id", "v", "codes"],
+                [pa.array(lists.astype(np.int32)), b.column("row"), b.column("id"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())],
+                names=["list", "row", "id", "v", "codes"],
             )
 
-    return vectors.mapInArrow(run, INDEX)
+    return vectors.mapInArrow(run, f"list int, row long, id long, v {vectors.schema['v'].dataType.simpleString()}, codes binary")
+
+
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = K, lists: int = 64, probes: int = 40, parts: int = 16, rerank: int = 256, sample: int = 20_000, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = K, lists: int = 64, probes: int = 44, parts: int = 16, rerank: float = 0.25, sample: int = 20_000, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows whose id is divisible by `every`, among all other rows.
 
-    Ties go to the smaller id. Rows whose vector is null, zero, of another length than the most usual one's, or holds
-    null or non-finite components take no part; nor do null ids. Of repeated ids one row counts. Without usable
-    vectors the result is empty; with fewer than k candidates found, all of them are returned.
+    Ties go to the smaller id. Rows whose vector is null, zero, or holds null or non-finite components take no part; nor
+    do null ids. Vectors of different lengths have no inner product; those of each length are searched among themselves.
+    Rows that share an id are candidates each, and each a query if the id is one. Without usable vectors the result is
+    empty; with fewer than k candidates found, all of them are returned.
     """
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
-    rows = usable(vectors, id_col, vector_col)
-    usual = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if usual is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = usual["dim"]
-    rows = rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().sort_by("id")
+    spark, rows = vectors.sparkSession, usable(vectors, id_col, vector_col)
+    found = spark.createDataFrame([], RESULT)
+    dims = [r["dim"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*")).orderBy("dim").collect()]  # mostly one
+    for dim in dims:
+        mine = rows.where(F.size("v") == dim) if len(dims) > 1 else rows
+        found = found.unionByName(_search(mine, dim, every, k, lists, probes, parts, rerank, sample, block))
+    return found
+
+
+def _search(rows: DataFrame, dim: int, every: int, k: int, lists: int, probes: int, parts: int, rerank: float, sample: int, block: int) -> DataFrame:
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "ann")
+    some = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).toArrow()
     model = fit(matrix(some.column("v").combine_chunks(), dim), lists, parts)
     shared = spark.sparkContext.broadcast(model)
-    held = scratch.put(index(rows, model), "index")
+    # the number of a row is fixed once the index is written
+    held = scratch.put(index(rows.withColumn("row", F.monotonically_increasing_id()), model), "index")
     sizes = {r["list"]: r["n"] for r in held.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
     parts_of = {c: -(-n // block) for c, n in sizes.items()}
     cut = F.lit([parts_of.get(c, 1) for c in range(len(model.centroids))])
-    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.get(cut, F.col("list"))).cast("int"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("row"), F.get(cut, F.col("list"))).cast("int"))
     asks = held.where(F.col("id") % every == 0)
     shares = max(1, -(-asks.count() * probes // (block * len(sizes))))
 
@@ -146,49 +153,45 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, lists: int = 64, pro
                         which.append(p)
             taken = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int32()), pa.array(which, pa.int32()), b.column("id").take(taken), b.column("v").take(taken)], names=["list", "block", "id", "v"]
+                [pa.array(where, pa.int32()), pa.array(which, pa.int32()), b.column("row").take(taken), b.column("id").take(taken), b.column("v").take(taken)], names=["list", "block", "row", "id", "v"]
             )
 
-    share = F.pmod(F.xxhash64("id", F.lit("q")), F.lit(shares)).cast("int")
-    visits = asks.select("id", "v").mapInArrow(visit, "list int, block int, id long, v array<float>").withColumn("share", share)
+    share = F.pmod(F.xxhash64("row", F.lit("q")), F.lit(shares)).cast("int")
+    visits = asks.select("row", "id", "v").mapInArrow(visit, f"list int, block int, row long, id long, v {rows.schema['v'].dataType.simpleString()}").withColumn("share", share)
     copies = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         m = shared.value
-        kind = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+        kind = {"query": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], t) for c, t in kind.items()})
-        left = left.sort_by("id")
-        ids, c = left.column("id").to_numpy(), left.column("list")[0].as_py()
-        x = matrix(left.column("v").combine_chunks(), dim)
+        left = left.sort_by([("id", "ascending"), ("row", "ascending")])
+        ids, own, c = left.column("id").to_numpy(), left.column("row").to_numpy(), left.column("list")[0].as_py()
+        exact = matrix(left.column("v").combine_chunks(), dim, np.float64)
         codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        exact = x.astype(np.float64)
-        asked = right.column("id").to_numpy()
-        queries = matrix(right.column("v").combine_chunks(), dim)
+        asked, rows_asked = right.column("id").to_numpy(), right.column("row").to_numpy()
+        queries = matrix(right.column("v").combine_chunks(), dim, np.float64)
         flat = np.ascontiguousarray(codes.T).astype(np.intp)
-        out_q, out_v, out_s = [], [], []
+        most = min(len(ids), max(k + 1, 16, int(np.ceil(len(ids) * rerank))))  # the query itself may be among them
+        out = []
         for at in range(0, len(asked), 256):
-            ys = queries[at : at + 256]
+            ys = queries[at : at + 256].astype(np.float32)
             guess = np.repeat((ys @ m.centroids[c])[:, None], len(ids), axis=1)
             for p, book in enumerate(m.books):
                 table = ys.reshape(len(ys), m.parts, -1)[:, p] @ book.T
                 guess += np.take(table, flat[p], axis=1)
-            if len(ids) > rerank:
-                edges = -np.partition(-guess, rerank - 1, axis=1)[:, rerank - 1]
-            for q, y, g, i in zip(asked[at : at + 256].tolist(), ys.astype(np.float64), guess, range(len(ys)), strict=True):
-                best = np.arange(len(ids))
-                if len(ids) > rerank:  # ties at the edge go to the smaller ids
-                    over, even = np.flatnonzero(g > edges[i]), np.flatnonzero(g == edges[i])
-                    best = np.concatenate((over, even[: rerank - len(over)]))
-                best = best[ids[best] != q]
-                s = exact[best] @ y
-                top = np.lexsort((ids[best], -s))[:k]
-                out_q.append(np.full(len(top), q))
-                out_v.append(ids[best][top])
-                out_s.append(s[top])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+            edges = -np.partition(-guess, most - 1, axis=1)[:, most - 1]
+            for i, (g, edge) in enumerate(zip(guess, edges, strict=True), at):
+                # ties at the edge go to the smaller ids
+                over, even = np.flatnonzero(g > edge), np.flatnonzero(g == edge)
+                best = np.concatenate((over, even[: most - len(over)]))
+                best = best[own[best] != rows_asked[i]]
+                s = exact[best] @ queries[i]
+                top = np.lexsort((own[best], ids[best], -s))[:k]
+                out.append((np.full(len(top), rows_asked[i]), np.full(len(top), asked[i]), ids[best][top], s[top]))
+        return pa.table(dict(zip(kind, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     key = ["list", "block", "share"]
-    found = copies.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(score, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = copies.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(score, "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
