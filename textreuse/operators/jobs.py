@@ -26,7 +26,8 @@ def new_pairs(pairs: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def pair_id(left: str = "left_document_id", right: str = "right_document_id"):
-    return F.xxhash64(left, right)
+    """Both ids, as a string: no two pairs share one."""
+    return F.concat_ws("-", left, right)
 
 
 def pair_navigation(pairs: DataFrame) -> DataFrame:
@@ -57,7 +58,8 @@ def cascade_delete(tables: dict[str, DataFrame], doc_ids: DataFrame) -> dict[str
         if name in tables:
             out[name] = tables[name].join(doc_ids, "doc_id", "left_anti")
     if "embeddings" in tables and "chunks" in tables:
-        out["embeddings"] = tables["embeddings"].join(out["chunks"].select("chunk_id").distinct(), "chunk_id", "left_semi")
+        # a vector belongs to a text; it stays while any chunk has that text
+        out["embeddings"] = tables["embeddings"].join(out["chunks"].select("text_hash").distinct(), "text_hash", "left_semi")
     if "pairs" in tables:
         out |= delete_pairs({k: v for k, v in tables.items() if k in ("pairs", "groups", "details")}, victims(tables["pairs"], doc_ids))
     return out
@@ -80,11 +82,27 @@ def project_job(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("project_id").agg(F.min_by("job_id", F.struct("created_at", "job_id")).alias("job_id"))
 
 
-def project_stats(docs: DataFrame, project: str = "project_id") -> DataFrame:
-    """total, completed, pending (pending or processing) documents of each project."""
-    return docs.groupBy(project).agg(
+def project_stats(docs: DataFrame, project: str = "project_id", jobs: DataFrame | None = None) -> DataFrame:
+    """total, completed, pending (pending or processing) documents of each project, and its jobs where they are given."""
+    out = docs.groupBy(project).agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status").isin("pending", "processing")).alias("pending")
     )
+    if jobs is None:
+        return out
+    return out.join(jobs.groupBy(project).agg(F.count("*").alias("jobs")), project, "left").withColumn("jobs", F.coalesce("jobs", F.lit(0)))
+
+
+def document_summary(docs: DataFrame, detail: bool = False) -> DataFrame:
+    """What a list of documents shows; with detail also the text and the metadata. Columns that docs lack are null."""
+    names = ["doc_id", "project_id", "title", "filename", "source", "lang", "status", "paragraph_count", "sentence_count", "char_count", "created_at", "updated_at"]
+    names += ["text", "metadata"] if detail else []
+    return docs.select(*((F.col(n) if n in docs.columns else F.lit(None)).alias(n) for n in names))
+
+
+def pair_summary(pairs: DataFrame) -> DataFrame:
+    """What a list of pairs shows: ids, status and the metrics as one column."""
+    metrics = F.struct("group_count", "top_score", "aggregate_alignment").alias("metrics")
+    return pairs.select("pair_id", "job_id", "left_document_id", "right_document_id", "status", metrics)
 
 
 def has_active_pairs(pairs: DataFrame, job: str = "job_id") -> DataFrame:

@@ -30,9 +30,13 @@ def highlight_intervals(groups: DataFrame, side: str, key: list[str], threshold:
     return block.unionByName(fragments)
 
 
-def highlight_segments(docs: DataFrame, intervals: DataFrame, id_col: str = "doc_id", match: str = "match_key") -> DataFrame:
+def highlight_segments(docs: DataFrame, intervals: DataFrame, id_col: str = "doc_id", match: str = "match_key", overlap: str = "all") -> DataFrame:
     """(id, start, end, text, matches): the text cut at every boundary, with the matches active there, in the order of
-    their intervals (the first is primary). Intervals: id, match, start, end; what lies beyond the text is cut off."""
+    their intervals (the first is primary). Intervals: id, match, start, end; what lies beyond the text is cut off.
+
+    overlap: all, or first: an interval that overlaps one before it is left out."""
+    if overlap == "first":
+        intervals = drop_overlaps(intervals, id_col)
     size = docs.select(id_col, F.length("text").alias("_n"))
     clean = intervals.where("end > start").join(size, id_col)
     clean = clean.select(id_col, match, F.col("start").alias("_s"), F.col("end").alias("_e"), F.least("start", "_n").alias("_a"), F.least("end", "_n").alias("_z")).where("_a < _z")
@@ -55,7 +59,8 @@ def drop_overlaps(intervals: DataFrame, key: str = "doc_id") -> DataFrame:
     document, so one task takes a document's intervals."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, keep, end = pdf.sort_values(["start", "end"]), [], None
+        rest = [c for c in pdf.columns if c not in ("start", "end")]
+        pdf, keep, end = pdf.sort_values(["start", "end", *rest]), [], None
         for a, z in zip(pdf["start"], pdf["end"], strict=True):
             stays = end is None or a >= end
             end = z if stays else end

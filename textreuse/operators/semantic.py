@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +35,39 @@ def semantic_candidates(left: DataFrame, right: DataFrame, on: list[str], top_k:
     return ranked.where(F.col("semantic_score") >= threshold)
 
 
+def near_pairs(vectors: DataFrame, within: str, key: str, threshold: float, block: int = 512) -> DataFrame:
+    """(within, left, right, semantic_score), left < right: cosines of at least the threshold, rounded to 9 digits.
+
+    vectors: within, key, embedding. Vectors are packed into blocks, and a block meets another by one matrix product.
+    """
+    n = vectors.groupBy(within).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    rows = vectors.join(n, within).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")))
+    packed = rows.groupBy(within, "_block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("embedding").alias("v"))).alias("x"))
+    left, right = (packed.select(within, F.col("_block").alias(f"{s}_block"), F.col("x").alias(s)) for s in ("left", "right"))
+    both = left.join(right, within).where("left_block <= right_block").select(within, "left", "right")
+
+    def unit(x: list) -> tuple[np.ndarray, np.ndarray]:
+        v = np.array([r["v"] for r in x], float)
+        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.array([r["k"] for r in x], object), v / np.where(length == 0, 1, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                (lk, lv), (rk, rv) = (unit(b.column(s)[i].as_py()) for s in ("left", "right"))
+                s = np.round(lv @ rv.T, 9)
+                at, to = np.nonzero(s >= threshold)
+                a, z = lk[at], rk[to]
+                turn = a > z
+                a, z = np.where(turn, z, a), np.where(turn, a, z)
+                rows = pa.table({"left": pa.array(a.tolist(), pa.string()), "right": pa.array(z.tolist(), pa.string()), "semantic_score": pa.array(s[at, to])})
+                rows = rows.add_column(0, within, pa.array([b.column(within)[i].as_py()] * len(at), pa.string()))
+                yield from rows.combine_chunks().to_batches()
+
+    found = both.mapInArrow(run, f"`{within}` string, left string, right string, semantic_score double")
+    return found.where("left < right").dropDuplicates([within, "left", "right"])  # a block meets itself both ways round
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 50, where: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, similarity): top_k by cosine of a stated query set against all rows, in blocks.
 
@@ -78,18 +112,16 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 50, where
 
 
 def hashed_grams(texts: list[str], dimension: int = 256) -> np.ndarray:
-    """The default embedder: hashed character 3-grams, counted."""
-    out = np.zeros((len(texts), dimension), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        t = (text or "").lower()
-        for i in range(max(1, len(t) - 2)):
-            row[zlib.crc32(t[i : i + 3].encode()) % dimension] += 1
-    return out
+    """The default embedder: hashed character 3-grams, counted. Each distinct one of a batch is hashed once."""
+    lowered = [(t or "").lower() for t in texts]
+    grams = [[t[i : i + 3] for i in range(max(1, len(t) - 2))] for t in lowered]
+    place = {g: int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % dimension for g in set().union(*grams)}
+    return np.array([np.bincount([place[g] for g in x], minlength=dimension) for x in grams], np.float32).reshape(-1, dimension)
 
 
 def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_grams, dimension: int = 256, batch: int = 20, stored: DataFrame | None = None) -> DataFrame:
-    """Adds embedding: each distinct text is embedded once, those in stored (text_hash, embedding) not at all; a batch
-    that fails gets zero vectors."""
+    """Adds embedding and embedded: each distinct text is embedded once, those in stored (text_hash, embedding) not at all;
+    a batch that fails gets zero vectors and embedded false."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -97,18 +129,18 @@ def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray]
             for i in range(0, len(texts), batch):
                 part = texts[i : i + batch]
                 try:
-                    got = np.asarray(embedder(part), np.float32)
+                    got, fine = np.asarray(embedder(part), np.float32), True
                 except Exception:  # a failing service costs the batch, not the job
-                    got = np.zeros((len(part), dimension), np.float32)
-                out += [x.tolist() for x in got]
-            yield pd.DataFrame({"text_hash": b["text_hash"], "embedding": out})
+                    got, fine = np.zeros((len(part), dimension), np.float32), False
+                out += [(x.tolist(), fine) for x in got]
+            yield pd.DataFrame({"text_hash": b["text_hash"], "embedding": [x for x, _ in out], "embedded": [x for _, x in out]})
 
     distinct = chunks.select("text_hash", "text").dropDuplicates(["text_hash"])
     if stored is not None:
         distinct = distinct.join(stored.select("text_hash"), "text_hash", "left_anti")
-    vectors = distinct.mapInPandas(run, "text_hash string, embedding array<float>")
+    vectors = distinct.mapInPandas(run, "text_hash string, embedding array<float>, embedded boolean")
     if stored is not None:
-        vectors = vectors.unionByName(stored.select("text_hash", "embedding"))
+        vectors = vectors.unionByName(stored.select("text_hash", "embedding", F.lit(True).alias("embedded")))
     return chunks.join(vectors, "text_hash")
 
 

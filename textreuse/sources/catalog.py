@@ -13,9 +13,9 @@ SCHEMAS = {
     "document_chunk": "doc_id long, chunk_type string, chunk_index int, start_pos int, end_pos int, parent_index int, text string, text_hash string",
     "chunk_embedding": "text_hash string, model string, dimension int, norm double, embedding array<float>",
     "compare_job": "job_id long, project_id string, name string, status string, config string, created_at timestamp, updated_at timestamp",
-    "compare_pair": "pair_id long, job_id long, left_document_id long, right_document_id long, status string, metrics struct<group_count:long,top_score:double,aggregate_alignment:double>, started_at timestamp, completed_at timestamp",
-    "match_group": f"pair_id long, left_parent int, right_parent int, final_score double, semantic_score double, cross_score double, alignment_ratio double, span_count int, match_count long, paragraph_spans array<{SPAN}>, document_spans array<{SPAN}>",
-    "match_detail": f"pair_id long, left_parent int, right_parent int, left_chunk int, right_chunk int, final_score double, semantic_score double, cross_score double, spans array<{SPAN}>",
+    "compare_pair": "pair_id string, job_id long, left_document_id long, right_document_id long, status string, metrics struct<group_count:long,top_score:double,aggregate_alignment:double>, started_at timestamp, completed_at timestamp",
+    "match_group": f"pair_id string, left_parent int, right_parent int, final_score double, semantic_score double, cross_score double, alignment_ratio double, span_count int, match_count long, paragraph_spans array<{SPAN}>, document_spans array<{SPAN}>",
+    "match_detail": f"pair_id string, left_parent int, right_parent int, left_chunk int, right_chunk int, final_score double, semantic_score double, cross_score double, spans array<{SPAN}>",
 }
 PARTITIONS = {"document": "project_id", "document_chunk": "chunk_type", "compare_pair": "job_id", "compare_job": "project_id"}
 STATUSES = {
@@ -60,15 +60,17 @@ class Catalog:
         return (df if chunk_type is None else df.where(F.col("chunk_type") == chunk_type)).orderBy("chunk_index")
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Writes beside the table, then puts it in its place: df may read the table itself."""
+        """Writes beside the table, then puts it in its place: df may read the table itself. The old table goes only after
+        the new one stands, so a crash leaves one of them whole."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        aside, at = self.path(f"_{name}"), self.path(name)
+        aside, at, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (self.path(f"_new_{name}"), self.path(name), self.path(f"_old_{name}")))
         writer = self.shaped(name, df).write.mode("overwrite")
-        (writer.partitionBy(PARTITIONS[name]) if name in PARTITIONS else writer).parquet(aside)
-        old, new = jvm.org.apache.hadoop.fs.Path(at), jvm.org.apache.hadoop.fs.Path(aside)
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        (writer.partitionBy(PARTITIONS[name]) if name in PARTITIONS else writer).parquet(aside.toString())
+        fs = at.getFileSystem(conf)
+        fs.delete(gone, True)
+        fs.rename(at, gone)
+        fs.rename(aside, at)
+        fs.delete(gone, True)
 
 
 def write_vectors(df: DataFrame, path: str, dimension: int, mode: str = "append") -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import mimetypes
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -19,19 +18,24 @@ UPLOADS = ("pdf", "docx", "doc", "txt", "md")
 MAX_BYTES = 20 << 20
 #: Formats with a parser of their own.
 SPECIAL = ("docx", "doc", "pdf")
-#: Names without an extension that are text.
-PLAIN_NAMES = ("readme", "license", "makefile", "dockerfile", "changelog", "authors", "contributing", "notice", "todo", "copying", "install", "news")
-#: Suffixes of text that no media type names.
-CODE = (
-    "md rst adoc tex log ini cfg conf toml yaml yml json jsonl xml csv tsv sql py pyi js jsx ts tsx java kt scala c h cc cpp hpp cs go rs rb php pl sh bash zsh bat ps1 r jl lua swift dart vue "
-    "html htm css scss less ipynb gradle cmake proto graphql env properties srt vtt"
+# Names without an extension that are text.
+PLAIN_NAMES = (
+    "dockerfile containerfile makefile gnumakefile rakefile gemfile guardfile capfile thorfile vagrantfile berksfile puppetfile "
+    "procfile appfile buildfile workspace license licence copyright copying readme changelog history changes authors contributors "
+    "acknowledgments credits install installation news releases todo tasks bugs issues roadmap milestones faq questions "
+    "contributing code_of_conduct security notice disclaimer manifest version config configure setup requirements dependencies"
+).split()
+#: Suffixes of text: prose, tables, settings, code. Others can be passed in.
+TEXT = (
+    "txt text md markdown mdx rst adoc asciidoc org tex bib log nfo csv tsv psv json jsonl ndjson json5 xml xsd xsl xslt dtd rss atom svg yaml yml toml ini cfg conf config env "
+    "properties plist html htm xhtml css scss sass less js mjs cjs jsx ts tsx vue svelte astro py pyi pyx pyw ipynb rb erb gemspec php phtml java kt kts scala sc groovy gradle clj cljs "
+    "c h cc cpp cxx hpp hh hxx inl ino cs fs fsx vb go rs swift m mm dart lua pl pm r rmd jl hs lhs ml mli elm ex exs erl hrl nim zig d pas pp f f90 f95 for asm s v sv vhd vhdl "
+    "sh bash zsh fish csh ksh bat cmd ps1 psm1 awk sed sql ddl graphql gql proto thrift avsc cmake mk tf tfvars hcl nix dockerignore gitignore gitattributes editorconfig srt vtt ass po pot ics vcf eml diff patch"
 ).split()
 
 
 def text_suffixes() -> frozenset[str]:
-    """Suffixes whose media type is text, and those of code and settings."""
-    types = mimetypes.types_map | mimetypes.common_types
-    return frozenset({k[1:] for k, v in types.items() if v.startswith("text/")} | {"txt", *CODE})
+    return frozenset(TEXT)
 
 
 def extension(path: Column) -> Column:
