@@ -101,7 +101,7 @@ def checksum(content: Column) -> Column:
 
 
 def format_score(score: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", score), F.lit("-"))
+    return F.when(score.isNotNull(), F.format_string("%.3f", score)).otherwise("-")
 
 
 def score_level(score: Column) -> Column:

@@ -551,15 +551,7 @@ def aggregate_metrics(spark, d):
     return metrics.aggregate_metrics(stages(spark, d))
 
 
-# --- whole comparison; not expressed in SQL
-
-
-@query()
-def project_comparison(spark, d):
-    """Stable near-duplicate paragraphs of every pair of documents of a project: count, best score, aligned share."""
-    from textreuse.plans.compare import compare_projects
-
-    return compare_projects(docs_of(spark, d)).select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")
+# --- not expressed in SQL
 
 
 @query()
@@ -572,13 +564,24 @@ def align_spans(spark, d):
     return align.align_spans(n.withColumn("pair_id", F.concat_ws("-", "source", "left", "right")))
 
 
-@query()
+@query(
+    f"""with recursive {sql.REUSE}, k as (select distinct left_document_id as doc_id, left_start as s, left_start + size as e from hits),
+    pick(doc_id, b) as (select doc_id, min({{'s': s, 'e': e}}) from k group by doc_id
+      union all select k.doc_id, min({{'s': k.s, 'e': k.e}}) from pick join k on k.doc_id = pick.doc_id and k.s >= pick.b.e group by k.doc_id)
+    select doc_id, b.s as "start", b.e as "end" from pick"""
+)
 def drop_overlaps(spark, d):
     """Non-overlapping highlights of each document, first come."""
     m = reused(spark, d).select(F.col("left_document_id").alias("doc_id"), F.col("left_start").alias("start"), (F.col("left_start") + F.length("left_text")).alias("end")).distinct()
     return report.drop_overlaps(m)
 
 
-@query()
+@query(
+    f"""with recursive {sql.STRATEGY}, g(pair_id, b, ul, ur) as (select distinct pair_id, {{'l': -1::bigint, 'r': -1::bigint, 's': 0::double}}, []::bigint[], []::bigint[] from matches
+      union all select pair_id, b, list_append(ul, b.l), list_append(ur, b.r) from (select g.pair_id, any_value(g.ul) as ul, any_value(g.ur) as ur,
+        arg_min({{'l': m.left_parent, 'r': m.right_parent, 's': m.final_score}}, {{'a': -m.final_score, 'b': m.left_start, 'c': m.right_start}}) as b
+        from g join matches m on m.pair_id = g.pair_id where not list_contains(g.ul, m.left_parent) and not list_contains(g.ur, m.right_parent) group by g.pair_id))
+    select pair_id, b.l as left_parent, b.r as right_parent, b.s as final_score from g where b.l >= 0"""
+)
 def greedy_one_to_one(spark, d):
     return groups.greedy_one_to_one(strategy_groups(spark, d)).select(*_COLS)

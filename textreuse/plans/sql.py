@@ -131,3 +131,111 @@ groups as (select pair_id, left_document_id, right_document_id, left_parent, rig
   from hits group by all)
 """
 )
+
+
+def _sentences(parts: str) -> str:
+    """parts: s1(doc_id, source, english, i, pos, part, k) with the text of each part."""
+    return f"""
+{parts},
+s2 as (select *, pos + coalesce(sum(length(part)) over (partition by doc_id, i order by k rows between unbounded preceding and 1 preceding), 0)::bigint as p from s1),
+"""
+
+
+_LAST = """
+s3 as (select doc_id, source, english, trim(part, ' ' || chr(9)) as text, p + length(part) - length(ltrim(part, ' ' || chr(9))) as start_pos from {0}),
+sentences as (select doc_id, source, row_number() over (partition by doc_id order by start_pos) - 1 as chunk_index,
+  start_pos, start_pos + length(text) as end_pos, text, sha256(text) as text_hash from s3 where length(text) >= case when english then 40 else 20 end)
+"""
+
+#: A point after a digit, but at the end of a line, is set aside while the line is split.
+PROTECTED = (
+    _sentences(
+        """
+s0 as (select doc_id, source, english, i, pos, regexp_replace(regexp_replace(line, '([0-9])[.]', '\\1' || chr(1), 'g'), chr(1) || '$', '.') as line from lines where length(line) > 0),
+s1 as (select doc_id, source, english, i, pos, replace(part, chr(1), '.') as part, k from (select doc_id, source, english, i, pos, unnest(l) as part, unnest(generate_series(1, len(l))) as k
+  from (select *, regexp_extract_all(line, '[^.!?。！？；]*[.!?。！？；]|[^.!?。！？；]+') as l from s0)))"""
+    )
+    + _LAST.format("s2")
+)
+
+MERGED = (
+    _sentences(
+        """
+s0 as (select doc_id, source, english, i, pos, regexp_extract_all(line, '[^.!?。！？；]*[.!?。！？；]|[^.!?。！？；]+') as l from lines where length(line) > 0),
+s1 as (select doc_id, source, english, i, pos, unnest(l) as part, unnest(generate_series(1, len(l))) as k, len(l) as n from s0)"""
+    )
+    + """
+m0 as (select *, case when contains(trim(part), ' ') then len(list_filter(regexp_split_to_array(part, '\\s+'), lambda x: x <> '')) else len(regexp_extract_all(part, '[㐀-鿿]|[^\\s㐀-鿿]+')) end as size from s2),
+m1 as (select *, sum(case when k = 1 or k = n or size >= 4 or contains(part, '！') or contains(part, '？') then 1 else 0 end) over (partition by doc_id, i order by k) as island from m0),
+m2 as (select doc_id, any_value(source) as source, any_value(english) as english, i, string_agg(part, '' order by k) as part, min(p) as p from m1 group by doc_id, i, island),
+"""
+    + _LAST.format("m2")
+)
+
+
+def embedded(table: str) -> str:
+    """cells(text_hash, cell, n): counts of the hashed character grams of table(text_hash, text)."""
+    return f"""
+e0 as (select text_hash, string_split(lower(text), '') as c from {table}),
+e1 as (select text_hash, unnest(list_transform(generate_series(1, greatest(len(c) - 2, 1)), lambda i: c[i] || coalesce(c[i + 1], '') || coalesce(c[i + 2], ''))) as g from e0),
+e2 as (select g, ('0x' || substr(md5(g), 1, 8))::bigint % 256 as cell from (select distinct g from e1)),
+cells as (select text_hash, cell, count(*) as n from e1 join e2 using (g) group by text_hash, cell)"""
+
+
+def _metrics(found: str) -> str:
+    """found: rows (source, left_document_id, right_document_id, left_parent, right_parent, score, left_size, right_size, left_length, right_length)."""
+    return f"""
+found as ({found}),
+g as (select left_document_id, right_document_id, left_parent, right_parent, round(max(score), 4) as score,
+  round(least(max(left_size), max(right_size)) / greatest(least(any_value(left_length), any_value(right_length)), 1), 4) as ratio, any_value(left_start) as left_start, any_value(right_start) as right_start from found group by all)"""
+
+
+def _out(groups: str) -> str:
+    return f"""
+m as (select left_document_id, right_document_id, count(*) as group_count, max(score) as top_score, sum(ratio) as total from {groups} group by all)
+select l.doc_id || '-' || r.doc_id as pair_id, l.doc_id as left_document_id, r.doc_id as right_document_id, coalesce(group_count, 0) as group_count, round(coalesce(top_score, 0.0), 4) as top_score,
+  round(coalesce(total, 0.0), 4) as aggregate_alignment
+from documents l join documents r on l.source = r.source and l.doc_id < r.doc_id left join m on m.left_document_id = l.doc_id and m.right_document_id = r.doc_id"""
+
+
+_BOTH = """
+scored as (select source, a, b, score from scored0 where score >= {final} union all select source, b, a, score from scored0 where score >= {final} union all select distinct source, text_hash, text_hash, 1.0 from compared)"""
+
+_MATCHES = """select l.source, l.doc_id as left_document_id, r.doc_id as right_document_id, l.parent_index as left_parent, r.parent_index as right_parent, score, length(l.text) as left_size, length(r.text) as right_size,
+  l.parent_length as left_length, r.parent_length as right_length, l.parent_start as left_start, r.parent_start as right_start
+  from compared l join scored s on s.source = l.source and s.a = l.text_hash join compared r on r.source = l.source and r.text_hash = s.b where l.doc_id < r.doc_id"""
+
+_AS_PARAGRAPHS = "compared as (select doc_id, source, chunk_index, text_hash, text, chunk_index as parent_index, start_pos as parent_start, end_pos - start_pos as parent_length from paragraphs)"
+_AS_SENTENCES = f"""{SENTENCES}, {parents()}, compared as (
+  select s.doc_id, s.source, s.chunk_index, s.text_hash, s.text, b.parent_index, p.start_pos as parent_start, p.end_pos - p.start_pos as parent_length
+    from sentences s join best b using (doc_id, chunk_index) join paragraphs p on p.doc_id = s.doc_id and p.chunk_index = b.parent_index
+  union all select doc_id, source, chunk_index, text_hash, text, chunk_index, start_pos, end_pos - start_pos from paragraphs where doc_id not in (select doc_id from best where parent_index is not null))"""
+_TEXTS = "texts as (select text_hash, any_value(text) as text from compared group by text_hash), here as (select distinct source, text_hash from compared)"
+
+
+def compared(granularity: str) -> str:
+    """By MinHash: aggressive mode with the stable strategy by paragraphs, strict mode with all matches by sentences."""
+    paragraphs = granularity == "paragraph"
+    estimate, final = (0.3, 0.7) if paragraphs else (0.5, 0.85)
+    stable = """
+ranked as (select *, row_number() over (partition by left_document_id, right_document_id, left_parent order by score desc, left_start, right_start) as nl,
+  row_number() over (partition by left_document_id, right_document_id, right_parent order by score desc, left_start, right_start) as nr from g),
+kept as (select * from ranked where nl = 1 and nr = 1),"""
+    return f"""with recursive {PARAGRAPHS}, {_AS_PARAGRAPHS if paragraphs else _AS_SENTENCES}, {_TEXTS}, {shingled("texts", "text_hash")}, {signed("text_hash")}, {banded("text_hash")},
+    placed_bands as (select source, text_hash, band, band_key from bands join here using (text_hash)),
+    pairs as (select distinct l.source, l.text_hash as a, r.text_hash as b from placed_bands l join placed_bands r on l.source = r.source and l.band = r.band and l.band_key = r.band_key and l.text_hash < r.text_hash),
+    sigs as (select text_hash, list(v order by i) as s from signatures group by text_hash),
+    near as (select p.* from pairs p join sigs x on x.text_hash = a join sigs y on y.text_hash = b where list_sum(list_transform(generate_series(1, 120), lambda k: case when x.s[k] = y.s[k] then 1 else 0 end)) / 120 >= {estimate}),
+    sets as (select text_hash, list(shingle) as g, count(*) as n from grams group by text_hash),
+    jac as (select p.*, len(list_intersect(x.g, y.g)) as k, x.n as xn, y.n as yn from near p join sets x on x.text_hash = a join sets y on y.text_hash = b),
+    scored0 as (select source, a, b, k / (xn + yn - k) as score from jac), {_BOTH.format(final=final)}, {_metrics(_MATCHES)}, {stable if paragraphs else ""} {_out("kept" if paragraphs else "g")}"""
+
+
+def compared_by_vectors() -> str:
+    return f"""with recursive {PARAGRAPHS}, {_AS_PARAGRAPHS}, {_TEXTS}, {embedded("texts")},
+    v as (select text_hash, list_transform(list(coalesce(n, 0) order by c.cell), lambda x: x::double) as v from (select t.text_hash, r.cell from texts t, (select unnest(generate_series(0, 255)) as cell) r) c left join cells using (text_hash, cell) group by text_hash),
+    unit as (select source, text_hash, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v join here using (text_hash)),
+    near as (select l.source, l.text_hash as a, r.text_hash as b from unit l join unit r on l.source = r.source and l.text_hash < r.text_hash where round(list_dot_product(l.v, r.v), 9) >= 0.97),
+    {shingled("texts", "text_hash")}, sets as (select text_hash, list(shingle) as g, count(*) as n from grams group by text_hash),
+    jac as (select p.*, len(list_intersect(x.g, y.g)) as k, x.n as xn, y.n as yn from near p join sets x on x.text_hash = a join sets y on y.text_hash = b),
+    scored0 as (select source, a, b, k / (xn + yn - k) as score from jac), {_BOTH.format(final=0.8)}, {_metrics(_MATCHES)}, {_out("g")}"""
