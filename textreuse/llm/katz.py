@@ -4,9 +4,10 @@
     p(w)     = d(c(w)) c(w) / N        where c(w) > 0,   else  what the discounts leave, for any unknown word
     a(h)     = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w) over the same w);  1 where h is unknown
 
-Counts up to `K` are discounted. A history all of whose followers are seen more often than that, and every history of
-at least `HOT` tokens, has c(h) + 1 for c(h), so that something is left for unseen followers. A text's first word
-follows the end of a text.
+Counts up to `K` are discounted. A history all of whose followers are seen more often than that has c(h) + 1 for c(h),
+so that something is left for unseen followers. A text's first word follows the end of a text. Histories of `HOT` tokens
+or more are dealt to several buckets, which changes nothing in the model: whether one of them has c(h) + 1 is decided by
+the sums over its buckets, and documents' sums that were made without it are set right.
 
 How it runs: texts become chunks of word numbers, each with its own vocabulary (one pass). Word counts are summed over
 the chunks' vocabularies and given back to them. Each chunk then deals its bigrams, with the documents that have them,
@@ -272,7 +273,8 @@ def gather(parts: DataFrame, one: Unigrams, hot: int) -> DataFrame:
         many = np.bincount(group, np.where(c > K, c, 0), minlength=len(lead)).astype(np.int64)
         p_seen = np.bincount(group, np.where(seen, one.p(cw), 0.0), minlength=len(lead))
         big = ch[lead] >= hot
-        below = ch[lead] + (big | (few.sum(axis=1) == 0))
+        none = few.sum(axis=1) == 0
+        below = ch[lead] + (none & ~big)
         out = [{
             "kind": "model", "bucket": bucket, "a": listed(h[seen]), "b": listed(w[seen]), "c": packed(c[seen]),
             "d": packed(np.bincount(c[c <= K + 1], minlength=K + 2)),
@@ -292,7 +294,10 @@ def gather(parts: DataFrame, one: Unigrams, hot: int) -> DataFrame:
             u = np.flatnonzero(~seen[mine])
             g, who = group[mine[u]], mine[u]
             figures = np.concatenate((below[g][:, None], many[g][:, None], few[g], cw[who][:, None], n[u][:, None], doc[u][:, None], np.where(big[g], h[who], 0)[:, None], big[g][:, None]), axis=1)
+            # of a dealt history only all buckets together say whether it has c(h) + 1
+            may = np.flatnonzero(seen[mine] & (big & none)[group[mine]])
             out.append({
+                "d": packed(doc[may]), "e": packed(h[mine[may]]), "f": packed(n[may]),
                 "kind": "share", "bucket": bucket, "chunk": r["chunk"], "a": packed(docs), "b": packed(by.reshape(-1)), "c": packed(figures.T.reshape(-1)),
                 "x": sums.tobytes(), "y": p_seen[g].tobytes(),
             })
@@ -323,6 +328,11 @@ def finish(parts: DataFrame, one: Unigrams, two: np.ndarray, hot: dict[int, tupl
             below, many, few = below.copy(), many.copy(), few.copy()
             for i in np.flatnonzero(is_hot):
                 below[i], few[i], many[i], p_seen[i] = shared.value[h[i]]
+            d, e, f = (unpacked(r[c]) for c in "def")
+            for k in np.unique(e):
+                above, f0, *_ = shared.value[k]
+                if not f0.any():
+                    np.add.at(score, d[e == k], f[e == k] * np.log10((above - 1) / above))
             np.add.at(score, doc, n * (weight(below, few, many, p_seen) + np.log10(one.p(cw))))
         sizes = unpacked(local["a"])
         return pa.table(
@@ -372,4 +382,5 @@ def score(docs: DataFrame, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, buc
         for h, below, f, many, p in zip(unpacked(r["a"]).tolist(), unpacked(r["b"]).tolist(), few, unpacked(r["d"]).tolist(), np.frombuffer(r["x"]).tolist(), strict=True):
             _, f0, m0, p0 = summed.get(h, (0, 0, 0, 0.0))
             summed[h] = (below, f0 + f, m0 + many, p0 + p)
+    summed = {h: (below + (not f.any()), f, many, p) for h, (below, f, many, p) in summed.items()}
     return finish(parts, one, two, summed)
