@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, decontam, htmltext, katz, packing, quality, simhash, substring, urlfilter, warc
 from .common import table
@@ -34,6 +35,13 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids")
 
 
+def decontam_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: places where a window of the benchmark stands close together in any order, and their items."""
+    found = decontam.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.size(F.array_distinct(F.flatten(F.collect_list("item_ids")))).cast("long")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_places"), items.alias("n_items"))
+
+
 def op9_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -53,6 +61,7 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,
+    "decontam_proximity": decontam_proximity,
     "op3_ann": op3_ann,
     "op4_katz": op4_katz,
     "op5_warc": op5_warc,
