@@ -27,7 +27,7 @@ from .common import Scratch, pieces, texts, tidy
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker keeps; it starts afresh beyond that.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 500_000
 
 
 #: A letter before an ASCII sign other than the apostrophe: the vocabulary's words end there as well.
