@@ -81,6 +81,11 @@ def pieces(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[
         yield batch.slice(i, step)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from pieces(b, name, most)
+
+
 def stored(uri: str, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Batches of a written table, read within a task; for tables that every task passes over in blocks."""
     store, place = fs.FileSystem.from_uri(uri)
@@ -95,10 +100,27 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A pass that gives its memory back at the end of the task, as a worker lives for many tasks."""
+#: What a worker keeps from task to task, by the name of the pass that keeps it.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_kept(but: str | None = None) -> None:
+    for name in [x for x in _kept if x != but]:
+        del _kept[name]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass that gives its memory back at the end of the task, as a worker lives for many tasks. What passes of another
+    name have kept goes at its start."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
         try:
             yield from run(batches)
         finally:

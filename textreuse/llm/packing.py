@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, pieces, texts, tidy
+from .common import Scratch, kept, pieces, texts, tidy
 
 CAPACITY = 4096
 END = 1
@@ -112,13 +112,8 @@ class WordIds:
             yield ids[ends[a] : ends[to]]
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def tokenizer(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return kept(path, lambda: WordIds(path))
 
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -127,7 +122,6 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most `capacity` ids, with `part` and `nth`: the task, and the rank in it among pieces of that length."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = tokenizer(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for big in batches:
@@ -146,7 +140,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECE}, nth long, part int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, keeps=path), f"doc_id {kind}, {PIECE}, nth long, part int")
 
 
 class Tightest:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, tidy
+from .common import pieces, texts, tidy
 
 #: Runs of letters (ASCII or not), and runs of other printable signs: junk shows in the second kind.
 TOKEN = re.compile(rb"[a-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
@@ -151,11 +151,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            tails = m.tails([features(x, m.bits) for x in texts(b, "_t")])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_i"), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], names=[id_col, "expected_grade", "p_tail"]
-            )
+        for whole in batches:
+            for b in pieces(whole, "_t", 2_000_000):
+                tails = m.tails([features(x, m.bits) for x in texts(b, "_t")])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("_i"), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], names=[id_col, "expected_grade", "p_tail"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).mapInArrow(
@@ -170,9 +171,10 @@ def select(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            tails = m.tails([features(x, m.bits) for x in texts(b, "text")])
-            yield b.filter(pa.array(tails[:, -1] >= least))
+        for whole in batches:
+            for b in pieces(whole, "text", 2_000_000):
+                tails = m.tails([features(x, m.bits) for x in texts(b, "text")])
+                yield b.filter(pa.array(tails[:, -1] >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, texts, tidy
+from .common import Scratch, pieces, sliced, texts, tidy
 
 LENGTH = 20
 GRAM = 8
@@ -94,7 +94,7 @@ def survey(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in pieces(big, "text"):
+            for b in pieces(big, "text", 1_000_000):
                 words = Words(texts(b, "text"))
                 text, start, n, anchor = words.places(length, gram)
                 around = words.hashes(start, start + n - 1 + length)
@@ -115,7 +115,7 @@ def extended(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in pieces(big, "text"):
+            for b in pieces(big, "text", 1_000_000):
                 words, out = Words(texts(b, "text")), []
                 for i in range(b.num_rows):
                     starts, counts, anchors, wanted = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("starts", "counts", "anchors", "contested"))
@@ -196,7 +196,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "doc_id", "text", "n_words", "sha", "copy"]
-        for b in batches:
+        for b in sliced(batches, "text", 2_000_000):
             spans, lost = [], b.column("copy").fill_null(False).to_pylist()
             for i, n in enumerate(b.column("n_words").to_pylist()):
                 gone = [(0, n)] if lost[i] else []
@@ -224,7 +224,7 @@ def cut(found: DataFrame) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "doc_id", "text", "n_words"]
-        for b in batches:
+        for b in sliced(batches, "text", 2_000_000):
             out = []
             for text, sha, gone in zip(texts(b, "text"), b.column("sha").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 left = None
