@@ -53,3 +53,25 @@ def test_parents(spark):
     assert got == {2: 0, 3: 1, 4: 1, 5: None}
     got = {r.chunk_index: r.parent_index for r in K.assign_parents(p, s, "centre").collect()}
     assert got == {2: 0, 3: 1, 4: 0, 5: 5}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .;\n é。", max_size=200), st.sampled_from(["start", "centre"]))
+def test_parent_is_nearest(text, fallback):
+    own = spans(K.paragraph_spans, text, True, 5, 20)
+    place = (lambda p: p[0]) if fallback == "start" else sum
+    for a, z in spans(K.paragraph_spans, text, True, 1, 9):
+        held = [n for n, (x, y) in enumerate(own) if x <= a and z <= y]
+        near = sorted(range(len(own)), key=lambda n: (abs(place(own[n]) - place((a, z))), n))
+        assert K.parent_of(own, a, z, fallback) == next(iter(held or near), None)
+
+
+def test_parents_of_texts_equal_those_of_tables(spark):
+    rows = [(1, "en", "A short line that is a paragraph.\n" + "A sentence of some length that goes on and on here. " * 30), (2, "en", None), (3, "zh", ""), (None, "zh", "这是一个足够长的句子，长度超过了二十个字符。" * 40)]
+    docs = spark.createDataFrame([(i, lang, t, "s") for i, lang, t in rows], "doc_id long, lang string, text string, source string")
+    for fallback in ("start", "centre"):
+        one = K.sentences_in_paragraphs(docs, fallback, keep=("source",))
+        two = K.assign_parents(K.split_paragraphs(docs), K.split_sentences(docs), fallback)
+        key = lambda r: (r.doc_id or 0, r.chunk_index, r.parent_index)
+        assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+        assert {r.source for r in one.collect()} == {"s"} and one.count() > 60

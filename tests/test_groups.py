@@ -101,3 +101,25 @@ def test_align(spark):
 def test_overlaps(spark):
     df = spark.createDataFrame([(1, 0, 10), (1, 5, 15), (1, 10, 12)], "doc_id int, start int, end int")
     assert sorted((r.start, r.end) for r in report.drop_overlaps(df).collect()) == [(0, 10), (10, 12)]
+
+
+def test_semantic_blocks_equal_plain_cosines(spark):
+    import numpy as np
+
+    v = np.round(np.random.default_rng(1).normal(size=(60, 4)), 1)
+    rows = [("p", i, v[i // 2].tolist()) for i in range(120)]  # each vector twice: ties
+    rows += [("p", 200, None), ("p", 201, []), ("p", 202, [1.0]), ("p", 203, [1.0, None, 0.0, 0.0]), ("p", 204, [float("nan"), 0.0, 0.0, 0.0]), ("p", 205, [0.0] * 4), (None, 206, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "on string, k long, v array<double>")
+    left, right = (df.select("on", df.k.alias(f"{s}_chunk"), df.v.alias(f"{s}_vec")) for s in ("left", "right"))
+    for block in (7, 1000):
+        found = semantic.semantic_candidates(left, right, ["on"], 3, 0.5, 9, itself=False, block=block).collect()
+        got = sorted((r.left_chunk, -r.semantic_score, -r.right_chunk) for r in found)
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        want = []
+        for i in range(120):
+            near = sorted((-round(float(unit[i // 2] @ unit[j // 2]), 9), -j) for j in range(120) if j != i)
+            want += [(i, s, j) for s, j in near[:3] if s <= -0.5]
+        # 202 has one number and no partner of its length; the zero vector reaches no threshold above 0
+        assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in sorted(want)]
+        assert np.allclose([b for _, b, _ in got], [b for _, b, _ in sorted(want)])
+    assert semantic.semantic_candidates(left.limit(0), right, ["on"]).count() == 0

@@ -6,6 +6,7 @@ The rules are sequential within a line, so both splitters are one Arrow pass ove
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,36 +86,71 @@ def sentence_spans(text: str, english: bool, least: int = 20, protect_numbers: b
                 yield x, y
 
 
-def _split(docs: DataFrame, id_col: str, lang: Column, kind: str, spans) -> DataFrame:
+def parent_of(paragraphs: list[tuple[int, int]], start: int, end: int, fallback: str = "start") -> int | None:
+    """Which of the paragraphs, in order and without overlap, holds the sentence; else the nearest by start or centre."""
+    at = bisect_right(paragraphs, start, key=lambda p: p[0]) - 1
+    if at >= 0 and end <= paragraphs[at][1]:
+        return at
+    place = (lambda p: p[0]) if fallback == "start" else sum
+    wanted = place((start, end))
+    after = bisect_left(paragraphs, wanted, key=place)
+    near = [i for i in (after - 1, after) if 0 <= i < len(paragraphs)]
+    return min(near, key=lambda i: abs(place(paragraphs[i]) - wanted), default=None)
+
+
+def parented_spans(text: str, english: bool, fallback: str, sentences, paragraphs) -> Iterator[tuple[int, ...]]:
+    """Sentences with their paragraph's number, start and length."""
+    own = list(paragraphs(text, english))
+    for n, (a, z) in enumerate(sentences(text, english)):
+        p = parent_of(own, a, z, fallback)
+        if p is None:
+            yield a, z, None if fallback == "start" else n, None, None
+        else:
+            yield a, z, p, own[p][0], own[p][1] - own[p][0]
+
+
+def _split(docs: DataFrame, id_col: str, lang: Column, kind: str, spans, keep: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """keep: columns of docs that go along; more: names of the numbers that spans gives after start and end."""
+    ints = ["chunk_index", "start_pos", "end_pos", *more]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             who, rows = [], []
             for i, (text, english) in enumerate(zip(b.column("text").to_pylist(), b.column("english").to_pylist(), strict=True)):
-                for n, (a, z) in enumerate(spans(text or "", english)):
+                for n, (a, z, *rest) in enumerate(spans(text or "", english)):
                     who.append(i)
-                    rows.append((n, a, z, text[a:z]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+                    rows.append((n, a, z, *rest, text[a:z]))
+            columns = list(zip(*rows, strict=True)) or [[]] * (len(ints) + 1)
+            kinds = [pa.int32()] * len(ints) + [pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(id_col).take(pa.array(who, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=[id_col, "chunk_index", "start_pos", "end_pos", "text"],
+                [*(b.column(c).take(pa.array(who, pa.int64())) for c in (id_col, *keep)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=[id_col, *keep, *ints, "text"],
             )
 
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, "text", (language_class(lang) == "en").alias("english"))
-    rows = rows.mapInArrow(run, f"`{id_col}` {id_kind}, chunk_index int, start_pos int, end_pos int, text string")
+    carried = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    rows = docs.select(id_col, *keep, "text", (language_class(lang) == "en").alias("english"))
+    rows = rows.mapInArrow(run, f"{carried}, {', '.join(f'{c} int' for c in ints)}, text string")
     return rows.withColumns({"chunk_type": F.lit(kind), "text_hash": F.sha2("text", 256)})
 
 
-def split_paragraphs(docs: DataFrame, min_length: int = 20, max_chars: int = 600, id_col: str = "doc_id", strict_max: bool = False) -> DataFrame:
-    """(id, chunk_index, start_pos, end_pos, text, chunk_type, text_hash); docs have text and lang."""
-    return _split(docs, id_col, F.col("lang"), "paragraph", lambda t, e: paragraph_spans(t, e, min_length, max_chars, strict_max))
+def split_paragraphs(docs: DataFrame, min_length: int = 20, max_chars: int = 600, id_col: str = "doc_id", strict_max: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, chunk_index, start_pos, end_pos, text, chunk_type, text_hash); docs have text and lang."""
+    return _split(docs, id_col, F.col("lang"), "paragraph", lambda t, e: paragraph_spans(t, e, min_length, max_chars, strict_max), keep)
 
 
 def split_sentences(docs: DataFrame, min_length: int = 20, id_col: str = "doc_id", protect_numbers: bool = False, merge_short: bool = False) -> DataFrame:
     return _split(docs, id_col, F.col("lang"), "sentence", lambda t, e: sentence_spans(t, e, min_length, protect_numbers, merge_short))
 
 
+def sentences_in_paragraphs(docs: DataFrame, fallback: str = "start", min_length: int = 20, max_chars: int = 600, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The sentences with parent_index, parent_start and parent_length, by the rules of `assign_parents`.
+
+    Both kinds of chunks come from one text, so the paragraph is found in the pass that cuts it, without a join."""
+    sentences, paragraphs = lambda t, e: sentence_spans(t, e, min_length), lambda t, e: paragraph_spans(t, e, min_length, max_chars)
+    spans = lambda t, e: parented_spans(t, e, fallback, sentences, paragraphs)
+    return _split(docs, id_col, F.col("lang"), "sentence", spans, keep, ("parent_index", "parent_start", "parent_length"))
+
+
 def with_sentence_index(paragraphs: DataFrame, sentences: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Both kinds in one table; sentence numbers follow the paragraphs'."""
     n = paragraphs.groupBy(id_col).agg(F.count("*").cast("int").alias("_n"))
@@ -123,22 +159,26 @@ def with_sentence_index(paragraphs: DataFrame, sentences: DataFrame, id_col: str
 
 
 def assign_parents(paragraphs: DataFrame, sentences: DataFrame, fallback: str = "start", id_col: str = "doc_id") -> DataFrame:
-    """Adds parent_index: the first paragraph that holds the sentence; else the nearest one, by start or by centre;
-    ties go to the earlier. Documents without paragraphs: null, or with fallback centre the sentence's own index.
+    """Adds parent_index: the paragraph that holds the sentence; else the nearest one, by start or by centre; ties go to
+    the earlier. Documents without paragraphs: null, or with fallback centre the sentence's own index.
 
-    One aggregation per sentence over a join on the document; a document has few paragraphs.
+    For chunks that are tables already; the paragraphs of a document do not overlap. Both kinds stand in one order per
+    document, in which a sentence looks at the last paragraph before it and the first after it: one shuffle, linear.
     """
-    p = paragraphs.select(id_col, F.col("chunk_index").alias("p"), F.col("start_pos").alias("ps"), F.col("end_pos").alias("pe"))
-    key = [id_col, "chunk_index"]
-    far = F.abs(F.col("start_pos") - F.col("ps")) if fallback == "start" else F.abs(F.col("start_pos") + F.col("end_pos") - F.col("ps") - F.col("pe"))
-    inside = (F.col("start_pos") >= F.col("ps")) & (F.col("end_pos") <= F.col("pe"))
-    best = (
-        sentences.select(*key, "start_pos", "end_pos")
-        .join(p, id_col)
-        .groupBy(*key)
-        .agg(F.min_by("p", F.struct(F.when(inside, 0).otherwise(1), F.when(inside, 0).otherwise(far), "ps")).alias("parent_index"))
-    )
-    out = sentences.join(best, key, "left")
+    place = lambda a, z: a if fallback == "start" else a + z
+    at = lambda kind: (F.col("start_pos").alias("_start"), place(F.col("start_pos"), F.col("end_pos")).alias("_place"), F.lit(kind).alias("_kind"))
+    own = F.struct(F.col("start_pos").alias("a"), F.col("end_pos").alias("z"), F.col("chunk_index").alias("n")).alias("_p")
+    rows = paragraphs.select(F.col(id_col).alias("_id"), *at(0), own)
+    rows = rows.unionByName(sentences.select(F.col(id_col).alias("_id"), *at(1), F.struct(*sentences.columns).alias("_s")), allowMissingColumns=True)
+    document = Window.partitionBy("_id")
+    last = lambda *order: F.last("_p", ignorenulls=True).over(document.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # after: read backwards, where a paragraph at the sentence's own place was met as `_low`
+    rows = rows.withColumns({"_held": last("_start", "_kind"), "_low": last("_place", "_kind"), "_high": last(F.desc("_place"), F.desc("_kind"))})
+    far = lambda p: F.abs(place(p["a"], p["z"]) - F.col("_place"))
+    held, low, high = F.col("_held"), F.col("_low"), F.col("_high")
+    nearest = F.when(high.isNull() | (far(low) <= far(high)), low["n"]).otherwise(high["n"])
+    found = F.when((held["a"] <= F.col("_s")["start_pos"]) & (held["z"] >= F.col("_s")["end_pos"]), held["n"]).otherwise(nearest)
+    out = rows.where("_kind = 1").select("_s.*", found.alias("parent_index"))
     return out if fallback == "start" else out.withColumn("parent_index", F.coalesce("parent_index", "chunk_index"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textreuse.functions.columns import cosine, dot, l2_normalize, norm
+from textreuse.functions.columns import cosine, l2_normalize, norm
 
 
 def embedding_stats(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -20,19 +20,55 @@ def embedding_stats(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumns({"dimension": F.size(vector), "norm": norm(F.col(vector))})
 
 
-def semantic_candidates(left: DataFrame, right: DataFrame, on: list[str], top_k: int = 50, threshold: float = 0.65, digits: int | None = None) -> DataFrame:
+def blocks(vectors: DataFrame, on: list[str], key: str, vector: str, rows: int) -> DataFrame:
+    """(on, _size, _block, x): vectors of one length in lists of about `rows` (k, v), each divided by its length once."""
+    keys = [*on, "_size"]
+    unit = l2_normalize(F.col(vector).cast("array<double>"))
+    vectors = vectors.select(*on, F.col(key).alias("_k"), unit.alias("_v")).withColumn("_size", F.size("_v")).where("_v is not null and _size > 0")
+    n = vectors.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("_blocks"))
+    placed = vectors.join(n, keys).withColumn("_block", F.pmod(F.xxhash64("_k"), F.col("_blocks")))
+    return placed.groupBy(*keys, "_block").agg(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_v").alias("v"))).alias("x"))
+
+
+def unpacked(x: pa.ListScalar, size: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors of a block."""
+    return x.values.field("k"), x.values.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def semantic_candidates(left: DataFrame, right: DataFrame, on: list[str], top_k: int = 50, threshold: float = 0.65, digits: int | None = None, itself: bool = True, block: int = 1024) -> DataFrame:
     """(on, left_chunk, right_chunk, semantic_score): the top_k right chunks of each left chunk, then the threshold.
 
-    left: on, left_chunk, left_vec; right: on, right_chunk, right_vec. Vectors are normalised once, before the join, and
-    ties go to the greater right chunk. The window keeps top_k rows before it shuffles.
+    left: on, left_chunk, left_vec; right: on, right_chunk, right_vec. Ties go to the greater right chunk; without `itself`
+    equal chunks don't meet. Vectors that are null, of another length, or hold null or non-finite numbers have no
+    candidates. A block of left vectors meets a block of right ones by one matrix product and keeps top_k per left chunk;
+    a window merges them.
     """
-    score = dot(F.col("left_unit"), F.col("right_unit"))
-    score = score if digits is None else F.round(score, digits)
-    units = [d.withColumn(f"{s}_unit", l2_normalize(F.col(f"{s}_vec"))).drop(f"{s}_vec") for d, s in ((left, "left"), (right, "right"))]
-    scored = units[0].join(units[1], on).select(*on, "left_chunk", "right_chunk", score.alias("semantic_score"))
+    sides = [blocks(d, on, f"{s}_chunk", f"{s}_vec", block).select(*on, "_size", F.col("x").alias(s)) for d, s in ((left, "left"), (right, "right"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                size = b.column("_size")[i].as_py()
+                (lk, lv), (rk, rv) = (unpacked(b.column(s)[i], size) for s in ("left", "right"))
+                names = rk.to_pylist()
+                order = sorted(range(len(names)), key=lambda j: (names[j] is not None, names[j]), reverse=True)
+                s = lv @ rv[order].T
+                s = s if digits is None else np.round(s, digits)
+                fine = np.isfinite(s) & (s >= threshold)
+                if not itself:
+                    fine &= np.array(lk.to_pylist(), object)[:, None] != np.array(names, object)[order]
+                s = np.where(fine, s, -np.inf)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :top_k]
+                score = np.take_along_axis(s, best, 1)
+                at, _ = np.nonzero(np.isfinite(score))
+                to = np.array(order, np.int64)[best[np.isfinite(score)]]
+                shared = [b.column(c).take(pa.array(np.full(len(at), i))) for c in on]
+                yield pa.RecordBatch.from_arrays([*shared, lk.take(pa.array(at)), rk.take(pa.array(to)), pa.array(score[np.isfinite(score)])], names=[*on, "left_chunk", "right_chunk", "semantic_score"])
+
+    ddl = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for d, c in [*((left, c) for c in on), (left, "left_chunk"), (right, "right_chunk")])
+    found = sides[0].join(sides[1], [*on, "_size"]).mapInArrow(run, f"{ddl}, semantic_score double")
     order = Window.partitionBy(*on, "left_chunk").orderBy(F.desc("semantic_score"), F.desc("right_chunk"))
-    ranked = scored.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_k).drop("_rank")
-    return ranked.where(F.col("semantic_score") >= threshold)
+    return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_k).drop("_rank")
 
 
 def near_pairs(vectors: DataFrame, within: str, key: str, threshold: float, block: int = 512) -> DataFrame:
@@ -40,32 +76,23 @@ def near_pairs(vectors: DataFrame, within: str, key: str, threshold: float, bloc
 
     vectors: within, key, embedding. Vectors are packed into blocks, and a block meets another by one matrix product.
     """
-    n = vectors.groupBy(within).agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    rows = vectors.join(n, within).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")))
-    packed = rows.groupBy(within, "_block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("embedding").alias("v"))).alias("x"))
-    left, right = (packed.select(within, F.col("_block").alias(f"{s}_block"), F.col("x").alias(s)) for s in ("left", "right"))
-    both = left.join(right, within).where("left_block <= right_block").select(within, "left", "right")
-
-    def unit(x: list) -> tuple[np.ndarray, np.ndarray]:
-        v = np.array([r["v"] for r in x], float)
-        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return np.array([r["k"] for r in x], object), v / np.where(length == 0, 1, length)
+    packed = blocks(vectors, [within], key, "embedding", block)
+    left, right = (packed.select(within, "_size", F.col("_block").alias(f"{s}_block"), F.col("x").alias(s)) for s in ("left", "right"))
+    both = left.join(right, [within, "_size"]).where("left_block <= right_block").select(within, "_size", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                (lk, lv), (rk, rv) = (unit(b.column(s)[i].as_py()) for s in ("left", "right"))
+                (lk, lv), (rk, rv) = (unpacked(b.column(s)[i], b.column("_size")[i].as_py()) for s in ("left", "right"))
                 s = np.round(lv @ rv.T, 9)
                 at, to = np.nonzero(s >= threshold)
-                a, z = lk[at], rk[to]
-                turn = a > z
-                a, z = np.where(turn, z, a), np.where(turn, a, z)
-                rows = pa.table({"left": pa.array(a.tolist(), pa.string()), "right": pa.array(z.tolist(), pa.string()), "semantic_score": pa.array(s[at, to])})
-                rows = rows.add_column(0, within, pa.array([b.column(within)[i].as_py()] * len(at), pa.string()))
-                yield from rows.combine_chunks().to_batches()
-
-    found = both.mapInArrow(run, f"`{within}` string, left string, right string, semantic_score double")
-    return found.where("left < right").dropDuplicates([within, "left", "right"])  # a block meets itself both ways round
+                shared = b.column(within).take(pa.array(np.full(len(at), i)))
+                yield pa.RecordBatch.from_arrays([shared, lk.take(pa.array(at)), rk.take(pa.array(to)), pa.array(s[at, to])], names=[within, "a", "b", "semantic_score"])
+
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (within, key)}
+    found = both.mapInArrow(run, f"`{within}` {kinds[within]}, a {kinds[key]}, b {kinds[key]}, semantic_score double").where("a <> b")
+    found = found.select(within, F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "semantic_score")
+    return found.dropDuplicates([within, "left", "right"])  # a block meets itself both ways round
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 50, where: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -210,8 +210,7 @@ def chunk_counts(spark, d):
 
 @query(f"with recursive {sql.PARAGRAPHS}, {sql.SENTENCES}, {sql.parents()} select doc_id, chunk_index, parent_index from sentences left join best using (doc_id, chunk_index)")
 def parent_assignment(spark, d):
-    docs = docs_of(spark, d)
-    return chunks.assign_parents(chunks.split_paragraphs(docs), chunks.split_sentences(docs)).select("doc_id", "chunk_index", "parent_index")
+    return chunks.sentences_in_paragraphs(docs_of(spark, d)).select("doc_id", "chunk_index", "parent_index")
 
 
 @query(
@@ -219,8 +218,7 @@ def parent_assignment(spark, d):
     select doc_id, chunk_index, coalesce(parent_index, chunk_index) as parent_index from sentences left join best using (doc_id, chunk_index)"""
 )
 def nearest_parent(spark, d):
-    docs = docs_of(spark, d)
-    return chunks.assign_parents(chunks.split_paragraphs(docs), chunks.split_sentences(docs), "centre").select("doc_id", "chunk_index", "parent_index")
+    return chunks.sentences_in_paragraphs(docs_of(spark, d), "centre").select("doc_id", "chunk_index", "parent_index")
 
 
 @query(
@@ -245,8 +243,7 @@ def granularity(spark, d):
 
 def texts_of(spark, d) -> DataFrame:
     """Distinct paragraph texts with the projects that have them."""
-    p = chunks.split_paragraphs(docs_of(spark, d).select("doc_id", "text", "lang"))
-    return p.join(docs_of(spark, d).select("doc_id", "source"), "doc_id")
+    return chunks.split_paragraphs(docs_of(spark, d), keep=("source",))
 
 
 DISTINCT = "distinct_texts as (select distinct text_hash, text from paragraphs)"
@@ -336,15 +333,16 @@ def conversation_reuse(spark, d):
 # --- vectors
 
 
-def sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Vectors of even id against those of odd id, within a label."""
+def nearest_in_label(spark, d, top_k: int, threshold: float) -> DataFrame:
+    """Every vector against all others of its label."""
     e = table(spark, d, "embeddings")
-    return tuple(e.where(F.col("vec_id") % 2 == m).select("label", F.col("vec_id").alias(f"{s}_chunk"), F.col("embedding").alias(f"{s}_vec")) for m, s in ((0, "left"), (1, "right")))
+    sides = (e.select("label", F.col("vec_id").alias(f"{s}_chunk"), F.col("embedding").alias(f"{s}_vec")) for s in ("left", "right"))
+    return semantic.semantic_candidates(*sides, ["label"], top_k, threshold, 6, itself=False)
 
 
 @query(f"with {sql.SEMANTIC} select label, left_chunk, right_chunk, semantic_score from sem1 where n <= 5 and semantic_score >= 0.2")
 def semantic_topk(spark, d):
-    return semantic.semantic_candidates(*sides(spark, d), ["label"], 5, 0.2, 6)
+    return nearest_in_label(spark, d, 5, 0.2)
 
 
 @query(
@@ -372,13 +370,13 @@ def embedding_norms(spark, d):
       coalesce(semantic_score, minhash_score) as rough_score from a full join b using (label, left_chunk, right_chunk)"""
 )
 def candidate_union(spark, d):
-    a = semantic.semantic_candidates(*sides(spark, d), ["label"], 5, 0.2, 6)
-    b = semantic.semantic_candidates(*sides(spark, d), ["label"], 2, -1.0, 6).withColumnRenamed("semantic_score", "minhash_score")
+    a = nearest_in_label(spark, d, 5, 0.2)
+    b = nearest_in_label(spark, d, 2, -1.0).withColumnRenamed("semantic_score", "minhash_score")
     return candidates.merge_candidates(a, b, ["label", "left_chunk", "right_chunk"])
 
 
 def strategy_groups(spark, d) -> DataFrame:
-    c = semantic.semantic_candidates(*sides(spark, d), ["label"], 20, 0.1, 6)
+    c = nearest_in_label(spark, d, 20, 0.1)
     l, r = F.col("left_chunk"), F.col("right_chunk")
     return c.select(F.col("label").alias("pair_id"), l.alias("left_parent"), r.alias("right_parent"), F.col("semantic_score").alias("final_score"), l.alias("left_start"), r.alias("right_start"))
 
@@ -426,20 +424,24 @@ def score_levels(spark, d):
 # --- reuse of sentences within a project
 
 
+def placed_sentences(spark, d) -> DataFrame:
+    """Sentences with their paragraphs, and lengths in place of texts."""
+    s = chunks.sentences_in_paragraphs(docs_of(spark, d), keep=("source",)).where("parent_index is not null")
+    return s.withColumn("size", F.length("text")).drop("text")
+
+
 def reused(spark, d) -> DataFrame:
-    docs = docs_of(spark, d)
-    p = chunks.split_paragraphs(docs)
-    s = chunks.assign_parents(p, chunks.split_sentences(docs)).join(docs.select("doc_id", "source"), "doc_id")
-    p = p.select("doc_id", F.col("chunk_index").alias("parent_index"), F.col("start_pos").alias("parent_start"), (F.col("end_pos") - F.col("start_pos")).alias("parent_length"))
-    s = s.join(p, ["doc_id", "parent_index"])
+    """Equal sentences of documents of a project. Only hashes and places are joined: equal sentences have one length."""
+    s = placed_sentences(spark, d)
     side = lambda x: s.select(
         "source", "text_hash", F.col("doc_id").alias(f"{x}_document_id"), F.col("parent_index").alias(f"{x}_parent"), F.col("chunk_index").alias(f"{x}_chunk"),
-        F.col("parent_start").alias(f"{x}_start"), F.col("parent_length").alias(f"{x}_length"), F.col("text").alias(f"{x}_text"),
+        F.col("parent_start").alias(f"{x}_start"), F.col("parent_length").alias(f"{x}_length"), F.col("size").alias(f"{x}_size"),
     )
     m = side("left").join(side("right"), ["source", "text_hash"]).where("left_document_id < right_document_id")
     m = m.withColumn("pair_id", F.concat_ws("-", "left_document_id", "right_document_id"))
-    score = F.lit(1.0)
-    return m.withColumns({"final_score": score, "semantic_score": F.lit(None).cast("double"), "cross_score": score, "spans": F.array(C.full_span(F.col("left_text"), F.col("right_text")))})
+    zero, score = F.lit(0), F.lit(1.0)
+    span = F.struct(zero.alias("left_start"), F.col("left_size").alias("left_end"), zero.alias("right_start"), F.col("right_size").alias("right_end"))
+    return m.withColumns({"final_score": score, "semantic_score": F.lit(None).cast("double"), "cross_score": score, "spans": F.array(span)})
 
 
 def reuse_groups(spark, d) -> DataFrame:
@@ -571,8 +573,11 @@ def align_spans(spark, d):
     select doc_id, b.s as "start", b.e as "end" from pick"""
 )
 def drop_overlaps(spark, d):
-    """Non-overlapping highlights of each document, first come."""
-    m = reused(spark, d).select(F.col("left_document_id").alias("doc_id"), F.col("left_start").alias("start"), (F.col("left_start") + F.length("left_text")).alias("end")).distinct()
+    """Non-overlapping highlights of each document, first come: sentences that a later document of the project has."""
+    s = placed_sentences(spark, d)
+    last = s.groupBy("source", "text_hash").agg(F.max("doc_id").alias("last"))
+    m = s.join(last, ["source", "text_hash"]).where("doc_id < last")
+    m = m.select("doc_id", F.col("parent_start").alias("start"), (F.col("parent_start") + F.col("size")).alias("end")).distinct()
     return report.drop_overlaps(m)
 
 

@@ -97,7 +97,7 @@ unit as (select vec_id, label, list_transform(embedding, lambda x: x::double) as
 normed as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as n from unit),
 sem0 as (select l.label, l.vec_id as left_chunk, r.vec_id as right_chunk,
   round(list_dot_product(list_transform(l.v, lambda x: x / l.n), list_transform(r.v, lambda x: x / r.n)), 6) as semantic_score
-  from normed l join normed r on l.label = r.label and l.vec_id % 2 = 0 and r.vec_id % 2 = 1),
+  from normed l join normed r on l.label = r.label and l.vec_id <> r.vec_id),
 sem1 as (select *, row_number() over (partition by label, left_chunk order by semantic_score desc, right_chunk desc) as n from sem0)
 """
 
