@@ -75,7 +75,8 @@ def norm(vector: Column) -> Column:
 def l2_normalize(vector: Column) -> Column:
     n = norm(vector)
     by = F.when(n == 0, 1.0).otherwise(n)
-    return F.transform(vector, lambda x: x.cast("double") / by)
+    # inside the function of a transform the norm would be computed again for each element
+    return F.zip_with(vector, F.array_repeat(by, F.size(vector)), lambda x, y: x.cast("double") / y)
 
 
 def dot(left: Column, right: Column) -> Column:
