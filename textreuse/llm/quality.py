@@ -55,11 +55,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, bits: int, l1: float = 2e-4, least: int = 3, turns: int = 200) -> Model:
-    """Proximal gradient with Nesterov steps on the mean negative log-likelihood; intercepts are not penalised.
+def ordered(theta: np.ndarray) -> np.ndarray:
+    """The nearest ascending values."""
+    k = range(len(theta))
+    return np.array([max(min(theta[i : j + 1].mean() for j in k if j >= m) for i in k if i <= m) for m in k])
 
-    Buckets in fewer than `least` sampled rows get no weight. Without rows or with one grade only, the thresholds
-    alone carry the (smoothed) shares of the grades.
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, bits: int, l1: float = 2e-4, least: int = 3, turns: int = 200, tolerance: float = 1e-9) -> Model:
+    """Proximal gradient with Nesterov steps on the mean negative log-likelihood plus l1 times the sum of |weights|;
+    intercepts are not penalised.
+
+    The length of a step is found by backtracking, and a step counts only if the penalised loss does not rise; one that
+    would restarts from the best point without momentum. Ends after `turns` steps, or where a step without momentum
+    lowers the loss by less than `tolerance`. Buckets in fewer than `least` sampled rows get no weight. Without rows or
+    with one grade only, the thresholds alone carry the (smoothed) shares of the grades.
     """
     n = len(rows)
     shares = np.array([(grades > j).sum() + 0.5 for j in range(levels - 1)]) / (n + 1)
@@ -72,44 +81,61 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, bits: int, l1:
     keep = often[at] if len(flat) else np.zeros(0, bool)
     doc, at = doc[keep], (np.cumsum(often) - 1)[at[keep]] if len(flat) else at
     buckets = buckets[often]
-    w = np.zeros(len(buckets))
     if not len(buckets) or len(np.unique(grades)) < 2:
-        return Model(bits, buckets[:0], w[:0], np.maximum.accumulate(theta))
+        return Model(bits, buckets[:0], np.zeros(0), np.maximum.accumulate(theta))
     # scaled columns: rare tokens move as fast as frequent ones
     scale = 1 / np.sqrt(np.bincount(at, minlength=len(buckets)) / n)
     scale = np.minimum(scale, np.sqrt(n / least))
-    lip = 0.25 * max(1.0, float(sizes.mean()) / 4)
-    ahead, old, t = (w.copy(), theta.copy()), (w.copy(), theta.copy()), 1.0
-    low = np.concatenate(([-np.inf], theta))
-
-    def gradient(w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        z = np.bincount(doc, (w * scale)[at], minlength=n)
-        edges = np.concatenate(([-60.0], theta, [60.0]))
-        s = 1 / (1 + np.exp(-np.clip(edges[None, :] - z[:, None], -60, 60)))
-        i = np.arange(n)
-        lo, hi = s[i, grades], s[i, grades + 1]
-        p = np.maximum(hi - lo, 1e-12)
+    m, each = len(buckets), np.arange(n)
+
+    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both ends of each row's grade on the sigmoid, and its probability (not above 0 where thresholds cross)."""
+        z = np.bincount(doc, (x[:m] * scale)[at], minlength=n)
+        edges = np.concatenate(([-np.inf], x[m:], [np.inf]))
+        s = 1 / (1 + np.exp(-np.clip(edges[None, :] - z[:, None], -700, 700)))
+        s[:, 0], s[:, -1] = 0, 1
+        lo, hi = s[each, grades], s[each, grades + 1]
+        return lo, hi, hi - lo
+
+    def smooth(x: np.ndarray) -> float:
+        p = parts(x)[2]
+        return float(-np.log(p).mean()) if (p > 0).all() else np.inf
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        lo, hi, p = parts(x)
         dlo, dhi = lo * (1 - lo), hi * (1 - hi)
         g = (dhi - dlo) / p / n  # d(-log p)/dz
-        gw = np.bincount(at, g[doc], minlength=len(w)) * scale
-        gt = np.array([((grades == j + 1) * dlo / p - (grades == j) * dhi / p).sum() / n for j in range(levels - 1)])
-        return gw, gt, float(-np.log(p).mean())
+        gt = [((grades == j + 1) * dlo / p - (grades == j) * dhi / p).sum() / n for j in range(levels - 1)]
+        return np.concatenate((np.bincount(at, g[doc], minlength=m) * scale, gt))
 
-    step, best = 1 / lip, np.inf
+    penalty = lambda x: float(l1 * (np.abs(x[:m]) * scale).sum())
+    best = np.concatenate((np.zeros(m), ordered(theta)))
+    ahead, t, step, value = best, 1.0, 4.0, smooth(best)
     for _ in range(turns):
-        gw, gt, loss = gradient(*ahead)
-        if loss > best * 1.5 + 0.1:
-            step, ahead, t = step / 2, old, 1.0
+        here = smooth(ahead)
+        if not np.isfinite(here):  # momentum has left the domain
+            ahead, t, here = best, 1.0, smooth(best)
+        g, free = gradient(ahead), ahead is best
+        while True:
+            x = ahead - step * g
+            x[:m] = np.sign(x[:m]) * np.maximum(np.abs(x[:m]) - step * l1 * scale, 0)
+            x[m:] = ordered(x[m:])
+            d = x - ahead
+            if smooth(x) <= here + g @ d + d @ d / (2 * step) + 1e-13 or step < 1e-12:
+                break
+            step /= 2
+        now = smooth(x) + penalty(x)
+        if now > value:
+            if free:
+                break
+            ahead, t = best, 1.0
             continue
-        best = min(best, loss)
-        w = ahead[0] - step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * scale, 0)
-        theta = np.maximum.accumulate(ahead[1] - step * gt + np.arange(levels - 1) * 1e-9)
-        ahead_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        k = (t - 1) / ahead_t
-        ahead = (w + k * (w - old[0]), np.maximum.accumulate(theta + k * (theta - old[1])))
-        old, t = (w, theta), ahead_t
-    w, theta = old
+        if free and value - now < tolerance:
+            best = x
+            break
+        next_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, best, value, t, step = x + (t - 1) / next_t * (x - best), x, now, next_t, step * 1.25
+    w, theta = best[:m], best[m:]
     used = w != 0
     return Model(bits, buckets[used], (w * scale)[used], theta)
 
