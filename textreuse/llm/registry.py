@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, htmltext, katz, packing, quality, simhash, substring, urlfilter, warc
+from . import ann, decontam, hardneg, htmltext, katz, packing, quality, simhash, substring, urlfilter, warc
 from .common import table
 
 
@@ -58,6 +58,13 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), hardneg.quantised(rows).alias("x"))
+    return hardneg.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,
@@ -70,6 +77,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_htmltext": op9_htmltext,
     "op10_urlfilter": op10_urlfilter,
+    "op11_hardneg": op11_hardneg,
 }
 ORACLE: dict[str, str] = {
     "op5_warc": """
@@ -104,5 +112,26 @@ with rest as (
 select page_id, host, path, rule,
   case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' else 'allow' end as verdict
 from ruled
+""",
+    "op11_hardneg": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    cast(coalesce(list_sum([z[1] * z[2] for z in list_zip(a.q, b.q)]), 0) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 100 = 0
+), positive as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, cast(row_number() over w as integer) as rank, n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positive p join scored n on p.anchor_id = n.anchor_id and not n.same
+where 80 * p.positive_score <= 100 * n.score and n.score <= p.positive_score
+window w as (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id)
+qualify row_number() over w <= 5
 """,
 }
