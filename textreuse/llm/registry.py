@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hardneg, htmltext, katz, packing, quality, simhash, substring, urlfilter, warc
+from . import ann, crosstok, decontam, hardneg, htmltext, katz, packing, pii, quality, simhash, substring, urlfilter, warc
 from .common import table
 
 
@@ -65,6 +65,16 @@ def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(rows, F.col("id") % 100 == 0)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op13_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    files = crosstok.Files(path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return crosstok.align(table(spark, sf_dir, "documents"), files)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,
@@ -78,6 +88,8 @@ QUERIES = {
     "op9_htmltext": op9_htmltext,
     "op10_urlfilter": op10_urlfilter,
     "op11_hardneg": op11_hardneg,
+    "op12_pii": op12_pii,
+    "op13_crosstok": op13_crosstok,
 }
 ORACLE: dict[str, str] = {
     "op5_warc": """
