@@ -118,3 +118,22 @@ def test_large_buckets_by_their_centres(spark):
             label[i] = label[j] = min(label[i], label[j])
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()}
     assert len(set(label)) > 1 and sum(got[i] != label[i] for i in range(160)) == 0
+
+
+def test_two_texts_that_no_centre_links(spark):
+    """Large buckets around a common passage: pairs of near copies among texts that link to nothing else are found."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(5000)]
+    passage, rows, pairs = " ".join(rng.choice(words, 120)), [], []
+    for i in range(120):
+        own = list(rng.choice(words, 150))
+        rows.append((i, f"{passage} {' '.join(own)}"))
+        if i % 6 == 0:  # a near copy at about 0.85, whatever the centres of the passage's buckets are
+            for k in rng.choice(150, 4, replace=False):
+                own[k] = "changed"
+            rows.append((1000 + i, f"{passage} {' '.join(own)}"))
+            pairs.append((i, 1000 + i))
+    texts = dict(rows)
+    assert all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in pairs) and jaccard(texts[1], texts[2]) < 0.5
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=2).collect()}
+    assert got == {i: i % 1000 for i in texts}
