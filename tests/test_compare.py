@@ -37,17 +37,61 @@ def test_modes(spark):
 def test_top_k_holds_per_pair_and_left_chunk(spark):
     config = MODES["pure_semantic"].override(semantic=0.0, final=0.0, top_k=1)
     placed = compare.placed_chunks(docs(spark))
-    texts = placed.select("source", "text_hash", "text").dropDuplicates(["source", "text_hash"])
-    got = {(r.pair_id, r.left_chunk): r.right_chunk for r in compare.chunk_matches(placed, compare.text_candidates(texts, config, grams), config).collect()}
+    found = compare.chunk_matches(placed, compare.text_candidates(placed, config, grams)).collect()
+    got = {(r.pair_id, r.left_chunk): r.right_chunk for r in found}
     rows = placed.collect()
     unit = {r.text: v / np.linalg.norm(v) for r in rows for v in grams([r.text]).astype(float)}
     best = defaultdict(list)
     for a in rows:
         for b in rows:
             if a.doc_id < b.doc_id:
-                s = 1.0 if a.text == b.text else round(float(unit[a.text] @ unit[b.text]), 9)
-                best[f"{a.doc_id}-{b.doc_id}", a.chunk_index].append((s, b.chunk_index))
-    assert got == {k: max(v)[1] for k, v in best.items()}
+                best[f"{a.doc_id}-{b.doc_id}", a.chunk_index].append((round(float(unit[a.text] @ unit[b.text]), 9), b.chunk_index))
+    assert len(found) == len(got) and got == {k: max(v)[1] for k, v in best.items()}
+
+
+def test_candidates_are_ranked_before_they_are_scored(spark):
+    """The nearest chunk has a low score, the next one a high score: only the nearest is a candidate, so nothing is left."""
+    a, near, far = ("This is the left chunk of the pair.", "Here is the nearest chunk by vector.", "There is one that the scorer likes.")
+    vectors = {a: [1.0, 0.0], near: [1.0, 0.0], far: [2.0, 1.0]}
+    df = spark.createDataFrame([(1, a, "en", "p"), (2, f"{near}\n{far}", "en", "p")], DOCS)
+    options = {"strategy": "all", "embedder": lambda texts: np.array([vectors[t] for t in texts]), "scorer": lambda x, y: [0.9 if far in (s, t) else 0.1 for s, t in zip(x, y, strict=True)]}
+    one = compare.compare_projects(df, MODES["pure_semantic"].override(semantic=0.7, final=0.5, top_k=1), **options).collect()
+    two = compare.compare_projects(df, MODES["pure_semantic"].override(semantic=0.7, final=0.5, top_k=2), **options).collect()
+    assert [r.group_count for r in one] == [0] and [r.group_count for r in two] == [1]
+
+
+def test_minhash_alone_has_no_semantic_score(spark):
+    """Both recalls: what the vectors leave out of the top-k comes from MinHash without a semantic score."""
+    config = MODES["aggressive"].override(semantic=0.5, final=0.0, top_k=1)
+    placed = compare.placed_chunks(docs(spark))
+    found = {(r.left_document_id, r.right_document_id, r.left_chunk, r.right_chunk): r for r in compare.chunk_matches(placed, compare.text_candidates(placed, config, grams)).collect()}
+    by_vector = [r for r in found.values() if r.semantic_score is not None]
+    alone = [r for r in found.values() if r.semantic_score is None]
+    places = placed.count()
+    assert alone and all(r.minhash_score >= 0.3 for r in alone) and any(r.minhash_score is not None for r in by_vector)
+    assert len(by_vector) == len({(r.left_document_id, r.right_document_id, r.left_chunk) for r in by_vector}) <= places * 4
+
+
+@pytest.mark.parametrize("cells, block", [(1, 1024), (9, 16), (40, 5)])
+def test_near_places_against_brute_force(spark, cells, block):
+    """All cells and block sizes give every place; with many cells most products are left out."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 12)) * 4
+    rows = [("p" if d % 3 else "q", d, c, f"k{rng.integers(0, 150)}") for d in range(24) for c in range(int(rng.integers(1, 14)))]
+    x = {f"k{i}": (centres[i % 9] + rng.normal(size=12) * 0.4).tolist() for i in range(150)} | {"k7": [0.0] * 12, "k8": [1.0, 2.0], "k9": [1.0] * 11 + [float("nan")]}
+    placed = spark.createDataFrame(rows, "source string, doc_id long, chunk_index int, text_hash string")
+    vectors = spark.createDataFrame(list(x.items()), "text_hash string, embedding array<double>")
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, v in x.items()}
+    want = set()
+    for s, a, _, left in rows:
+        for b in {r[1] for r in rows if r[0] == s and r[1] > a}:
+            other = sorted(((round(float(unit[left] @ unit[r[3]]), 9), r[2], r[3]) for r in rows if r[1] == b and len(unit[r[3]]) == len(unit[left]) and "k9" not in (left, r[3])), reverse=True)
+            want |= {(s, left, k, b, c, v) for v, c, k in other[:3] if v >= 0.9}
+    got = semantic.near_places(placed, vectors, 3, 0.9, cells=cells, block=block).collect()
+    first = {}
+    for s, d, _, k in rows:
+        first[s, k] = min(d, first.get((s, k), d))
+    assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == want and len(want) > 100
 
 
 def test_stages_and_scorer_can_be_passed_in(spark):
@@ -71,16 +115,6 @@ def test_sentences_group_to_paragraphs(spark):
     assert got[1, 2][0] == 1 and got[1, 3] == got[2, 3] == (0, 0.0)
 
 
-def test_near_pairs_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(70, 5))
-    df = spark.createDataFrame([("p" if i % 3 else "q", f"k{i:02}", v.tolist()) for i, v in enumerate(x)], "source string, text_hash string, embedding array<double>")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = {(f"k{i:02}", f"k{j:02}") for i in range(70) for j in range(i + 1, 70) if (i % 3 > 0) == (j % 3 > 0) and u[i] @ u[j] >= 0.5}
-    got = semantic.near_pairs(df, "source", "text_hash", 0.5, block=8).collect()
-    assert {(r.left, r.right) for r in got} == want and len(got) == len(want)
-
-
 def test_failed_embeddings_are_marked(spark):
     good = grams
 

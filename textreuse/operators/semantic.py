@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textreuse.functions.columns import cosine, l2_normalize, norm
+from textreuse.operators.lineage import checkpointed
 
 
 def embedding_stats(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -71,28 +72,112 @@ def semantic_candidates(left: DataFrame, right: DataFrame, on: list[str], top_k:
     return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_k).drop("_rank")
 
 
-def near_pairs(vectors: DataFrame, within: str, key: str, threshold: float, block: int = 512) -> DataFrame:
-    """(within, left, right, semantic_score), left < right: cosines of at least the threshold, rounded to 9 digits.
+def spread(sample: np.ndarray, cells: int, turns: int = 8) -> np.ndarray:
+    """Unit centres of at most `cells` cells of a sample of unit vectors: rounds of means from evenly chosen distinct rows."""
+    rows = np.unique(sample, axis=0)
+    centres = rows[np.linspace(0, len(rows) - 1, min(cells, len(rows))).astype(int)] if len(rows) else rows
+    for _ in range(turns):
+        at = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, sample)
+        n = np.linalg.norm(sums, axis=1)
+        centres = np.where(n[:, None] > 0, sums / np.where(n > 0, n, 1)[:, None], centres)
+    return centres
 
-    vectors: within, key, embedding. Vectors are packed into blocks, and a block meets another by one matrix product.
+
+def celled(vectors: DataFrame, key: str, vector: str = "embedding", cells: int | None = None, block: int = 1024, sample: int = 4096) -> tuple[DataFrame, np.ndarray]:
+    """(key, _v, _size, _cell, _angle): unit vectors, the coarse cell of each, and its angle to the cell's centre; the centres.
+
+    Centres are fitted on the `sample` vectors of least key hash; their number follows the table, a cell for about four
+    blocks of vectors and at most 256. Vectors of another length than the first one of the sample are cell -1, where
+    nothing is known of them; null vectors and those with null components are left out.
     """
-    packed = blocks(vectors, [within], key, "embedding", block)
-    left, right = (packed.select(within, "_size", F.col("_block").alias(f"{s}_block"), F.col("x").alias(s)) for s in ("left", "right"))
-    both = left.join(right, [within, "_size"]).where("left_block <= right_block").select(within, "_size", "left", "right")
+    unit = l2_normalize(F.col(vector).cast("array<double>"))
+    vectors = vectors.select(key, unit.alias("_v")).where("_v is not null and size(_v) > 0 and not exists(_v, x -> x is null or isnan(x))").withColumn("_size", F.size("_v"))
+    some = vectors.orderBy(F.xxhash64(key), key).limit(sample).select("_v").toArrow().column("_v").to_pylist()
+    size = len(some[0]) if some else 0
+    fit = np.array([x for x in some if len(x) == size], float).reshape(-1, size)
+    n = cells if cells is not None else min(256, max(1, vectors.count() // (4 * block)))
+    centres = spread(fit, n)
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column("_size").to_numpy()
+            cell, angle = np.full(len(sizes), -1, np.int32), np.full(len(sizes), np.pi)
+            fits = np.flatnonzero(sizes == size)
+            if len(fits) and len(shared.value):
+                x = b.column("_v").take(pa.array(fits)).flatten().to_numpy().reshape(-1, size)
+                s = x @ shared.value.T
+                cell[fits] = s.argmax(axis=1)
+                angle[fits] = np.where(np.linalg.norm(x, axis=1) > 0, np.arccos(np.clip(s.max(axis=1), -1, 1)), np.pi)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], names=[*b.schema.names, "_cell", "_angle"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.mapInArrow(run, f"`{key}` {kind}, _v array<double>, _size int, _cell int, _angle double"), centres
+
+
+def near_places(placed: DataFrame, vectors: DataFrame, top_k: int, threshold: float, within: str = "source", key: str = "text_hash", cells: int | None = None, block: int = 1024) -> DataFrame:
+    """(within, left, right, right_document_id, right_chunk, semantic_score): for each distinct text and each document after
+    the first one that has the text, the top_k of that document's chunks by cosine (rounded to 9 digits, equal ones: the
+    later chunk first) that reach the threshold. What is ranked does not depend on any later score.
+
+    placed: within, doc_id, chunk_index, key; vectors: key, embedding. Texts and chunks lie in blocks by coarse cells of
+    their vectors. Two blocks meet, by one matrix product, where some angle between them can reach the threshold; the
+    others are left out without loss. Each product keeps top_k per text and document, and a window merges the blocks: so
+    what is written grows with k and the chunks, not with the pairs above the threshold.
+    """
+    unit, centres = celled(vectors, key, cells=cells, block=block)
+    unit = checkpointed(unit)
+    chunks = placed.select(within, "doc_id", "chunk_index", key).join(unit, key)
+    texts = placed.groupBy(within, key).agg(F.min("doc_id").alias("first")).join(unit, key)
+
+    def packed(rows: DataFrame, names: list[str], side: str) -> DataFrame:
+        """Blocks of rows of one cell; a text or chunk is dealt by the hash of its key."""
+        on = [within, "_size", "_cell"]
+        n = rows.groupBy(*on).agg(F.ceil(F.count("*") / block).alias("_n"))
+        rows = rows.join(n, on).withColumn("_block", F.pmod(F.xxhash64(*names), F.col("_n")).cast("int"))
+        both = F.collect_list(F.struct(*names, F.col("_v").alias("v"))).alias(side)
+        return checkpointed(rows.groupBy(*on, "_block").agg(both, F.max("_angle").alias("_reach")))
+
+    left, right = packed(texts, [key, "first"], "left"), packed(chunks, ["doc_id", "chunk_index", key], "right")
+    meta = lambda d, s: d.select(within, "_size", *(F.col(c).alias(f"{s}{c}") for c in ("_cell", "_block", "_reach")))
+    turns = np.arccos(np.clip(centres @ centres.T, -1, 1)) if len(centres) else np.zeros((0, 0))
+    spark = placed.sparkSession
+    # at most 256 x 256 rows
+    apart = spark.createDataFrame([(int(i), int(j), float(turns[i, j])) for i in range(len(turns)) for j in range(len(turns))], "l_cell int, r_cell int, apart double")
+    meet = meta(left, "l").join(meta(right, "r"), [within, "_size"]).join(F.broadcast(apart), ["l_cell", "r_cell"], "left")
+    limit = float(np.arccos(np.clip(threshold - 1e-9, -1, 1))) + 1e-6
+    meet = meet.where(F.col("apart").isNull() | (F.col("apart") - F.col("l_reach") - F.col("r_reach") <= limit)).drop("apart", "l_reach", "r_reach")
+    for d, s in ((left, "l"), (right, "r")):
+        meet = meet.join(d.drop("_reach").withColumnsRenamed({"_cell": f"{s}_cell", "_block": f"{s}_block"}), [within, "_size", f"{s}_cell", f"{s}_block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                (lk, lv), (rk, rv) = (unpacked(b.column(s)[i], b.column("_size")[i].as_py()) for s in ("left", "right"))
-                s = np.round(lv @ rv.T, 9)
-                at, to = np.nonzero(s >= threshold)
+                size = b.column("_size")[i].as_py()
+                mine, other = b.column("left")[i].values, b.column("right")[i].values
+                docs, places = (np.array(other.field(c).to_pylist()) for c in ("doc_id", "chunk_index"))
+                order = np.lexsort((-places, docs))  # a document's chunks together, later ones first
+                x, y = (r.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for r in (mine, other))
+                s = np.round(x @ y[order].T, 9)
+                docs = docs[order]
+                good = (s >= threshold) & (np.array(mine.field("first").to_pylist())[:, None] < docs[None, :])
+                starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+                for a, z in zip(starts, [*starts[1:], len(docs)], strict=True):
+                    if z - a > top_k:
+                        rank = np.argsort(np.argsort(-s[:, a:z], axis=1, kind="stable"), axis=1, kind="stable")
+                        good[:, a:z] &= rank < top_k
+                at, to = np.nonzero(good)
                 shared = b.column(within).take(pa.array(np.full(len(at), i)))
-                yield pa.RecordBatch.from_arrays([shared, lk.take(pa.array(at)), rk.take(pa.array(to)), pa.array(s[at, to])], names=[within, "a", "b", "semantic_score"])
+                to_rows = pa.array(order[to])
+                columns = [shared, mine.field(key).take(pa.array(at)), *(other.field(c).take(to_rows) for c in (key, "doc_id", "chunk_index")), pa.array(s[at, to])]
+                yield pa.RecordBatch.from_arrays(columns, names=[within, "left", "right", "right_document_id", "right_chunk", "semantic_score"])
 
-    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (within, key)}
-    found = both.mapInArrow(run, f"`{within}` {kinds[within]}, a {kinds[key]}, b {kinds[key]}, semantic_score double").where("a <> b")
-    found = found.select(within, F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "semantic_score")
-    return found.dropDuplicates([within, "left", "right"])  # a block meets itself both ways round
+    kind = {c: placed.schema[c].dataType.simpleString() for c in (within, key, "doc_id", "chunk_index")}
+    found = meet.mapInArrow(run, f"`{within}` {kind[within]}, left {kind[key]}, right {kind[key]}, right_document_id {kind['doc_id']}, right_chunk {kind['chunk_index']}, semantic_score double")
+    order = Window.partitionBy(within, "left", "right_document_id").orderBy(F.desc("semantic_score"), F.desc("right_chunk"))
+    return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_k).drop("_rank")
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 50, where: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -171,4 +256,4 @@ def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray]
     return chunks.join(vectors, "text_hash")
 
 
-__all__ = ["cosine", "embed_chunks", "embedding_stats", "hashed_grams", "semantic_candidates", "vector_search"]
+__all__ = ["cosine", "embed_chunks", "embedding_stats", "hashed_grams", "near_places", "semantic_candidates", "vector_search"]

@@ -326,22 +326,31 @@ def plain_segments(spark, d):
 # --- whole comparisons
 
 
-@query(sql.compared("paragraph"))
+@query(sql.comparison(0.7, minhash=0.3, stable=True))
 def project_comparison(spark, d):
     """Stable near-duplicate paragraphs of every pair of documents of a project: count, best score, aligned share."""
     return compare_projects(docs_of(spark, d)).select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")
 
 
-@query(sql.compared("sentence"))
+@query(sql.comparison(0.85, minhash=0.5, granularity="sentence"))
 def sentence_comparison(spark, d):
     """The same by sentences, grouped to their paragraphs; strict mode, all matches."""
     found = compare_projects(docs_of(spark, d), MODES["strict"], "all", granularity="sentence")
     return found.select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")
 
 
-@query(sql.compared_by_vectors())
+@query(sql.comparison(0.8, semantic=0.97, k=20))
 def semantic_comparison(spark, d):
     """By vectors alone: equal or nearly equal counts of character grams."""
     config = MODES["pure_semantic"].override(semantic=0.97, final=0.8)
     found = compare_projects(docs_of(spark, d), config, "all", embedder=semantic.hashed_grams)
     return found.select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")
+
+
+@query(sql.comparison(0.5, minhash=0.3, semantic=0.9, k=2))
+def aggressive_comparison(spark, d):
+    """By vectors and MinHash together: a candidate of either is scored. The two best chunks of each left chunk and right
+    document come from the vectors, at 0.9, as those of hashed grams take nearly all for similar at the mode's own 0.65."""
+    config = MODES["aggressive"].override(semantic=0.9, final=0.5, top_k=2)
+    found = compare_projects(docs_of(spark, d), config, "all", embedder=semantic.hashed_grams)
+    return found.select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")

@@ -198,44 +198,56 @@ select l.doc_id || '-' || r.doc_id as pair_id, l.doc_id as left_document_id, r.d
 from documents l join documents r on l.source = r.source and l.doc_id < r.doc_id left join m on m.left_document_id = l.doc_id and m.right_document_id = r.doc_id"""
 
 
-_BOTH = """
-scored as (select source, a, b, score from scored0 where score >= {final} union all select source, b, a, score from scored0 where score >= {final} union all select distinct source, text_hash, text_hash, 1.0 from compared)"""
-
-_MATCHES = """select l.source, l.doc_id as left_document_id, r.doc_id as right_document_id, l.parent_index as left_parent, r.parent_index as right_parent, score, length(l.text) as left_size, length(r.text) as right_size,
-  l.parent_length as left_length, r.parent_length as right_length, l.parent_start as left_start, r.parent_start as right_start
-  from compared l join scored s on s.source = l.source and s.a = l.text_hash join compared r on r.source = l.source and r.text_hash = s.b where l.doc_id < r.doc_id"""
-
-_AS_PARAGRAPHS = "compared as (select doc_id, source, chunk_index, text_hash, text, chunk_index as parent_index, start_pos as parent_start, end_pos - start_pos as parent_length from paragraphs)"
-_AS_SENTENCES = f"""{SENTENCES}, {parents()}, compared as (
+_AS_PARAGRAPHS = "compared as materialized (select doc_id, source, chunk_index, text_hash, text, chunk_index as parent_index, start_pos as parent_start, end_pos - start_pos as parent_length from paragraphs)"
+_AS_SENTENCES = f"""{SENTENCES}, {parents()}, compared as materialized (
   select s.doc_id, s.source, s.chunk_index, s.text_hash, s.text, b.parent_index, p.start_pos as parent_start, p.end_pos - p.start_pos as parent_length
     from sentences s join best b using (doc_id, chunk_index) join paragraphs p on p.doc_id = s.doc_id and p.chunk_index = b.parent_index
   union all select doc_id, source, chunk_index, text_hash, text, chunk_index, start_pos, end_pos - start_pos from paragraphs where doc_id not in (select doc_id from best where parent_index is not null))"""
-_TEXTS = "texts as (select text_hash, any_value(text) as text from compared group by text_hash), here as (select distinct source, text_hash from compared)"
+_TEXTS = "texts as materialized (select text_hash, any_value(text) as text from compared group by text_hash), here as (select distinct source, text_hash from compared)"
+
+
+_MINHASH = """
+    placed_bands as (select source, text_hash, band, band_key from bands join here using (text_hash)),
+    pairs as materialized (select distinct l.source, l.text_hash as a, r.text_hash as b from placed_bands l join placed_bands r on l.source = r.source and l.band = r.band and l.band_key = r.band_key and l.text_hash < r.text_hash),
+    sigs as materialized (select text_hash, list(v order by i) as s from signatures group by text_hash),
+    near as materialized (select p.* from pairs p join sigs x on x.text_hash = a join sigs y on y.text_hash = b where list_sum(list_transform(generate_series(1, 120), lambda k: case when x.s[k] = y.s[k] then 1 else 0 end)) / 120 >= {estimate}),
+    alike as (select * from near union all select source, b, a from near union all select source, text_hash, text_hash from here),"""
+
+_SEMANTIC = """
+    v as (select text_hash, list_transform(list(coalesce(n, 0) order by c.cell), lambda x: x::double) as v from (select t.text_hash, r.cell from texts t, (select unnest(generate_series(0, 255)) as cell) r) c left join cells using (text_hash, cell) group by text_hash),
+    unit as materialized (select text_hash, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v),
+    first as (select source, text_hash, min(doc_id) as doc_id from compared group by source, text_hash),
+    cosines as (select x.source, x.text_hash as a, r.doc_id as right_doc, r.chunk_index as right_chunk, r.text_hash as b, round(list_dot_product(u.v, w.v), 9) as s
+      from first x join unit u on u.text_hash = x.text_hash join compared r on r.source = x.source and r.doc_id > x.doc_id join unit w on w.text_hash = r.text_hash),
+    best_of as materialized (select * from (select * from cosines qualify row_number() over (partition by source, a, right_doc order by s desc, right_chunk desc) <= {k}) where s >= {threshold}),"""
 
 
-def compared(granularity: str) -> str:
-    """By MinHash: aggressive mode with the stable strategy by paragraphs, strict mode with all matches by sentences."""
+_BY_MINHASH = """select l.source, l.doc_id as left_doc, l.chunk_index as left_chunk, m.a, r.doc_id as right_doc, r.chunk_index as right_chunk, m.b
+      from compared l join alike m on m.source = l.source and m.a = l.text_hash join scored s on s.a = least(m.a, m.b) and s.b = greatest(m.a, m.b)
+      join compared r on r.source = l.source and r.text_hash = m.b where l.doc_id < r.doc_id"""
+_BY_VECTORS = """select l.source, l.doc_id as left_doc, l.chunk_index as left_chunk, m.a, m.right_doc, m.right_chunk, m.b
+      from best_of m join scored s on s.a = least(m.a, m.b) and s.b = greatest(m.a, m.b) join compared l on l.source = m.source and l.text_hash = m.a and l.doc_id < m.right_doc"""
+
+
+def comparison(final: float, minhash: float | None = None, semantic: float | None = None, k: int = 50, granularity: str = "paragraph", stable: bool = False) -> str:
+    """Candidates by MinHash (estimate) and by vectors (cosine, the k best of each left chunk and right document, ranked
+    before anything else), then Jaccard of shingles, groups of paragraphs and the strategy."""
     paragraphs = granularity == "paragraph"
-    estimate, final = (0.3, 0.7) if paragraphs else (0.5, 0.85)
-    stable = """
+    signatures = f"{signed('text_hash')}, {banded('text_hash')}," + _MINHASH.format(estimate=minhash) if minhash is not None else ""
+    vectors = f"{embedded('texts')}," + _SEMANTIC.format(threshold=semantic, k=k) if semantic is not None else ""
+    both = ((minhash, "alike", _BY_MINHASH), (semantic, "best_of", _BY_VECTORS))
+    asked = " union ".join(f"select least(a, b) as a, greatest(a, b) as b from {t}" for x, t, _ in both if x is not None)
+    found = " union ".join(q for x, _, q in both if x is not None)
+    strategy = """
 ranked as (select *, row_number() over (partition by left_document_id, right_document_id, left_parent order by score desc, left_start, right_start) as nl,
   row_number() over (partition by left_document_id, right_document_id, right_parent order by score desc, left_start, right_start) as nr from g),
 kept as (select * from ranked where nl = 1 and nr = 1),"""
-    return f"""with recursive {PARAGRAPHS}, {_AS_PARAGRAPHS if paragraphs else _AS_SENTENCES}, {_TEXTS}, {shingled("texts", "text_hash")}, {signed("text_hash")}, {banded("text_hash")},
-    placed_bands as (select source, text_hash, band, band_key from bands join here using (text_hash)),
-    pairs as (select distinct l.source, l.text_hash as a, r.text_hash as b from placed_bands l join placed_bands r on l.source = r.source and l.band = r.band and l.band_key = r.band_key and l.text_hash < r.text_hash),
-    sigs as (select text_hash, list(v order by i) as s from signatures group by text_hash),
-    near as (select p.* from pairs p join sigs x on x.text_hash = a join sigs y on y.text_hash = b where list_sum(list_transform(generate_series(1, 120), lambda k: case when x.s[k] = y.s[k] then 1 else 0 end)) / 120 >= {estimate}),
-    sets as (select text_hash, list(shingle) as g, count(*) as n from grams group by text_hash),
-    jac as (select p.*, len(list_intersect(x.g, y.g)) as k, x.n as xn, y.n as yn from near p join sets x on x.text_hash = a join sets y on y.text_hash = b),
-    scored0 as (select source, a, b, k / (xn + yn - k) as score from jac), {_BOTH.format(final=final)}, {_metrics(_MATCHES)}, {stable if paragraphs else ""} {_out("kept" if paragraphs else "g")}"""
-
-
-def compared_by_vectors() -> str:
-    return f"""with recursive {PARAGRAPHS}, {_AS_PARAGRAPHS}, {_TEXTS}, {embedded("texts")},
-    v as (select text_hash, list_transform(list(coalesce(n, 0) order by c.cell), lambda x: x::double) as v from (select t.text_hash, r.cell from texts t, (select unnest(generate_series(0, 255)) as cell) r) c left join cells using (text_hash, cell) group by text_hash),
-    unit as (select source, text_hash, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v join here using (text_hash)),
-    near as (select l.source, l.text_hash as a, r.text_hash as b from unit l join unit r on l.source = r.source and l.text_hash < r.text_hash where round(list_dot_product(l.v, r.v), 9) >= 0.97),
-    {shingled("texts", "text_hash")}, sets as (select text_hash, list(shingle) as g, count(*) as n from grams group by text_hash),
-    jac as (select p.*, len(list_intersect(x.g, y.g)) as k, x.n as xn, y.n as yn from near p join sets x on x.text_hash = a join sets y on y.text_hash = b),
-    scored0 as (select source, a, b, k / (xn + yn - k) as score from jac), {_BOTH.format(final=0.8)}, {_metrics(_MATCHES)}, {_out("g")}"""
+    matches = """select l.source, l.doc_id as left_document_id, r.doc_id as right_document_id, l.parent_index as left_parent, r.parent_index as right_parent, score, length(l.text) as left_size, length(r.text) as right_size,
+  l.parent_length as left_length, r.parent_length as right_length, l.parent_start as left_start, r.parent_start as right_start
+  from union_of c join scored s on s.a = least(c.a, c.b) and s.b = greatest(c.a, c.b) join compared l on l.doc_id = c.left_doc and l.chunk_index = c.left_chunk join compared r on r.doc_id = c.right_doc and r.chunk_index = c.right_chunk"""
+    return f"""with recursive {PARAGRAPHS}, {_AS_PARAGRAPHS if paragraphs else _AS_SENTENCES}, {_TEXTS}, {shingled("texts", "text_hash")}, {signatures} {vectors}
+    sets as materialized (select text_hash, list(shingle) as g, count(*) as n from grams group by text_hash),
+    asked as ({asked}),
+    jac as (select p.*, len(list_intersect(x.g, y.g)) as k, x.n as xn, y.n as yn from asked p join sets x on x.text_hash = a join sets y on y.text_hash = b),
+    scored as materialized (select a, b, k / (xn + yn - k) as score from jac where k / (xn + yn - k) >= {final}),
+    union_of as ({found}), {_metrics(matches)}, {strategy if stable else ""} {_out("kept" if stable else "g")}"""
