@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textreuse.config import MODES
-from textreuse.operators import jobs, semantic
+from textreuse.operators import jobs, metrics, semantic
 from textreuse.plans import compare
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -131,3 +131,15 @@ def test_failed_embeddings_are_marked(spark):
 def test_pair_ids_are_the_pairs(spark):
     pairs = spark.createDataFrame([(1, 23), (12, 3)], "left_document_id long, right_document_id long")
     assert pairs.select(jobs.pair_id().alias("x")).distinct().count() == 2
+
+
+def test_stages_are_captured(spark):
+    recorder = metrics.StageRecorder("run")
+    config = MODES["aggressive"].override(semantic=0.99, final=0.99)
+    compare.compare_projects(docs(spark), config, "all", embedder=grams, recorder=recorder).collect()
+    rows = recorder.table(spark).collect()
+    assert [r.stage for r in rows] == ["semantic_recall", "minhash_recall", "score_candidates", "final_filter"]
+    placed = [(r.doc_id, r.text_hash) for r in compare.placed_chunks(docs(spark)).collect()]
+    assert rows[0].before == sum(a[0] < b[0] for a in placed for b in placed)
+    assert all(a.after == b.before for a, b in zip(rows, rows[1:], strict=False)) and rows[3].after < rows[3].before
+    assert rows[2].api_calls + rows[2].cache_hits == rows[2].after and rows[2].api_calls > 0 and rows[0].run_id == "run"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textreuse.plans.compare import compare_projects
 from textreuse.sources import files
 from textreuse.sources.catalog import Catalog
-from textreuse.streaming.ingest import dedup_scores, stream_compare, stream_files
+from textreuse.streaming.ingest import Store, dedup_scores, stream_compare, stream_files
 
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -53,6 +53,22 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*cols).collect())
     want = sorted(tuple(r) for r in compare_projects(spark.createDataFrame(rows, schema)).select(*cols).collect())
     assert got == want and len(got) == 15 and any(r[2] for r in got)
+    # a text is cut with its document and signed with the first batch that has it, whatever is stored by then
+    chunked, signed = (spark.read.parquet(str(tmp_path / "store" / n)) for n in ("chunks", "signatures"))
+    assert chunked.count() == 18 and signed.count() == signed.select("text_hash").distinct().count() == chunked.select("text_hash").distinct().count()
+    before = {n: sorted(map(str, spark.read.parquet(str(tmp_path / "store" / n)).collect())) for n in ("documents", "chunks", "signatures", "bands")}
+    Store(spark, str(tmp_path / "store")).ingest(spark.createDataFrame(rows[2:4], schema), 1)  # once more
+    assert before == {n: sorted(map(str, spark.read.parquet(str(tmp_path / "store" / n)).collect())) for n in before}
+
+
+def test_ingest_of_odd_batches(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string"
+    store = Store(spark, str(tmp_path))
+    store.ingest(spark.createDataFrame([], schema), 0)
+    store.ingest(spark.createDataFrame([(1, None, "en", "p"), (2, "", "en", "p"), (3, "One paragraph that is long enough.", "en", "p"), (4, "One paragraph that is long enough.", "en", "q")], schema), 1)
+    store.ingest(spark.createDataFrame([(5, "One paragraph that is long enough.", "en", "p")], schema), 2)
+    assert [store.upto(n, 2).count() for n in ("documents", "chunks", "signatures", "bands")] == [5, 3, 2, 80]
+    assert store.upto("chunks", 1).count() == 2 and store.upto("nothing", 2) is None
 
 
 def test_stream_files_and_scores(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +18,7 @@ from textreuse.plans import sql
 from textreuse.plans.compare import compare_projects
 from textreuse.sources import files
 from textreuse.sources.catalog import Catalog, write_vectors
+from textreuse.streaming import ingest
 
 query, table, docs_of = R.query, R.table, R.docs_of
 
@@ -354,3 +356,38 @@ def aggressive_comparison(spark, d):
     config = MODES["aggressive"].override(semantic=0.9, final=0.5, top_k=2)
     found = compare_projects(docs_of(spark, d), config, "all", embedder=semantic.hashed_grams)
     return found.select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")
+
+
+@query(sql.captured(0.7, 0.3))
+def comparison_stages(spark, d):
+    """Captured while project_comparison's stages run: candidates before and after each, scorings and scores reused."""
+    recorder = metrics.StageRecorder()
+    compare_projects(docs_of(spark, d), recorder=recorder)
+    return recorder.table(spark).select("step", "stage", "before", "after", "api_calls", "cache_hits", F.round("reduction_rate", 6).alias("reduction_rate"))
+
+
+# --- the same from a stream
+
+
+def replayed(spark, d, batches: int = 3) -> tuple[DataFrame, str]:
+    """The documents as a stream of so many batches, and a new folder for what it writes."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = docs_of(spark, d).select("doc_id", "text", "lang", "source")
+    docs.repartition(batches, "doc_id").write.parquet(f"{root}/in")
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root
+
+
+@query(sql.comparison(0.7, minhash=0.3, stable=True))
+def streamed_comparison(spark, d):
+    """project_comparison over documents that come in batches; each batch probes the stored bands."""
+    stream, root = replayed(spark, d)
+    ingest.stream_compare(stream, f"{root}/store", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("pair_id", "left_document_id", "right_document_id", "group_count", "top_score", "aggregate_alignment")
+
+
+@query(f"with recursive {sql.PARAGRAPHS} select doc_id, source, chunk_index, start_pos, end_pos, text_hash from paragraphs")
+def streamed_chunks(spark, d):
+    """Documents, chunks, signatures and bands of a stream, written by batch; here the chunks."""
+    stream, root = replayed(spark, d)
+    ingest.stream_ingest(stream, f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/store/chunks").select("doc_id", "source", "chunk_index", F.col("start_pos"), F.col("end_pos"), "text_hash")

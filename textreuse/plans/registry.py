@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textreuse.functions import columns as C
-from textreuse.operators import align, candidates, chunks, groups, jobs, metrics, minhash, report, semantic
+from textreuse.operators import align, candidates, chunks, groups, jobs, metrics, minhash, report, semantic, setjoin
 from textreuse.operators.lineage import checkpointed
 from textreuse.plans import sql
 
@@ -310,13 +310,11 @@ def s_curve(spark, d):
     where k / (a.n + b.n - k) >= 0.3"""
 )
 def benchmark_overlap(spark, d):
-    """Documents against benchmark items by exact Jaccard of shingles, over a join on shingles."""
-    grams = lambda t, i: table(spark, d, t).select(F.col(i), F.explode(C.shingles(F.col("text"))).alias("g"))
-    sizes = lambda t, i, n: table(spark, d, t).select(i, F.size(C.shingles(F.col("text"))).alias(n))
-    both = grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"))
-    out = both.join(sizes("documents", "doc_id", "a"), "doc_id").join(sizes("benchmark", "item_id", "b"), "item_id")
-    j = F.col("k") / (F.col("a") + F.col("b") - F.col("k"))
-    return out.where(j >= 0.3).select("doc_id", "item_id", F.round(j, 6).alias("jaccard"))
+    """Documents against benchmark items by exact Jaccard of shingles: prefix filter, then whole sets."""
+    sets = lambda t, i: table(spark, d, t).select(F.col(i).alias("id"), C.shingles(F.col("text")).alias("elements"))
+    ranked = tuple(map(checkpointed, setjoin.ranked_sets(sets("documents", "doc_id"), sets("benchmark", "item_id"))))
+    out = setjoin.similar_sets(*ranked, 0.3, ranked)
+    return out.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(

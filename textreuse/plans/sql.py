@@ -236,7 +236,7 @@ def comparison(final: float, minhash: float | None = None, semantic: float | Non
     signatures = f"{signed('text_hash')}, {banded('text_hash')}," + _MINHASH.format(estimate=minhash) if minhash is not None else ""
     vectors = f"{embedded('texts')}," + _SEMANTIC.format(threshold=semantic, k=k) if semantic is not None else ""
     both = ((minhash, "alike", _BY_MINHASH), (semantic, "best_of", _BY_VECTORS))
-    asked = " union ".join(f"select least(a, b) as a, greatest(a, b) as b from {t}" for x, t, _ in both if x is not None)
+    asked = " union ".join(f"select distinct least(a, b) as a, greatest(a, b) as b from {t}" for x, t, _ in both if x is not None)
     found = " union ".join(q for x, _, q in both if x is not None)
     strategy = """
 ranked as (select *, row_number() over (partition by left_document_id, right_document_id, left_parent order by score desc, left_start, right_start) as nl,
@@ -251,3 +251,17 @@ kept as (select * from ranked where nl = 1 and nr = 1),"""
     jac as (select p.*, len(list_intersect(x.g, y.g)) as k, x.n as xn, y.n as yn from asked p join sets x on x.text_hash = a join sets y on y.text_hash = b),
     scored as materialized (select a, b, k / (xn + yn - k) as score from jac where k / (xn + yn - k) >= {final}),
     union_of as ({found}), {_metrics(matches)}, {strategy if stable else ""} {_out("kept" if stable else "g")}"""
+
+
+def captured(final: float, minhash: float) -> str:
+    """Rows before and after the stages of a comparison by MinHash: a pair of texts counts both ways round, a text once by
+    itself."""
+    whole = comparison(final, minhash=minhash)
+    return whole[: whole.index("    union_of as (")] + f"""
+    chunks_of as (select source, doc_id, count(*) as n from compared group by all),
+    possible as (select sum(n) as n from (select cast((sum(n) * sum(n) - sum(n * n)) / 2 as bigint) as n from chunks_of group by source)),
+    found as (select count(*) as n from alike), asked_for as (select count(*) as n from (select distinct a, b from near)),
+    kept as (select count(*) as n from alike m join scored s on s.a = least(m.a, m.b) and s.b = greatest(m.a, m.b))
+    select 0 as step, 'minhash_recall' as stage, p.n::bigint as before, f.n as after, 0::bigint as api_calls, 0::bigint as cache_hits, round(1 - f.n / p.n, 6) as reduction_rate from possible p, found f
+    union all select 1, 'score_candidates', f.n, f.n, a.n, f.n - a.n, 0.0 from found f, asked_for a
+    union all select 2, 'final_filter', f.n, k.n, 0, 0, round(1 - k.n / f.n, 6) from found f, kept k"""
