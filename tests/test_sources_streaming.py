@@ -92,3 +92,17 @@ def test_catalog(spark, tmp_path):
     assert sorted((r.doc_id, r.status) for r in c.read("document").collect()) == [(1, "completed"), (2, "pending"), (3, "failed")]
     c.replace("document", c.read("document").where("doc_id <> 1"))
     assert c.read("document").count() == 2
+
+
+def test_a_replacement_that_stops_half_way(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    rows = lambda *ids: spark.createDataFrame([(i, "p", "completed") for i in ids], "doc_id long, project_id string, status string")
+    ids = lambda: sorted(r.doc_id for r in c.read("document").collect())
+    c.replace("document", rows(1))  # a first write
+    assert ids() == [1]
+    (tmp_path / "document").rename(tmp_path / "_old_document")  # stopped before anything new was complete
+    assert ids() == [1]
+    c.write("document", rows(2, 3))
+    (tmp_path / "document").rename(tmp_path / "_new_document")  # stopped between the two renames
+    c.replace("document", c.read("document").where("doc_id <> 2"))
+    assert ids() == [1, 3] and not (tmp_path / "_old_document").exists() and not (tmp_path / "_new_document").exists()

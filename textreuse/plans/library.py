@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from textreuse.config import MODES
 from textreuse.functions import columns as C
 from textreuse.functions import udtf
-from textreuse.operators import candidates, chunks, groups, jobs, metrics, report, semantic
+from textreuse.operators import candidates, chunks, classes, groups, jobs, metrics, report, semantic
 from textreuse.operators.lineage import checkpointed, shared_dir
 from textreuse.plans import registry as R
 from textreuse.plans import sql
@@ -391,3 +391,26 @@ def streamed_chunks(spark, d):
     stream, root = replayed(spark, d)
     ingest.stream_ingest(stream, f"{root}/store", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/store/chunks").select("doc_id", "source", "chunk_index", F.col("start_pos"), F.col("end_pos"), "text_hash")
+
+
+# --- classes of equal sentences
+
+
+CLASSES = f"""with recursive {sql.PARAGRAPHS}, {sql.SENTENCES}, per as (select source, text_hash, doc_id, count(*) as n from sentences group by all),
+  classes as (select source, text_hash, sum(n)::bigint as places, count(*) as documents, cast((sum(n) * sum(n) - sum(n * n)) / 2 as bigint) as links from per group by all having count(*) > 1)"""
+
+
+def _sentences_of(spark, d):
+    return checkpointed(chunks.sentences_in_paragraphs(docs_of(spark, d), keep=("source",)).select("source", "doc_id", "chunk_index", "text_hash"))
+
+
+@query(f"{CLASSES} select * from classes")
+def sentence_classes(spark, d):
+    """Equal sentences of a project with the number of their pairs; no pair is made."""
+    return classes.text_classes(_sentences_of(spark, d))
+
+
+@query(f"{CLASSES} select p.source, p.doc_id, count(*) as classes, sum(p.n * (c.places - p.n))::bigint as links from per p join classes c using (source, text_hash) group by all")
+def document_links(spark, d):
+    s = _sentences_of(spark, d)
+    return classes.document_links(s, classes.text_classes(s))

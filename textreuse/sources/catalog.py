@@ -50,6 +50,7 @@ class Catalog:
         writer.parquet(self.path(name))
 
     def read(self, name: str, **filters) -> DataFrame:
+        self.settle(name)
         df = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
         for column, value in filters.items():
             df = df.where(F.col(column).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
@@ -59,17 +60,32 @@ class Catalog:
         df = self.read("document_chunk", doc_id=doc_id)
         return (df if chunk_type is None else df.where(F.col("chunk_type") == chunk_type)).orderBy("chunk_index")
 
+    def _paths(self, name: str):
+        """File system, and paths of the table, of a new one beside it, and of the one that it replaces."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at, aside, gone = (jvm.org.apache.hadoop.fs.Path(self.path(n)) for n in (name, f"_new_{name}", f"_old_{name}"))
+        return at.getFileSystem(conf), at, aside, gone
+
+    def settle(self, name: str) -> None:
+        """Ends a replacement that stopped half-way: where no table stands, the complete new one moves in, else the old one
+        comes back. Every read and replacement does so first."""
+        fs, at, aside, gone = self._paths(name)
+        if not fs.exists(at):
+            whole = fs.exists(aside.suffix("/_SUCCESS"))
+            if (whole or fs.exists(gone)) and not fs.rename(aside if whole else gone, at) and not fs.exists(at):
+                raise OSError(f"{name} can't be put in its place")
+
     def replace(self, name: str, df: DataFrame) -> None:
         """Writes beside the table, then puts it in its place: df may read the table itself. The old table goes only after
-        the new one stands, so a crash leaves one of them whole."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        aside, at, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (self.path(f"_new_{name}"), self.path(name), self.path(f"_old_{name}")))
+        the new one stands; what a crash leaves is settled by the next read."""
+        self.settle(name)
+        fs, at, aside, gone = self._paths(name)
         writer = self.shaped(name, df).write.mode("overwrite")
         (writer.partitionBy(PARTITIONS[name]) if name in PARTITIONS else writer).parquet(aside.toString())
-        fs = at.getFileSystem(conf)
         fs.delete(gone, True)
-        fs.rename(at, gone)
-        fs.rename(aside, at)
+        if fs.exists(at) and not fs.rename(at, gone):
+            raise OSError(f"{name} can't be moved aside")
+        self.settle(name)
         fs.delete(gone, True)
 
 
