@@ -551,17 +551,30 @@ def aggregate_metrics(spark, d):
     return metrics.aggregate_metrics(stages(spark, d))
 
 
-# --- not expressed in SQL
+_GROWN = ", ".join(f"{s}_start - length(regexp_extract(substr({s}_text, 1, {s}_start::bigint), '(\\S*)$', 1)) as {a}, {s}_end + length(regexp_extract(substr({s}_text, ({s}_end + 1)::bigint), '^(\\S*)', 1)) as {z}" for s, a, z in (("left", "a", "b"), ("right", "c", "e")))
 
 
-@query()
+@query(
+    f"""{LSH}, t as (select text_hash, any_value(text) as text from paragraphs group by text_hash),
+    p as materialized (select source || '-' || "left" || '-' || "right" as pair_id, x.text as left_text, y.text as right_text from near join t x on x.text_hash = "left" join t y on y.text_hash = "right"),
+    lg as (select pair_id, i - 1 as pos, substr(left_text, i, 12) as g from (select pair_id, left_text, unnest(generate_series(1, length(left_text) - 11)) as i from p)),
+    rg as (select pair_id, i - 1 as pos, substr(right_text, i, 12) as g from (select pair_id, right_text, unnest(generate_series(1, length(right_text) - 11)) as i from p)),
+    cells as (select lg.pair_id, lg.pos, lg.pos - rg.pos as d from lg join rg on lg.pair_id = rg.pair_id and lg.g = rg.g),
+    runs as (select pair_id, d, min(pos) as left_start, max(pos) + 12 as left_end from (select *, pos - row_number() over (partition by pair_id, d order by pos) as run from cells) group by pair_id, d, run),
+    long as (select pair_id, left_start, left_end, left_start - d as right_start, left_end - d as right_end, left_text, right_text from runs join p using (pair_id) where left_end - left_start >= 20),
+    o as (select distinct pair_id as p, {_GROWN} from long),
+    w as (select *, max(b) over (partition by p order by a, b, c, e rows between unbounded preceding and 1 preceding) as before from o),
+    f as (select *, sum(case when before is null or a > before then 1 else 0 end) over (partition by p order by a, b, c, e) as island from w)
+    select p as pair_id, min(a)::bigint as left_start, max(b)::bigint as left_end, arg_min(c, (a, b, c, e))::bigint as right_start, max(e)::bigint as right_end from f group by p, island"""
+)
 def align_spans(spark, d):
     """Fine alignment of the near-equal paragraphs of each project."""
     t = texts_of(spark, d).select("source", "text_hash", "text").dropDuplicates(["source", "text_hash"])
     n = near_texts(spark, d).select("source", "left", "right")
     for s in ("left", "right"):
         n = n.join(t.select("source", F.col("text_hash").alias(s), F.col("text").alias(f"{s}_text")), ["source", s])
-    return align.align_spans(n.withColumn("pair_id", F.concat_ws("-", "source", "left", "right")))
+    found = align.align_spans(n.withColumn("pair_id", F.concat_ws("-", "source", "left", "right")))
+    return found.select("pair_id", *(F.col(c).cast("long").alias(c) for c in ("left_start", "left_end", "right_start", "right_end")))
 
 
 @query(

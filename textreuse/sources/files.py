@@ -30,7 +30,8 @@ TEXT = (
     "txt text md markdown mdx rst adoc asciidoc org tex bib log nfo csv tsv psv json jsonl ndjson json5 xml xsd xsl xslt dtd rss atom svg yaml yml toml ini cfg conf config env "
     "properties plist html htm xhtml css scss sass less js mjs cjs jsx ts tsx vue svelte astro py pyi pyx pyw ipynb rb erb gemspec php phtml java kt kts scala sc groovy gradle clj cljs "
     "c h cc cpp cxx hpp hh hxx inl ino cs fs fsx vb go rs swift m mm dart lua pl pm r rmd jl hs lhs ml mli elm ex exs erl hrl nim zig d pas pp f f90 f95 for asm s v sv vhd vhdl "
-    "sh bash zsh fish csh ksh bat cmd ps1 psm1 awk sed sql ddl graphql gql proto thrift avsc cmake mk tf tfvars hcl nix dockerignore gitignore gitattributes editorconfig srt vtt ass po pot ics vcf eml diff patch"
+    "sh bash zsh fish csh ksh bat cmd ps1 psm1 awk sed sql ddl graphql gql proto thrift avsc cmake mk tf tfvars hcl nix dockerignore gitignore gitattributes editorconfig srt vtt ass po pot ics vcf eml diff patch "
+    "rtf tcl lisp lsp cl el scm rkt vbs coffee haml jade pug mustache hbs liquid twig jsp asp aspx cob cbl ada adb ads f03 f08 sln csproj vbproj mak bzl kotlin edn pod cls sty"
 ).split()
 
 
