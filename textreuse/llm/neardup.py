@@ -5,11 +5,11 @@ links (five words, radius 3) are joined by those of texts that share a band of M
 verified on the complete sets of shingles. Texts of equal sets are one node.
 
 A band of four values is shared at 0.8 with probability 0.41, one of 20 bands with 0.99997. Within a bucket of at most
-`small` nodes all pairs are candidates. Nodes of larger buckets, mostly texts around one common passage, are dealt again
-by longer bands: eight values of 60 bands, one of which is shared at 0.8 with 0.99998, but at 0.4 with 0.04. Small buckets
-of these again give all pairs. In a large one, mostly a group of near copies, each node first meets two others: the one
-that shares most long bands with the corpus and one by hash, another in each band. What is found makes groups, and then
-all nodes of different groups of a bucket meet. So every pair that shares a bucket is verified or already in one group.
+`small` nodes all pairs are candidates. In a larger one, around a common passage or of near copies, each node first meets
+two others: the one that shares most bands with the corpus and one by hash, another in each band. What is found makes
+groups. Then all nodes of large buckets are joined by an exact set-similarity join: two sets of the wanted similarity share
+one of their rarest shingles, with enough of both sets after it. Only nodes of different groups meet there, so a group of
+thousands of copies makes no pairs of its own, and no pair of a large bucket depends on a centre.
 """
 
 from __future__ import annotations
@@ -22,18 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textreuse.operators.setjoin import least_overlap
+
 from . import simhash
 from .common import Scratch, pieces, texts, tidy
 from .components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SHORT, LONG = (20, 4), (60, 8)  # bands, values in each
+BANDS, ROWS = 20, 4
 
 _stream = np.random.default_rng(42)
-_n = SHORT[0] * SHORT[1] + LONG[0] * LONG[1]
-FACTORS = _stream.integers(1, 1 << 63, _n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _stream.integers(0, 1 << 63, _n, dtype=np.uint64)
+FACTORS = _stream.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _stream.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -42,17 +43,16 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.concatenate(found).view(np.uint64).ravel()) if found else np.zeros(0, np.uint64)
 
 
-def bands(grams: np.ndarray, kind: tuple[int, int] = SHORT) -> np.ndarray:
-    """A key for each band, different from band to band. The long bands have hash functions of their own."""
+def bands(grams: np.ndarray) -> np.ndarray:
+    """A key for each band, different from band to band."""
     if not len(grams):
         return np.zeros(0, np.int64)
-    at = slice(0, SHORT[0] * SHORT[1]) if kind == SHORT else slice(SHORT[0] * SHORT[1], None)
-    least = np.full(kind[0] * kind[1], np.iinfo(np.uint64).max)
-    for i in range(0, len(grams), 1024):
-        x = grams[i : i + 1024, None] * FACTORS[at] + OFFSETS[at]
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(grams), 4096):
+        x = grams[i : i + 4096, None] * FACTORS + OFFSETS
         x ^= x >> np.uint64(31)
         least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(kind))], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,21 +82,21 @@ def node_of(grams: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(g.tobytes(), 7) for g in grams], np.uint64).view(np.int64)
 
 
-def of_nodes(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, make: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-    """(node, name) of the wanted nodes (node, least: an id that has it), by their sets: only their texts are read again."""
+def sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, grams) of the wanted nodes (node, least: an id that has it): only their texts are read again."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "_t", 1_000_000):
                 grams = [shingles(x) for x in texts(b, "_t")]
-                yield pa.RecordBatch.from_arrays([pa.array(node_of(grams)), lists([make(g) for g in grams])], names=["node", name])
+                yield pa.RecordBatch.from_arrays([pa.array(node_of(grams)), lists(grams)], names=["node", "grams"])
 
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
     mine = rows.join(wanted.select(F.col("least").alias("_i")).where("_i is not null"), "_i", "left_semi")
     if not wanted.where("least is null").isEmpty():
         mine = mine.unionByName(rows.where("_i is null"))
-    found = mine.select("_t").mapInArrow(run, f"node long, {name} array<long>")
+    found = mine.select("_t").mapInArrow(run, "node long, grams array<long>")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -107,14 +107,22 @@ def all_pairs(entries: DataFrame, buckets: DataFrame) -> DataFrame:
     return few.select("u", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("v"))
 
 
-def apart(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): of the large buckets (key, node) that hold several groups, all nodes outside the largest group with all nodes
-    of the others. The largest group's own nodes do not meet."""
-    large = scratch.put(large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "large")
-    groups = large.groupBy("key", "label").agg(F.count("*").alias("n"))
-    most = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    left = large.join(most, "key").where("label <> most").select("key", "most", F.col("node").alias("u"), F.col("label").alias("_l"))
-    return left.join(large, "key").where("_l <> label and (label = most or u < node)").select("u", F.col("node").alias("v"))
+def apart(crowd: DataFrame, labels: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(u, v): nodes of different groups of the crowd (node, grams) that may be similar. Shingles are ordered from the rarest
+    on; a pair meets at a shingle of both prefixes, if sizes and what is left on both sides allow the similarity."""
+    crowd = scratch.put(crowd.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "grams"), "crowd")
+    flat = crowd.select("node", F.explode("grams").alias("g"))
+    often = flat.groupBy("g").agg(F.count("*").alias("c"))
+    n = F.size("s")
+    ranked = flat.join(often, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("s"))
+    prefix = ranked.select("node", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(similarity * n - F.lit(1e-9)) + 1).cast("int"))).alias("at", "x"))
+    # a shingle of one node meets nothing
+    prefix = scratch.put(prefix.where("x.c > 1").select("node", "n", "at", F.col("x.g").alias("g")).join(crowd.select("node", "label"), "node"), "prefixes")
+    left, right = (prefix.select("g", F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in ("n", "at", "label"))) for e in "uv")
+    near = F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9
+    rest = 1 + F.least(F.col("u_n") - F.col("u_at") - 1, F.col("v_n") - F.col("v_at") - 1)
+    pairs = left.join(right, "g").where((F.col("u") < F.col("v")) & (F.col("u_label") != F.col("v_label")) & near & (rest >= least_overlap(similarity, F.col("u_n"), F.col("v_n"))))
+    return pairs.select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 16) -> DataFrame:
@@ -125,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = scratch.put(signed(docs, id_col, text_col), "signed")
-    read = lambda wanted, make=lambda g: g, name="grams": of_nodes(docs, wanted, id_col, text_col, make, name)
+    read = lambda wanted: sets(docs, wanted, id_col, text_col)
     nodes = scratch.put(rows.groupBy("node").agg(F.min(id_col).alias("least"), F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("keys").alias("keys")), "nodes")
     fps = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
     same = nodes.join(fps, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
@@ -135,24 +143,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = near.join(end, end.columns[0])
     pairs = same.unionByName(near.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
     entries = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = scratch.put(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets-short")
-    pairs = pairs.unionByName(all_pairs(entries, buckets.where(F.col("n") <= small)))
-    crowd = entries.join(buckets.where(F.col("n") > small), "key", "left_semi").select("node").distinct()
-    crowd = scratch.put(nodes.join(crowd, "node", "left_semi").select("node", "least"), "crowd")
-    large = None
-    if not crowd.isEmpty():
-        long = scratch.put(read(crowd, lambda g: bands(g, LONG), "keys"), "crowd-keys").select("node", F.explode("keys").alias("key"))
-        buckets = scratch.put(long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets-long")
-        pairs = pairs.unionByName(all_pairs(long, buckets.where(F.col("n") <= small)))
-        shared = long.join(buckets, "key").groupBy("node").agg(F.sum("n").alias("shared"))
-        large = scratch.put(long.join(buckets.where(F.col("n") > small).select("key"), "key", "left_semi").join(shared, "node"), "large-long")
-        centres = large.groupBy("key").agg(F.max_by("node", F.struct("shared", "node")).alias("middle"), F.min_by("node", F.xxhash64("node", "key")).alias("by_hash"))
-        pairs = pairs.unionByName(large.join(centres, "key").select(F.col("node").alias("u"), F.explode(F.array("middle", "by_hash")).alias("v")))
+    buckets = scratch.put(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = entries.join(buckets, "key").groupBy("node").agg(F.sum("n").alias("shared"))
+    large = scratch.put(entries.join(buckets.where(F.col("n") > small).select("key"), "key", "left_semi").join(shared, "node"), "large")
+    centres = large.groupBy("key").agg(F.max_by("node", F.struct("shared", "node")).alias("middle"), F.min_by("node", F.xxhash64("node", "key")).alias("by_hash"))
+    centred = large.join(centres, "key").select(F.col("node").alias("u"), F.explode(F.array("middle", "by_hash")).alias("v"))
+    pairs = all_pairs(entries, buckets.where(F.col("n") <= small)).unionByName(centred).unionByName(same).unionByName(near.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
     links = scratch.put(verified(pairs, read, nodes, similarity, scratch, "first"), "links")
     scratch.free("sets-first", "pairs-first")
     label = connected_components(links, scratch, "first")
-    if large is not None and not large.isEmpty():
-        rest = scratch.put(apart(large.select("key", "node"), label.toDF("node", "label"), scratch).distinct(), "rest")
+    crowd = scratch.put(nodes.join(large.select("node").distinct(), "node", "left_semi").select("node", "least"), "crowded")
+    if not crowd.isEmpty():
+        rest = scratch.put(apart(read(crowd), label.toDF("node", "label"), similarity, scratch), "rest")
+        scratch.free("crowd", "prefixes")
         links = links.unionByName(scratch.put(verified(rest, read, nodes, similarity, scratch, "second"), "links-second"))
         label = connected_components(links, scratch, "second")
     nodes = nodes.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
