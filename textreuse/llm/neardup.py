@@ -108,7 +108,7 @@ def all_pairs(entries: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def apart(crowd: DataFrame, labels: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(u, v): nodes of different groups of the crowd (node, grams) that may be similar. Shingles are ordered from the rarest
+    """(u, v, u_size, v_size): nodes of different groups of the crowd (node, grams) that may be similar. Shingles are ordered from the rarest
     on; a pair meets at a shingle of both prefixes, if sizes and what is left on both sides allow the similarity."""
     crowd = scratch.put(crowd.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "grams"), "crowd")
     flat = crowd.select("node", F.explode("grams").alias("g"))
@@ -122,7 +122,7 @@ def apart(crowd: DataFrame, labels: DataFrame, similarity: float, scratch: Scrat
     near = F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9
     rest = 1 + F.least(F.col("u_n") - F.col("u_at") - 1, F.col("v_n") - F.col("v_at") - 1)
     pairs = left.join(right, "g").where((F.col("u") < F.col("v")) & (F.col("u_label") != F.col("v_label")) & near & (rest >= least_overlap(similarity, F.col("u_n"), F.col("v_n"))))
-    return pairs.select("u", "v").distinct()
+    return pairs.select("u", "v", F.col("u_n").alias("u_size"), F.col("v_n").alias("v_size")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 16) -> DataFrame:
@@ -167,10 +167,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def verified(pairs: DataFrame, read: Callable, nodes: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) of nodes whose complete sets are at least that similar."""
-    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size")), end)
+    """The pairs (u, v) of nodes whose complete sets are at least that similar. With u_size and v_size they are u < v already
+    and none stands twice."""
+    if "u_size" not in pairs.columns:
+        pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        for end in "uv":
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size")), end)
     pairs = scratch.put(pairs.where(F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size")), f"pairs-{name}")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = scratch.put(nodes.join(ends, "node", "left_semi").select("node", "least"), f"wanted-{name}")
