@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +17,7 @@ from textreuse.operators.lineage import checkpointed, shared_dir
 from textreuse.plans import registry as R
 from textreuse.plans import sql
 from textreuse.plans.compare import compare_projects
-from textreuse.sources import files
+from textreuse.sources import files, office
 from textreuse.sources.catalog import Catalog, write_vectors
 from textreuse.streaming import ingest
 
@@ -73,6 +74,26 @@ def parsed_files(spark, d):
     return p.select("storage_path", "status", "checksum", "char_count", F.sha2("text", 256).alias("digest"), "title")
 
 
+@query(
+    r"""with c as (select doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g'), chr(10)), lambda x: length(trim(x, ' ' || chr(9))) > 0), chr(10) || chr(10)) as t from documents),
+    n as (select doc_id, regexp_replace(regexp_replace(t, '[ \t]+(\n|$)', '\1', 'g'), '^\n+|\n+$', '', 'g') as t from c)
+    select 'in/' || doc_id || case when doc_id % 2 = 0 then '.docx' else '.doc' end as storage_path, case when length(t) > 0 then 'completed' else 'failed' end as status,
+      coalesce(length(t), 0) as char_count, case when length(t) > 0 then sha256(t) end as digest from n"""
+)
+def office_files(spark, d):
+    """Each document as a Word file of either kind, a paragraph per line, and read from that."""
+
+    def write(batches):
+        for b in batches:
+            made = [(office.docx_file if p.endswith("x") else office.doc_file)(t or "") for p, t in zip(b["path"], b["text"], strict=True)]
+            yield pd.DataFrame({"path": b["path"], "content": made})
+
+    path = F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".docx").otherwise(".doc"))
+    held = docs_of(spark, d).select(path.alias("path"), "text").mapInPandas(write, "path string, content binary")
+    p = files.parse_files(held, "p")
+    return p.select("storage_path", "status", "char_count", F.sha2("text", 256).alias("digest"))
+
+
 # --- catalog
 
 

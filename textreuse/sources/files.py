@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textreuse.functions.columns import checksum, clean_document, guess_language
+from textreuse.sources.office import doc_text
 
 UPLOADS = ("pdf", "docx", "doc", "txt", "md")
 MAX_BYTES = 20 << 20
@@ -81,10 +82,6 @@ def pdf_text(content: bytes) -> str | None:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text)).strip() or None
 
 
-def doc_text(content: bytes) -> str | None:
-    raise NotImplementedError("no reader for legacy .doc is installed; pass one in parsers")
-
-
 PARSERS: dict[str, Callable[[bytes], str | None]] = {"text": decode, "plain": decode, "docx": docx_text, "pdf": pdf_text, "doc": doc_text}
 
 
