@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from textreuse.config import MODES
 from textreuse.functions import columns as C
 from textreuse.functions import udtf
-from textreuse.operators import candidates, chunks, classes, groups, jobs, metrics, report, semantic
+from textreuse.operators import candidates, chunks, classes, graphsearch, groups, jobs, metrics, report, semantic
 from textreuse.operators.lineage import checkpointed, shared_dir
 from textreuse.plans import registry as R
 from textreuse.plans import sql
@@ -126,6 +126,37 @@ def vector_sink(spark, d):
     return spark.read.parquet(path).select("id", "document_id", F.size("embedding").alias("dimension"), F.round(total, 4).alias("total"))
 
 
+def vector_graph(spark, d):
+    """The graph over all vectors, as a table."""
+    path = store(spark, "graph")
+    graphsearch.build_graph(table(spark, d, "embeddings"), keep=("label",)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(None)
+def graph_search(spark, d):
+    """Queries: every row whose id is divisible by 50, by graph against all rows and against those of some labels."""
+    e, g = table(spark, d, "embeddings").where("vec_id % 50 = 0"), vector_graph(spark, d)
+    found = [graphsearch.graph_search(e, g, 10, where).withColumn("searched", F.lit(name)) for name, where in (("all", None), ("labels", F.col("label") < 5))]
+    return found[0].unionByName(found[1]).select("searched", "query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """select 'all' as searched, count(*) * least(10, (select count(*) from embeddings)) as neighbours, true as reached from embeddings where vec_id % 50 = 0
+    union all select 'labels', count(*) * least(10, (select count(*) from embeddings where label < 5)), true from embeddings where vec_id % 50 = 0"""
+)
+def graph_recall(spark, d):
+    """Whether the graph finds nine tenths of what the block product finds, with and without a filter."""
+    e, g = table(spark, d, "embeddings"), vector_graph(spark, d)
+    asked, out = e.where("vec_id % 50 = 0"), []
+    for name, where in (("all", None), ("labels", F.col("label") < 5)):
+        exact = semantic.vector_search(asked, e, 10, where).select("query_id", "id")
+        found = graphsearch.graph_search(asked, g, 10, where).select("query_id", "id", F.lit(True).alias("hit"))
+        both = exact.join(found, ["query_id", "id"], "left")
+        out.append(both.agg(F.lit(name).alias("searched"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached")))
+    return out[0].unionByName(out[1])
+
+
 # --- projections and bookkeeping
 
 
