@@ -207,6 +207,31 @@ def test_ann(spark, kind):
     assert ann.search(df.where("vec_id >= 2000")).count() == 0 and ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", ["lengths", "clusters", "noise", "copies"])
+def test_ann_loses_nothing_whatever_the_rows(spark, rows):
+    """Lengths that differ widely, tight clusters in few directions, plain noise, many equal vectors."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 32))
+    if rows == "lengths":
+        x *= np.exp(rng.normal(size=(1200, 1)) * 2)
+    elif rows == "clusters":
+        x = rng.normal(size=(40, 32))[rng.integers(0, 40, 1200)] + (rng.normal(size=(1200, 2)) @ rng.normal(size=(2, 32))) * 0.05
+    elif rows == "copies":
+        x[rng.random(1200) < 0.3] = x[7]
+    x = x.astype(np.float32)
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), lists=24, sample=300, block=200).collect()
+    y = x.astype(float)
+    want = {}
+    for q in range(0, 1200, 20):
+        s = (y * y[q]).sum(axis=1)
+        s[q] = -np.inf
+        want[q] = np.lexsort((np.arange(1200), -s))[:20].tolist()
+    found = {q: [None] * 20 for q in want}
+    for r in got:
+        found[r.query_id][r.rank - 1] = r.vec_id
+    assert found == want
+
+
 def test_ann_of_repeated_ids_and_other_lengths(spark):
     rows = [(0, [0.1, 0.2]), (1, [1.7, 0.0]), (1, [0.3, 0.4]), (2, [1.0, 2.0, 3.0]), (20, [1.0, 1.0, 1.0]), (0, [1.0, 0.0]), (40, [2.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
