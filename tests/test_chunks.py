@@ -1,3 +1,4 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -75,3 +76,9 @@ def test_parents_of_texts_equal_those_of_tables(spark):
         key = lambda r: (r.doc_id or 0, r.chunk_index, r.parent_index)
         assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
         assert {r.source for r in one.collect()} == {"s"} and one.count() > 60
+
+
+def test_batches_are_cut_into_small_ones():
+    b = pa.RecordBatch.from_pydict({"n": list(range(1203))})
+    got = list(K.sliced([b, b.slice(0, 0), b.slice(0, 3)], 500))
+    assert [x.num_rows for x in got] == [500, 500, 203, 3] and [n for x in got[:3] for n in x.column("n").to_pylist()] == list(range(1203))
