@@ -106,3 +106,21 @@ def test_a_replacement_that_stops_half_way(spark, tmp_path):
     (tmp_path / "document").rename(tmp_path / "_new_document")  # stopped between the two renames
     c.replace("document", c.read("document").where("doc_id <> 2"))
     assert ids() == [1, 3] and not (tmp_path / "_old_document").exists() and not (tmp_path / "_new_document").exists()
+
+
+def test_few_parsed_files_are_held_at_once(spark):
+    """A parser that says how many of its results are still held."""
+    state = {}
+
+    def counting(content):
+        import weakref
+
+        if not state:
+            state["kind"], state["alive"] = type("Held", (str,), {}), weakref.WeakSet()
+        made = state["kind"](f"{len(state['alive'])} held")
+        state["alive"].add(made)
+        return made
+
+    rows = spark.range(1000).coalesce(1).selectExpr("concat(id, '.txt') path", "encode('x', 'UTF-8') content")
+    held = files.parse_files(rows, "p", parsers={"text": counting}).select("text").collect()
+    assert len(held) == 1000 and max(int(r.text.split()[0]) for r in held) <= 200

@@ -8,11 +8,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textreuse.functions.columns import checksum, clean_document, guess_language
+from textreuse.operators.chunks import sliced
 from textreuse.sources.office import doc_text
 
 UPLOADS = ("pdf", "docx", "doc", "txt", "md")
@@ -110,25 +111,26 @@ def parse_files(files: DataFrame, project_id, source: str | None = None, parsers
     """
     known = PARSERS | (parsers or {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 100):  # files can be large
             texts, errors = [], []
-            for parser, content in zip(b["parser"], b["content"], strict=True):
+            for parser, content in zip(b.column("parser").to_pylist(), b.column("content"), strict=True):
                 text, error = None, None
                 try:
                     if parser is None:
                         error = "unsupported format"
                     else:
-                        text = known[parser](bytes(content))
+                        text = known[parser](content.as_py())
                         error = None if text and text.strip() else "no text"
                 except Exception as e:  # one bad file is one failed document
                     error = f"{type(e).__name__}: {e}"
                 texts.append(text if error is None else None)
                 errors.append(error)
-            yield pd.DataFrame({"path": b["path"], "checksum": b["checksum"], "raw": texts, "error_message": errors})
+            names = ["path", "checksum", "raw", "error_message"]
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("checksum"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=names)
 
     rows = files.select("path", "content", parser_of(F.col("path")).alias("parser"), checksum(F.col("content")).alias("checksum"))
-    parsed = rows.mapInPandas(run, "path string, checksum string, raw string, error_message string")
+    parsed = rows.mapInArrow(run, "path string, checksum string, raw string, error_message string")
     text, name = clean_document(F.col("raw")), F.regexp_extract("path", r"([^/\\]+)\z", 1)
     return parsed.select(
         F.xxhash64("path").alias("doc_id"),
