@@ -143,3 +143,38 @@ def test_stages_are_captured(spark):
     assert rows[0].before == sum(a[0] < b[0] for a in placed for b in placed)
     assert all(a.after == b.before for a, b in zip(rows, rows[1:], strict=False)) and rows[3].after < rows[3].before
     assert rows[2].api_calls + rows[2].cache_hits == rows[2].after and rows[2].api_calls > 0 and rows[0].run_id == "run"
+
+
+def test_ranks_of_near_texts_are_those_of_all_places(spark):
+    """Only documents with near texts meet their vectors, but the ranks hold among all chunks of the document."""
+    rng = np.random.default_rng(5)
+    rows = [("p" if d % 3 else "q", d, c, f"k{rng.integers(0, 60)}") for d in range(20) for c in range(int(rng.integers(1, 14)))]
+    x = {f"k{i}": (rng.integers(0, 3, size=5) + 0.1).tolist() for i in range(60)} | {"k7": [0.0] * 5, "k8": [1.0, 2.0], "k9": [1.0] * 4 + [float("nan")]}
+    placed = spark.createDataFrame(rows, "source string, doc_id long, chunk_index int, text_hash string")
+    vectors = spark.createDataFrame(list(x.items()), "text_hash string, embedding array<double>")
+    near = {(s, f"k{a}", f"k{b}") for s in "pq" for a, b in rng.integers(0, 60, size=(400, 2))}
+    near |= {(s, b, a) for s, a, b in near} | {(s, k, k) for s in "pq" for k in x}
+    got = semantic.ranked_places(placed, vectors, spark.createDataFrame(sorted(near), "source string, left string, right string"), 2, 0.9).collect()
+    want = {tuple(r) for r in semantic.near_places(placed, vectors, 2, 0.9).collect() if (r.source, r.left, r.right) in near}
+    assert len(got) == len(want) > 50 and {tuple(r) for r in got} == want
+
+
+def test_pairs_are_made_where_they_leave(spark):
+    """All pairs with the numbers of some, by blocks of three documents; no shuffle holds a row per pair."""
+    docs_ = [(i, "p" if i % 4 else "q") for i in range(30)] + [(None, "p"), (31, None)]
+    found = {(s, a, b): (a + b, a / 8) for a, s in docs_ for b, z in docs_ if None not in (a, b, s) and s == z and a < b and (a + b) % 5 == 0}
+    rows = [(*k, *v) for k, v in found.items()]
+    df = jobs.pairs_with(spark.createDataFrame(docs_, "doc_id long, source string"), spark.createDataFrame(rows, "source string, left_document_id long, right_document_id long, n long, x double"), block=3)
+    got = [tuple(r) for r in df.collect()]
+    want = {(s, a, b, *found.get((s, a, b), (0, 0.0))) for a, s in docs_ for b, z in docs_ if None not in (a, b, s) and s == z and a < b}
+    assert len(got) == len(want) and set(got) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")  # nothing follows the blocks
+
+
+def test_comparison_by_pairs_is_that_of_projects(spark):
+    config = MODES["aggressive"].override(semantic=0.9, final=0.5, top_k=2)
+    found = compare.compare_projects(docs(spark), config, "all", embedder=grams)
+    columns = ["pair_id", "group_count", "top_score", "aggregate_alignment"]
+    got = compare.compare_pairs(docs(spark), config, grams).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, found.select(*columns).collect()))
