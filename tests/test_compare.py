@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -178,3 +179,25 @@ def test_comparison_by_pairs_is_that_of_projects(spark):
     columns = ["pair_id", "group_count", "top_score", "aggregate_alignment"]
     got = compare.compare_pairs(docs(spark), config, grams).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, found.select(*columns).collect()))
+
+
+def test_hashed_grams_by_codes():
+    """Grams of several planes, short, empty and missing texts; in one batch and by themselves."""
+    texts = ["Abc abc", "", None, "a", "Éé", "\U0001f600\U0001f601\U0001f602 x", "\x00\x00\x00b", "İstanbul", "一二三四"]
+    want = np.zeros((len(texts), 64), np.float32)
+    for i, t in enumerate(texts):
+        t = (t or "").lower()
+        for k in range(max(1, len(t) - 2)):
+            want[i, int(hashlib.md5(t[k : k + 3].encode()).hexdigest()[:8], 16) % 64] += 1
+    got = semantic.hashed_grams(texts, 64)
+    assert got.dtype == np.float32 and (got == want).all() and semantic.hashed_grams([], 64).shape == (0, 64)
+    assert all((semantic.hashed_grams([t], 64)[0] == w).all() for t, w in zip(texts, want, strict=True))
+
+
+def test_vectors_of_texts_stand_without_their_places(spark):
+    """A row per text, whatever places it has; a wrong number of vectors is a failed batch."""
+    df = spark.createDataFrame([("a", "one text"), ("b", "two texts"), ("a", "one text")], "text_hash string, text string")
+    got = {r.text_hash: (sum(r.embedding), r.embedded) for r in semantic.embed_texts(df, batch=1).collect()}
+    assert got == {"a": (6.0, True), "b": (7.0, True)} and semantic.embed_texts(df).count() == 2
+    bad = semantic.embed_texts(df, lambda texts: np.ones((len(texts) + 1, 4)), 4).collect()
+    assert [(list(r.embedding), r.embedded) for r in bad] == [([0.0] * 4, False)] * 2
