@@ -37,3 +37,18 @@ def test_a_large_project_makes_no_pairs(spark):
     d = spark.range(200_000).select((F.col("id") - F.col("id") % 2).alias("doc_id"), F.lit("p").alias("source"))
     r = jobs.pair_places(d).agg(F.sum("n_after"), F.sum("n_before"), F.count("*")).first()
     assert tuple(r) == (2 * 2 * 100_000 * 99_999 // 2,) * 2 + (200_000,) and jobs.pair_count(d).first().n == 2 * 100_000 * 99_999
+
+
+def test_merged_spans_go_by_ids_and_hot_sentences_by_parts(spark, tmp_path):
+    """One sentence in 40 documents: all pairs are there, and no shuffle holds pairs as strings."""
+    from textreuse.plans import registry
+
+    line = "The very same sentence stands in each of these documents, word by word."
+    rows = [(i, f"{line} {line}\nAnother line of document number {i} that is long enough.", "en", "p") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["merge_overlapping_spans"](spark, str(tmp_path))
+    want = {(f"{a}-{b}", 0, len(line), 0, len(line)) for a in range(40) for b in range(a + 1, 40)}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("concat_ws") < plan.index("Window") and "pair_id" not in plan[plan.index("Window") :]
