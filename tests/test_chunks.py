@@ -82,3 +82,12 @@ def test_batches_are_cut_into_small_ones():
     b = pa.RecordBatch.from_pydict({"n": list(range(1203))})
     got = list(K.sliced([b, b.slice(0, 0), b.slice(0, 3)], 500))
     assert [x.num_rows for x in got] == [500, 500, 203, 3] and [n for x in got[:3] for n in x.column("n").to_pylist()] == list(range(1203))
+
+
+def test_sentences_are_sorted_once(spark):
+    """By start, what a sentence needs of the next paragraph comes with the paragraph: sentences go through one window."""
+    kind = "doc_id long, chunk_index int, start_pos int, end_pos int"
+    p, s = spark.createDataFrame([(1, 0, 0, 20), (1, 1, 30, 50)], kind), spark.createDataFrame([(1, 2, 25, 28)], kind)
+    plan = lambda fallback: K.assign_parents(p, s, fallback)._jdf.queryExecution().optimizedPlan().toString()
+    above = lambda text: text[: text.index("Union")].count("Window [")
+    assert (above(plan("start")), above(plan("centre"))) == (1, 2)
