@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textreuse.operators import graphsearch
+from textreuse.operators import graphsearch, semantic
 
 
 def exact(x, ids, good, q, k, own=None):
@@ -63,3 +63,15 @@ def test_graph_search_on_spark(spark):
         assert len(got[5004]) == 10 and not {5000, 5001, 5002, 5003} & set(got)
     assert graphsearch.graph_search(asked.limit(0), g, 10).count() == graphsearch.graph_search(asked, g.limit(0), 10).count() == 0
     assert graphsearch.build_graph(df.limit(0)).count() == 0
+
+
+def test_best_of_rows():
+    """A block of rows at once: ties to the earlier column, NaN last, fewer columns than asked for."""
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 4, 50):
+        s = rng.integers(0, 6, size=(20, n)).astype(float)
+        s[:, 0] = np.nan
+        at, to, score = semantic.best_of_rows(s, 4)
+        for r in range(20):
+            want = sorted(range(n), key=lambda j: (np.isnan(s[r, j]), -s[r, j], j))[:4]
+            assert to[at == r].tolist() == want and np.array_equal(score[at == r], s[r, want], equal_nan=True)
