@@ -77,3 +77,14 @@ def test_the_index_omits_and_prunes():
     assert index.postings < 0.4 * x.size
     index.postings = 0
     assert len(index.search(a, np.full(40, -np.inf))[0]) == 40 * 500 and index.postings == x.size
+
+
+def test_no_packed_vectors_go_to_the_driver(spark, tmp_path):
+    """Files of vectors that repeat are small enough for a broadcast, the vectors are not."""
+    rows = spark.range(300).select("id", F.lit(0).cast("long").alias("label"), F.array(*[F.lit(7).cast("long")] * 64).alias("x"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("floors"))
+    hardneg.packed(rows, F.col("part")).write.parquet(f"{tmp_path}/shards")
+    hardneg.packed(rows, F.col("part"), "floors").write.parquet(f"{tmp_path}/anchors")
+    run = hardneg.searching(True, 5, 80, 100)
+    found = hardneg.searched(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("shards", "anchors")), 1, True, run, "anchor_id long, positive_id long, vec_id long, score long")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and found.count() == 1500

@@ -156,11 +156,12 @@ def packed(rows: DataFrame, by: Column, *more: str) -> DataFrame:
 
 
 def searched(shards: DataFrame, anchors: DataFrame, n: int, pilot: bool, run: Callable, schema: str) -> DataFrame:
-    """Each block of anchors with each shard (of the pilot, or of the rest)."""
+    """Each block of anchors with each shard (of the pilot, or of the rest). Packed vectors are many times as large as their
+    files, and the copies of anchors grow with the square of the rows, so neither side may be sent to the driver."""
     chosen = (F.col("shard") % PILOT == 0) if pilot else (F.col("shard") % PILOT != 0)
     blocks = anchors.withColumnRenamed("rows", "anchors").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(chosen)
     mine = shards.select("size", F.col("part").alias("shard"), "rows").where(chosen)
-    return blocks.join(mine, ["size", "shard"]).mapInArrow(run, schema)
+    return blocks.join(mine.hint("merge"), ["size", "shard"]).mapInArrow(run, schema)
 
 
 def indexed(rows: pa.ListScalar, size: int, shard: int, last: dict) -> Index:
